@@ -21,7 +21,7 @@ def _instant(text: Column) -> Column:
     offset = F.when(zone == "Z", F.lit(0)).otherwise(
         sign
         * (
-            F.expr("0") + F.substring(zone, 2, 2).try_cast("int") * 60
+            F.substring(zone, 2, 2).try_cast("int") * 60
             + F.substring(F.regexp_replace(zone, ":", ""), 4, 2).try_cast("int")
         )
     )
@@ -54,7 +54,7 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 
 def midpoint(start: Column, end: Column) -> Column:
-    return F.timestamp_micros(F.expr("0") + micros(start) + F.floor((micros(end) - micros(start)) / 2))
+    return F.timestamp_micros(micros(start) + F.floor((micros(end) - micros(start)) / 2))
 
 
 def utc_text(instant: Column, digits: int = 6) -> Column:
