@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the hashed feature space.
 BUCKETS = 16384
@@ -19,6 +20,12 @@ NGRAM_LENGTHS = (2, 3, 4)
 HASH_PERSON = b"hc3char_v1"
 SHORT_TEXT = 280
 CJK_CLASS = "[㐀-鿿]"
+HASHED = T.StructType(
+    [
+        T.StructField("indices", T.ArrayType(T.IntegerType())),
+        T.StructField("values", T.ArrayType(T.DoubleType())),
+    ]
+)
 # Names of the text groups in report order.
 TEXT_GROUPS = (
     "contains_cjk",
@@ -36,7 +43,7 @@ def _normal_form(text: str | None) -> str | None:
     return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalise(texts: pd.Series) -> pd.Series:
     """Compatibility form, case-folded, runs of whitespace collapsed to one space."""
     return texts.map(_normal_form, na_action="ignore")
@@ -73,7 +80,7 @@ def _hashed(text: str, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     return index.astype(np.int32), (sums[index] / norm if norm else sums[index])
 
 
-@F.pandas_udf("indices array<int>, values array<double>")
+@F.pandas_udf(HASHED)
 def hashed_features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Signed character 2- to 4-gram counts of a normalised text in 16,384 buckets, unit length.
 
@@ -129,7 +136,7 @@ def _canonical(raw: str | None) -> str | None:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """The same JSON value with sorted keys and no spaces, for digests."""
     return texts.map(_canonical, na_action="ignore")

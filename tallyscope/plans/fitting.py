@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import saturation_prediction
 from ..operators.cascades import feature_vector
@@ -166,7 +167,7 @@ class NetworkModel:
         kind, theta, mean, scale = self.kind, self.theta, self.mean, self.scale
         width = OUTPUTS[kind]
 
-        @F.pandas_udf("array<double>")
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def score(features: pd.Series) -> pd.Series:
             if not len(features):
                 return pd.Series([], dtype=object)
@@ -358,7 +359,7 @@ class LogisticModel:
     def logit_udf(self):
         weights, bias = self.weights, self.bias
 
-        @F.pandas_udf("double")
+        @F.pandas_udf(T.DoubleType())
         def logit(indices: pd.Series, values: pd.Series) -> pd.Series:
             return pd.Series(
                 [bias + float(np.dot(weights[np.asarray(i, dtype=int)], v)) for i, v in zip(indices, values)], dtype=float
