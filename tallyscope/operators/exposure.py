@@ -20,7 +20,7 @@ from ..functions.numeric import (
 )
 from ..functions.times import seconds_between
 from ..session import broadcast_if_small
-from .ordered import HOT_ROWS, with_previous
+from .ordered import HOT_ROWS, find_hot, with_previous
 
 SERIES = ["url", "source"]
 # Collection to surface and counter column.
@@ -124,8 +124,11 @@ def series_status(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def unrevised(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Points of series without any revision, each with its two predecessors and flags."""
-    rows = with_previous(points, SERIES, "observed_at", ["age_seconds", "value"], (), hot_rows, "last", True)
-    rows = with_previous(rows, SERIES, "observed_at", ["last"], (), hot_rows, "_back")
+    hot = find_hot(points, SERIES, "observed_at", hot_rows)
+    rows = with_previous(
+        points, SERIES, "observed_at", ["age_seconds", "value"], name="last", flags=True, hot=hot
+    )
+    rows = with_previous(rows, SERIES, "observed_at", ["last"], name="_back", hot=hot)
     rows = rows.withColumn("before", F.col("_back.last")).drop("_back")
     revised = rows.filter(F.col("value") < F.col("last.value")).select(*SERIES).distinct()
     return rows.join(broadcast_if_small(revised), SERIES, "left_anti")

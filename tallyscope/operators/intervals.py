@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import event_ratio, is_finite, per_thousand, ratio_reason, safe_ratio
 from ..functions.times import midpoint, seconds_between
-from .ordered import HOT_ROWS, first_of, last_of, with_previous
+from .ordered import HOT_ROWS, find_hot, first_of, last_of, with_previous
 
 PUBLIC_COUNTERS = ("views", "replies", "likes", "reposts", "bookmarks")
 OWNER_COUNTERS = ("impressions", "engagements", "detail_expands", "profile_visits", "link_clicks")
@@ -51,11 +51,12 @@ def intervals(
     time: str = "observed_at",
     tie: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | bool | None = None,
 ) -> DataFrame:
     """One row per pair of consecutive usable observations of a series."""
     usable, _ = split_usable(df, value, time)
     base = usable.select(*keys, time, *[t for t in tie if t not in keys], value)
-    paired = with_previous(base, keys, time, [value], tie, hot_rows).filter(F.col("prev").isNotNull())
+    paired = with_previous(base, keys, time, [value], tie, hot_rows, hot=hot).filter(F.col("prev").isNotNull())
     start, end = F.col(f"prev.{time}"), F.col(time)
     seconds = seconds_between(start, end)
     delta = F.col(value) - F.col(f"prev.{value}")
@@ -73,10 +74,17 @@ def intervals(
     )
 
 
-def accelerations(rates: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def accelerations(
+    rates: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, hot: DataFrame | bool | None = None
+) -> DataFrame:
     """Change of the interval rate over the distance between interval midpoints."""
     paired = with_previous(
-        rates, keys, "ended_at", ["interval_seconds", "net_rate_per_second", "midpoint_at"], (), hot_rows
+        rates,
+        keys,
+        "ended_at",
+        ["interval_seconds", "net_rate_per_second", "midpoint_at"],
+        hot_rows=hot_rows,
+        hot=hot,
     ).filter(F.col("prev").isNotNull())
     distance = (F.col("prev.interval_seconds") + F.col("interval_seconds")) / 2
     slope = safe_ratio(F.col("net_rate_per_second") - F.col("prev.net_rate_per_second"), distance)
@@ -142,7 +150,8 @@ def last_two_rates(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Compare the per-minute rates of the last two intervals of every series."""
-    rates = intervals(df, keys, value, time, tie, hot_rows)
+    hot = find_hot(df.filter(F.col(time).isNotNull()), keys, time, hot_rows)
+    rates = intervals(df, keys, value, time, tie, hot=hot)
     rates = rates.select(
         *keys,
         "started_at",
@@ -151,7 +160,7 @@ def last_two_rates(
         (F.col("interval_seconds") / 60).alias("minutes"),
         (F.col("net_delta") / (F.col("interval_seconds") / 60)).alias("per_minute"),
     )
-    pairs = with_previous(rates, keys, "ended_at", ["started_at", "minutes", "per_minute"], (), hot_rows)
+    pairs = with_previous(rates, keys, "ended_at", ["started_at", "ended_at", "minutes", "per_minute"], hot=hot)
     latest = pairs.groupBy(*keys).agg(
         last_of(["started_at", "ended_at", "minutes", "per_minute", "prev"], ["ended_at"])
     )

@@ -42,15 +42,26 @@ def hot_keys(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int) -> D
     )
 
 
+def find_hot(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame | bool:
+    """The table of hot keys, or False when there is none; pass it on to save repeated checks."""
+    hot = hot_keys(df, keys, order, hot_rows)
+    return False if hot.isEmpty() else broadcast_if_small(hot)
+
+
 def add_stretch(
-    df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    hot_rows: int = HOT_ROWS,
+    hot: DataFrame | bool | None = None,
 ) -> tuple[DataFrame, bool]:
     """Add the stretch number ``_part`` of each row, and tell whether any key had to be cut."""
-    hot = hot_keys(df, keys, order, hot_rows)
-    if hot.isEmpty():
+    if hot is None:
+        hot = find_hot(df, keys, order, hot_rows)
+    if hot is False:
         return df.withColumn("_part", F.lit(0).cast("bigint")), False
     at = order_number(df, order)
-    joined = df.join(broadcast_if_small(hot), list(keys), "left")
+    joined = df.join(hot, list(keys), "left")
     part = F.when(F.col("_low").isNotNull(), F.floor((at - F.col("_low")) / F.col("_width")))
     return joined.withColumn(
         "_part", F.coalesce(part, F.lit(0)).cast("bigint")
@@ -66,6 +77,7 @@ def with_previous(
     hot_rows: int = HOT_ROWS,
     name: str = "prev",
     flags: bool = False,
+    hot: DataFrame | bool | None = None,
 ) -> DataFrame:
     """Add a struct column with the order, tie and ``fields`` columns of the previous row per key.
 
@@ -74,7 +86,7 @@ def with_previous(
     """
     keys, tie = list(keys), list(tie)
     carried = F.struct(order, *tie, *[f for f in fields if f not in (order, *tie)])
-    parted, cut = add_stretch(df, keys, order, hot_rows)
+    parted, cut = add_stretch(df, keys, order, hot_rows, hot)
     if not cut:
         window = Window.partitionBy(*keys).orderBy(order, *tie)
         out = df.withColumn(name, F.lag(carried).over(window))
