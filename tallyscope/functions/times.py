@@ -12,19 +12,12 @@ SECONDS_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})
 
 
 def _instant(text: Column) -> Column:
-    """Parse zoned text. Java caps offsets at 18 hours, so the zone is applied as arithmetic."""
-    body = F.regexp_extract(text, r"^(.*?)(Z|[+-]\d{2}:?\d{2})$", 1)
-    zone = F.regexp_extract(text, r"(Z|[+-]\d{2}:?\d{2})$", 1)
-    # Digits beyond microseconds are dropped, as a microsecond clock does.
-    body = F.regexp_replace(body, r"(\.\d{6})\d+$", "$1")
-    sign = F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    offset = F.when(zone == "Z", F.lit(0)).otherwise(
-        sign
-        * (
-            F.substring(zone, 2, 2).try_cast("int") * 60
-            + F.substring(F.regexp_replace(zone, ":", ""), 4, 2).try_cast("int")
-        )
-    )
+    """Parse text ending in Z or +hh:mm. Java caps offsets at 18 hours, so the zone is arithmetic."""
+    utc = F.endswith(text, F.lit("Z"))
+    zone = F.right(text, F.lit(6))
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")
+    offset = F.when(utc, 0).when(F.startswith(zone, F.lit("-")), -minutes).otherwise(minutes)
+    body = F.left(text, F.length(text) - F.when(utc, 1).otherwise(6))
     local = F.try_to_timestamp(F.concat(body, F.lit("Z")))
     return F.timestamp_micros(F.unix_micros(local) - offset.cast("bigint") * F.lit(60_000_000))
 
@@ -36,12 +29,15 @@ def strict_instant(text: Column) -> Column:
 
 def zoned_instant(text: Column) -> Column:
     """ISO date and time with a zone; seconds are optional. A text without a zone is null."""
-    return F.when(text.rlike(ZONED_TIME), _instant(text))
+    with_colon = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    return F.when(text.rlike(ZONED_TIME), _instant(with_colon))
 
 
 def seconds_instant(text: Column) -> Column:
     """ISO text with seconds and any fraction length, used for post and counter clocks."""
-    return F.when(text.rlike(SECONDS_TIME), _instant(text))
+    # Digits beyond microseconds are dropped, as a microsecond clock does.
+    micro = F.regexp_replace(text, r"(\.\d{6})\d+", "$1")
+    return F.when(text.rlike(SECONDS_TIME), _instant(micro))
 
 
 def micros(instant: Column) -> Column:
