@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import links, numeric, text, times
 from ..operators import answers, leakage, metrics, splits, validation
 from ..plans import fitting, reports
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from ..sources.readers import manifest_diff as compare_manifests
 from .registry import R, query, r6, table, us
 from .views import BASE, COMPONENTS, DAY, N, QA, SCORES, SEED, events, questions, scores
@@ -16,7 +16,8 @@ from .views import BASE, COMPONENTS, DAY, N, QA, SCORES, SEED, events, questions
 
 
 def normal_documents(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", text.normalise("text").alias("text"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", text.normalise("text").alias("text"))
 
 
 @query(

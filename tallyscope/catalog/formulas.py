@@ -32,8 +32,8 @@ def co_observed_rate(spark, folder):
     )
 
 
-TASKS = """at AS (SELECT o_orderpriority AS grp, o_custkey AS task, CASE WHEN o_orderkey % 4 = 0 THEN 'rescue' ELSE 'autonomous' END AS phase, o_totalprice AS cost, o_orderstatus = 'F' AS passed FROM orders),
-tk AS (SELECT grp, task, sum(cost) FILTER (phase = 'autonomous') AS ac, sum(cost) AS tc, coalesce(bool_or(passed) FILTER (phase = 'autonomous'), false) AS ap, bool_or(passed) AS anyp FROM at GROUP BY 1, 2)"""
+TASKS = """atp AS (SELECT o_orderpriority AS grp, o_custkey AS task, CASE WHEN o_orderkey % 4 = 0 THEN 'rescue' ELSE 'autonomous' END AS phase, o_totalprice AS cost, o_orderstatus = 'F' AS passed FROM orders),
+tk AS (SELECT grp, task, sum(cost) FILTER (phase = 'autonomous') AS ac, sum(cost) AS tc, coalesce(bool_or(passed) FILTER (phase = 'autonomous'), false) AS ap, bool_or(passed) AS anyp FROM atp GROUP BY 1, 2)"""
 
 
 @query(
@@ -161,7 +161,7 @@ def post_availability(spark, folder):
     return availability(checks, plans)[1].select("event_id", "plan_status")
 
 
-ORDER_CAPTURES = f"""cp AS (SELECT l_orderkey AS k, epoch_us(date_trunc('day', l_shipdate)) AS us, CAST(max(l_extendedprice) AS BIGINT) AS impressions, CAST(max(l_quantity) AS BIGINT) AS engagements FROM lineitem GROUP BY 1, 2),
+ORDER_CAPTURES = f"""cp AS (SELECT l_orderkey AS k, epoch_us(date_trunc('day', l_shipdate)) AS us, CAST(floor(max(l_extendedprice)) AS BIGINT) AS impressions, CAST(floor(max(l_quantity)) AS BIGINT) AS engagements FROM lineitem GROUP BY 1, 2),
 cq AS (SELECT *, lag(us) OVER w AS pus, lag(impressions) OVER w AS pi, lag(engagements) OVER w AS pe FROM cp WINDOW w AS (PARTITION BY k ORDER BY us))"""
 
 
@@ -172,8 +172,8 @@ def order_captures(spark, folder):
     return (
         items.groupBy("l_orderkey", day.alias("observed_at"))
         .agg(
-            F.max("l_extendedprice").cast("bigint").alias("impressions"),
-            F.max("l_quantity").cast("bigint").alias("engagements"),
+            F.floor(F.max("l_extendedprice")).cast("bigint").alias("impressions"),
+            F.floor(F.max("l_quantity")).cast("bigint").alias("engagements"),
         )
         .select(
             F.concat(F.lit("https://x.com/acct/status/"), F.col("l_orderkey") + 1).alias("url"),

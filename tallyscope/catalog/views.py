@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, spread
 from .registry import table
 
 BASE = 1704067200000000  # 2024-01-01T00:00:00Z in microseconds
@@ -323,7 +323,7 @@ long AS (SELECT cascade_id, cutoff, observed, future AS actual, 'zero_additional
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     """One question per labelled document; its lines are the answers on the labelled side."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     rows = docs.join(broadcast_if_small(labels), "doc_id")
     lines, none = F.split("text", "\n"), F.array().cast("array<string>")

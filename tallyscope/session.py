@@ -57,5 +57,10 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def is_empty(df: DataFrame) -> bool:
-    return df.isEmpty()
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give costly per-row work as many tasks as there are cores when the input has few files.
+
+    A large input already has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
