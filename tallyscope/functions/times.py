@@ -30,6 +30,7 @@ def strict_instant(text: Column) -> Column:
 def zoned_instant(text: Column) -> Column:
     """ISO date and time with a zone; seconds are optional. A text without a zone is null."""
     with_colon = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    with_colon = F.regexp_replace(with_colon, r"(T\d{2}:\d{2})(Z|[+-])", "$1:00$2")
     return F.when(text.rlike(ZONED_TIME), _instant(with_colon))
 
 
