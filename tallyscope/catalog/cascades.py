@@ -399,7 +399,8 @@ def matched_comparison(spark, folder):
 
 @query(
     "candidate_choice",
-    f"""WITH {CASCADES}, m AS (SELECT cutoff, model, avg(abs(p - actual)) AS mae FROM long GROUP BY 1, 2) SELECT cutoff AS cutoff_seconds, arg_min(model, mae) AS selected_model, {R('min(mae)')} AS mae FROM m GROUP BY 1""",
+    f"""WITH {CASCADES}, m AS (SELECT cutoff, model, avg(abs(p - actual)) AS mae FROM long GROUP BY 1, 2) SELECT cutoff AS cutoff_seconds, arg_min(model, (mae, CASE model WHEN 'zero_additional_keep_last_count' THEN 0 WHEN 'constant_train_median' THEN 1
+      WHEN 'early_constant_rate' THEN 2 ELSE 3 END)) AS selected_model, {R('min(mae)')} AS mae FROM m GROUP BY 1""",
 )
 def candidate_choice(spark, folder):
     table = metrics.count_metrics(metrics.prediction_rows(baseline_table(spark, folder)), ["cutoff_seconds", "model"])

@@ -341,6 +341,13 @@ def exposure_points(spark, folder):
     return exposure.load_series(exposure.stack_collections(exposure_collections(spark, folder)))[0]
 
 
+def exposure_rows(spark, folder):
+    """Unrevised points; large series are looked for on the raw captures."""
+    stacked = exposure.stack_collections(exposure_collections(spark, folder))
+    hot = exposure.hot_series(stacked)
+    return exposure.unrevised(exposure.load_series(stacked)[0], hot=hot)
+
+
 @query(
     "exposure_skipped",
     """WITH r AS (SELECT user_id, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'post_observations' ELSE 'analytics_observations' END AS collection FROM events)
@@ -367,7 +374,7 @@ def series_status(spark, folder):
     is_last AS latest_holdout, {R('signed_error')} AS signed_error, {R('smape')} AS smape_percent FROM preds""",
 )
 def rolling_origin(spark, folder):
-    rows = exposure.rolling_predictions(exposure.unrevised(exposure_points(spark, folder)))
+    rows = exposure.rolling_predictions(exposure_rows(spark, folder))
     return rows.select(
         "url",
         "source",
@@ -385,7 +392,7 @@ def rolling_origin(spark, folder):
 
 
 def backtest(spark, folder):
-    return exposure.rolling_predictions(exposure.unrevised(exposure_points(spark, folder)))
+    return exposure.rolling_predictions(exposure_rows(spark, folder))
 
 
 @query(
@@ -450,7 +457,7 @@ def matched_origins(spark, folder):
     {R('CASE WHEN age > age1 THEN value + (value - v1) / (age - age1) * (2592000 - age) END')} AS recent_rate FROM good WHERE is_last AND us1 IS NOT NULL AND 2592000 > age""",
 )
 def extrapolation(spark, folder):
-    rows = exposure.extrapolate(exposure.unrevised(exposure_points(spark, folder)), 720.0)
+    rows = exposure.extrapolate(exposure_rows(spark, folder), 720.0)
     return rows.select(
         "url",
         "source",

@@ -8,7 +8,7 @@ from ..operators import documented, exposure, validation
 from ..operators.posts import availability, captures, surface_intervals
 from ..plans import fitting
 from ..session import cut_lineage
-from .counters import exposure_points
+from .counters import exposure_rows
 from .registry import R, query, r6, table, us
 from .views import BASE, DAY, IV, counter_obs, events, instant
 
@@ -288,7 +288,7 @@ def cohort_partition_faults(spark, folder):
 @query("saturation_fit")
 def saturation_fit(spark, folder):
     """Matched errors of the curve and the baselines over the origins the curve can score."""
-    rows = cut_lineage(exposure.unrevised(exposure_points(spark, folder)))
+    rows = cut_lineage(exposure_rows(spark, folder))
     fits = cut_lineage(fitting.saturation_fits(rows))
     predictions = exposure.rolling_predictions(rows).unionByName(fitting.curve_predictions(rows, fits))
     matched = exposure.matched_origins(predictions, fitting.CURVE_MODEL)

@@ -108,9 +108,16 @@ def load_series(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return points, skipped, rejected
 
 
-def series_status(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_series(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | bool:
+    """Series above the limit, found on the stacked rows before any join or grouping."""
+    return find_hot(rows.filter(F.col("observed_at").isNotNull()), SERIES, "observed_at", hot_rows)
+
+
+def series_status(
+    points: DataFrame, hot_rows: int = HOT_ROWS, hot: DataFrame | bool | None = None
+) -> DataFrame:
     """Status, size and number of revisions per series; any fall makes the series a revision."""
-    rows = with_previous(points, SERIES, "observed_at", ["value"], (), hot_rows)
+    rows = with_previous(points, SERIES, "observed_at", ["value"], (), hot_rows, hot=hot)
     return rows.groupBy(*SERIES).agg(
         F.count(F.lit(1)).alias("n_points"),
         F.count_if(F.col("value") < F.col("prev.value")).alias("n_revisions"),
@@ -122,9 +129,12 @@ def series_status(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def unrevised(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def unrevised(
+    points: DataFrame, hot_rows: int = HOT_ROWS, hot: DataFrame | bool | None = None
+) -> DataFrame:
     """Points of series without any revision, each with its two predecessors and flags."""
-    hot = find_hot(points, SERIES, "observed_at", hot_rows)
+    if hot is None:
+        hot = find_hot(points, SERIES, "observed_at", hot_rows)
     rows = with_previous(
         points, SERIES, "observed_at", ["age_seconds", "value"], name="last", flags=True, hot=hot
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import count_bucket, early_rate_prediction, pinball, safe_ratio, stable_nll
-from .ordered import HOT_ROWS, exact_quantiles, running_position
+from .ordered import HOT_ROWS, exact_quantiles, largest_group, running_position
 
 TEMPERATURES = (0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 8.0)
 SMALL_GROUP = 30
@@ -38,6 +38,10 @@ def count_metrics(
     a, p = F.col(actual).cast("double"), F.col(prediction).cast("double")
     rows = df.select(*keys, a.alias("_a"), p.alias("_p"), F.abs(a - p).alias("_e"))
     e = F.col("_e")
+    wanted = {"median_absolute_error": 0.5, "p90_absolute_error": 0.9}
+    small = largest_group(rows, keys, "_e") <= small_rows
+    # Small groups get their exact percentiles in the same pass as the sums.
+    inline = [F.percentile("_e", F.lit(q)).alias(name) for name, q in wanted.items()] if small else []
     totals = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_cascades"),
         F.avg(e).alias("mae"),
@@ -46,11 +50,11 @@ def count_metrics(
         F.sum("_a").alias("sum_actual"),
         F.avg(F.col("_p") - F.col("_a")).alias("bias_predicted_minus_actual"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
+        *inline,
     )
-    ranks = exact_quantiles(
-        rows, keys, "_e", {"median_absolute_error": 0.5, "p90_absolute_error": 0.9}, small_rows
-    )
-    return join_groups(totals, ranks, keys)
+    if small:
+        return totals
+    return join_groups(totals, exact_quantiles(rows, keys, "_e", wanted, 0), keys)
 
 
 def interval_metrics(

@@ -216,6 +216,12 @@ def running_position(
     return joined
 
 
+def largest_group(df: DataFrame, keys: Sequence[str], value: str) -> int:
+    """Rows of the largest key, from counts combined on the map side."""
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
+    return sizes.agg(F.max("_n")).first()[0] or 0
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -231,12 +237,7 @@ def exact_quantiles(
     collapsed to distinct values and ranked.
     """
     keys = list(keys)
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(value).alias("_n"))
-    if keys:
-        largest = sizes.agg(F.max("_n")).first()[0] or 0
-    else:
-        largest = sizes.first()[0]
-    if largest <= small_rows:
+    if largest_group(df, keys, value) <= small_rows:
         return df.groupBy(*keys).agg(
             *[F.percentile(value, F.lit(q)).alias(name) for name, q in quantiles.items()]
         )

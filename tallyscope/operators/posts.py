@@ -50,15 +50,40 @@ def age_clocks(posts: DataFrame) -> DataFrame:
     )
 
 
-def captures(observations: DataFrame, clocks: DataFrame, surface: str) -> DataFrame:
-    """Captures of one surface with the post's age; public and owner clocks are never pooled."""
+def _facts(observations: DataFrame, surface: str) -> list[str]:
     counters = OWNER_COUNTERS if surface == "owner_analytics" else PUBLIC_COUNTERS
-    keyed = observations.withColumn("post_id", post_id(F.col("url")))
-    # Identical repeated captures collapse here, so no zero-length interval can arise.
-    facts = ["source", *counters]
     extra = [c for c in ("follows_attributed", "follows_attributed_evidence") if c in observations.columns]
-    single = keyed.groupBy("post_id", "observed_at").agg(
-        F.first("url").alias("url"), *[F.first(c).alias(c) for c in facts + extra]
+    return ["source", *counters, *extra]
+
+
+def _instants(observations: DataFrame, surface: str) -> DataFrame:
+    """One row per post and instant with the smallest and largest version of its facts."""
+    facts = F.struct(*_facts(observations, surface))
+    return (
+        observations.withColumn("post_id", post_id(F.col("url")))
+        .groupBy("post_id", "observed_at")
+        .agg(F.min("url").alias("url"), F.min(facts).alias("_low"), F.max(facts).alias("_high"))
+    )
+
+
+def capture_conflicts(observations: DataFrame, surface: str) -> DataFrame:
+    """Instants of a post with two different captures; they must be reconciled first."""
+    rows = _instants(observations, surface)
+    return rows.filter(F.col("_low") != F.col("_high")).select("post_id", "observed_at")
+
+
+def captures(observations: DataFrame, clocks: DataFrame, surface: str) -> DataFrame:
+    """Captures of one surface with the post's age; public and owner clocks are never pooled.
+
+    Identical repeats collapse here, so no zero-length interval can arise; conflicting ones are
+    left to ``capture_conflicts``.
+    """
+    names = _facts(observations, surface)
+    extra = names[1 + len(OWNER_COUNTERS) :]
+    single = (
+        _instants(observations, surface)
+        .filter(F.col("_low") == F.col("_high"))
+        .select("post_id", "observed_at", "url", *[F.col(f"_low.{c}").alias(c) for c in names])
     )
     ages = clocks.select("post_id", "age_publication_at", "age_basis")
     rows = single.join(broadcast_if_small(ages), "post_id", "left")

@@ -130,6 +130,7 @@ def post_statistics(catalog: DataFrame, analytics: DataFrame, public: DataFrame,
     for surface, rows in (("owner_analytics", analytics), ("public_surface", public)):
         captured = posts.captures(rows, clocks, surface)
         out[f"{surface}_captures"] = captured
+        out[f"{surface}_conflicts"] = posts.capture_conflicts(rows, surface)
         out[f"{surface}_latest"] = posts.per_post_latest(captured)
         out[f"{surface}_intervals"] = posts.surface_intervals(captured, surface, hot_rows)
     return out
@@ -146,11 +147,13 @@ def exposure_backtest(
     """Rolling-origin predictions, error summaries, matched comparison and future forecasts."""
     if not forecast_hours > 0:
         raise ValueError("forecast_hours must be positive")
-    points, skipped, rejected = exposure.load_series(exposure.stack_collections(collections))
-    rows = exposure.unrevised(points, hot_rows)
+    stacked = exposure.stack_collections(collections)
+    hot = exposure.hot_series(stacked, hot_rows)
+    points, skipped, rejected = exposure.load_series(stacked)
+    rows = exposure.unrevised(points, hot=hot)
     predictions = exposure.rolling_predictions(rows)
     out = {
-        "series": exposure.series_status(points, hot_rows),
+        "series": exposure.series_status(points, hot=hot),
         "skipped": skipped,
         "rejected": rejected,
         "popular": exposure.popular_scores(points),

@@ -63,4 +63,4 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     A large input already has more splits than cores and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -12,7 +12,15 @@ from tallyscope.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "local[8]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g"}
+        "local[8]",
+        "tests",
+        **{
+            "spark.sql.shuffle.partitions": "2",
+            "spark.driver.memory": "8g",
+            # Fixtures are tiny: compiling generated code would take most of the time.
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

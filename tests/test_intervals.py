@@ -129,3 +129,16 @@ def test_post_views_revision_and_duplicates(spark):
     assert [(r.net_delta, r.status, r.observed_rate_per_second) for r in out["intervals"].orderBy("ended_at").collect()] == [
         (15, "observed_counter_change", 0.25), (-5, "counter_revision", None)]
     assert out["skipped"].count() == 1 and out["conflicts"].isEmpty()
+
+
+def test_post_statistics_lists_conflicts_and_ages(spark):
+    u = "https://x.com/a/status/7"
+    catalog = spark.createDataFrame([(u, at(0), None, None), ("https://x.com/a/status/8", None, u, None)], "url string, published_at timestamp, original_version_url string, original_published_at timestamp")
+    cols = "url string, observed_at timestamp, source string, impressions bigint, engagements bigint, detail_expands bigint, profile_visits bigint, link_clicks bigint"
+    own = spark.createDataFrame([(u, at(60), "s", 100, 20, 10, 4, 2), (u, at(60), "s", 100, 20, 10, 4, 2), (u, at(180), "s", 140, 28, 14, 6, 3), (u, at(300), "s", 1, 1, 1, 1, 1), (u, at(300), "s", 2, 1, 1, 1, 1)], cols)
+    pub = spark.createDataFrame([("https://x.com/a/status/8", at(90), "s", 5, None, None, None, None)], cols.replace("impressions", "views").replace("engagements", "replies").replace("detail_expands", "likes").replace("profile_visits", "reposts").replace("link_clicks", "bookmarks"))
+    out = reports.post_statistics(catalog, own, pub)
+    assert [r.age_seconds for r in out["owner_analytics_captures"].orderBy("observed_at").collect()] == [60.0, 180.0]
+    assert out["owner_analytics_conflicts"].count() == 1 and out["owner_analytics_intervals"].first().delta_impressions == 40
+    row = out["public_surface_latest"].first()
+    assert (row.age_seconds, row.age_basis) == (90.0, "original_publication")
