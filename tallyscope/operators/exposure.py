@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.links import is_exact_post
@@ -140,7 +140,13 @@ def unrevised(
     )
     rows = with_previous(rows, SERIES, "observed_at", ["last"], name="_back", hot=hot)
     rows = rows.withColumn("before", F.col("_back.last")).drop("_back")
-    revised = rows.filter(F.col("value") < F.col("last.value")).select(*SERIES).distinct()
+    fell = F.col("value") < F.col("last.value")
+    if hot is False:
+        # The series is already one window partition here, so the flag costs no further shuffle.
+        whole = Window.partitionBy(*SERIES)
+        flagged = rows.withColumn("_revised", F.max(F.coalesce(fell, F.lit(False))).over(whole))
+        return flagged.filter(~F.col("_revised")).drop("_revised")
+    revised = rows.filter(fell).select(*SERIES).distinct()
     return rows.join(broadcast_if_small(revised), SERIES, "left_anti")
 
 
@@ -268,8 +274,6 @@ def popular_pool(scores: DataFrame, author: str, per_author: int = 5, total: int
     The per-author cut is taken in two steps so that a very busy author is first reduced in
     slices; the global cut is a distributed top-k.
     """
-    from pyspark.sql import Window
-
     best = [F.col("score").desc(), F.col("url")]
     live = scores.filter(F.col("score").isNotNull()).withColumn(
         "_slice", F.pmod(F.xxhash64("url"), F.lit(64))

@@ -55,11 +55,29 @@ def incomparable(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
+def pair_sides(pairs: DataFrame) -> DataFrame:
+    """Two rows per pair: its earlier snapshot as side 0 and its later one as side 1."""
+    sides = F.array(
+        F.struct(
+            F.col("before_snapshot_id").alias("snapshot_id"),
+            F.lit(0).alias("_side"),
+            F.col("before_observed_at").alias("_taken_at"),
+        ),
+        F.struct(
+            F.col("after_snapshot_id").alias("snapshot_id"),
+            F.lit(1).alias("_side"),
+            F.col("after_observed_at").alias("_taken_at"),
+        ),
+    )
+    ids = ["account", "before_snapshot_id", "after_snapshot_id"]
+    return pairs.select(*ids, F.explode(sides).alias("_s")).select(*ids, "_s.*")
+
+
 def member_changes(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """One row per pair and identity with the badge on both sides and the kind of change.
 
-    Both sides are stacked and grouped once on (pair, identity), so the comparison costs a single
-    shuffle and no outer join.
+    Every member row meets the one or two pairs of its snapshot and is grouped once on (pair,
+    identity), so the comparison costs a single scan and shuffle and no outer join.
     """
     keyed = members.select(
         "snapshot_id",
@@ -67,14 +85,10 @@ def member_changes(pairs: DataFrame, members: DataFrame) -> DataFrame:
         "badge",
         F.coalesce(F.col("quality_status"), F.lit("unknown")).alias("quality_status"),
     )
-    ids = pairs.select("account", "before_snapshot_id", "after_snapshot_id")
-    small = broadcast_if_small(ids)
-    before = keyed.join(small, keyed.snapshot_id == small.before_snapshot_id).withColumn("_side", F.lit(0))
-    after = keyed.join(small, keyed.snapshot_id == small.after_snapshot_id).withColumn("_side", F.lit(1))
+    rows = keyed.join(broadcast_if_small(pair_sides(pairs)), "snapshot_id")
     facts = F.struct("badge", "quality_status")
     both = (
-        before.unionByName(after)
-        .groupBy("account", "before_snapshot_id", "after_snapshot_id", "identity")
+        rows.groupBy("account", "before_snapshot_id", "after_snapshot_id", "identity")
         .agg(
             F.max(F.when(F.col("_side") == 0, facts)).alias("old"),
             F.max(F.when(F.col("_side") == 1, facts)).alias("new"),
@@ -224,16 +238,11 @@ def post_feedback(
 ) -> DataFrame:
     """Counter deltas of every post seen on either side of a pair, each with a reason when null."""
     keys = ["account", "before_snapshot_id", "after_snapshot_id"]
-    ids = pairs.select(*keys, "before_observed_at", "after_observed_at")
-    small = broadcast_if_small(ids)
-    before = posts.join(small, posts.snapshot_id == small.before_snapshot_id).withColumn(
-        "_at", F.coalesce(F.col("post_observed_at"), F.col("before_observed_at"))
-    ).withColumn("_side", F.lit(0))
-    after = posts.join(small, posts.snapshot_id == small.after_snapshot_id).withColumn(
-        "_at", F.coalesce(F.col("post_observed_at"), F.col("after_observed_at"))
-    ).withColumn("_side", F.lit(1))
+    sides = broadcast_if_small(pair_sides(pairs))
+    rows = posts.select("snapshot_id", "url", "post_id", "post_observed_at", *counters).join(sides, "snapshot_id")
+    rows = rows.withColumn("_at", F.coalesce(F.col("post_observed_at"), F.col("_taken_at")))
     facts = F.struct("url", "_at", *counters)
-    both = before.unionByName(after).groupBy(*keys, "post_id").agg(
+    both = rows.groupBy(*keys, "post_id").agg(
         F.max(F.when(F.col("_side") == 0, facts)).alias("old"),
         F.max(F.when(F.col("_side") == 1, facts)).alias("new"),
     )

@@ -13,7 +13,7 @@ from ..functions import numeric
 from ..operators import answers, cascades, exposure, intervals, leakage, metrics, posts, progress, sealed, snapshots, validation
 from ..operators.ordered import HOT_ROWS
 from ..operators.splits import label_blind, only, same_members
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 from . import fitting
 
 Tables = dict[str, DataFrame]
@@ -21,7 +21,8 @@ Tables = dict[str, DataFrame]
 
 def compare_snapshots(snaps: DataFrame, members: DataFrame, post_rows: DataFrame | None = None, pairs: DataFrame | None = None) -> Tables:
     """Growth, member changes, warnings and post feedback of every snapshot pair."""
-    pairs = snapshots.consecutive_pairs(snaps) if pairs is None else pairs
+    # Pairs are used by every part below; they are headers, so they are written once.
+    pairs = cut_lineage(snapshots.consecutive_pairs(snaps) if pairs is None else pairs)
     refused = snapshots.incomparable(pairs)
     ids = ["account", "before_snapshot_id", "after_snapshot_id"]
     usable = pairs.join(broadcast_if_small(refused.select(*ids)), ids, "left_anti")
