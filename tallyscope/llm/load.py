@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("substring_dedup", "minhash_dedup")
+MODULES = ("substring_dedup", "minhash_dedup", "packing")
 
 
 def load() -> None:
