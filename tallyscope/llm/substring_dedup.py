@@ -115,6 +115,14 @@ def _repeated_anchors(heavy: int):
     return run
 
 
+def _later_leaves(a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Leaves in subtree order: which of them aren't the earliest of their node of full depth."""
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0))
+    return (doc != doc[first]) | (pos != pos[first])
+
+
 def _send_suffixes(parts: int):
     """Candidate suffixes of each text, one leaf per node and batch; the other leaves are known repeats."""
 
@@ -134,8 +142,7 @@ def _send_suffixes(parts: int):
             doc, pos = ids[text], (start - base[text]).astype(np.int32)
             order = np.lexsort((pos, doc, b, a))
             repeat = np.zeros(len(order), bool)
-            x, y = a[order], b[order]
-            repeat[order[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+            repeat[order] = _later_leaves(a[order], b[order], doc[order], pos[order])
             path = np.where(flag[place] == 2, a ^ (b >> np.uint64(1)), key)
             part = _parts(path, parts)
             none = np.zeros(0)
@@ -164,11 +171,10 @@ def _subtree(frame: pd.DataFrame) -> pd.DataFrame:
     pos = np.frombuffer(b"".join(suffixes["pos"]), np.int32)
     order = np.lexsort((pos, doc, b, a))
     a, b, doc, pos = a[order], b[order], doc[order], pos[order]
-    shared_path = np.zeros(len(a), bool)
-    shared_path[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    later = _later_leaves(a, b, doc, pos)
     more_doc = np.frombuffer(b"".join(known["doc"]), np.int64)
     more_pos = np.frombuffer(b"".join(known["pos"]), np.int32)
-    return _runs(np.concatenate([doc[shared_path], more_doc]), np.concatenate([pos[shared_path], more_pos]))
+    return _runs(np.concatenate([doc[later], more_doc]), np.concatenate([pos[later], more_pos]))
 
 
 def _cut(frames):
@@ -193,8 +199,7 @@ def _cut(frames):
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                 kept = b" ".join(words.word(w0 + i) for i in np.flatnonzero(~gone)) if n else b""
                 out.append((doc_id, n, int(gone.sum()), kept.decode("utf-8", "surrogatepass"), edges.tolist()))
-        columns = [pd.Series(c) for c in zip(*out, strict=True)] if out else [[]] * 5
-        yield pd.DataFrame(dict(zip(("doc_id", "n_words", "n_removed", "kept_text", "edges"), columns, strict=True)))
+        yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text", "edges"]).astype({"doc_id": "Int64"})
 
 
 def substring_dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES, heavy: int = HEAVY) -> DataFrame:
@@ -203,7 +208,9 @@ def substring_dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES, heavy: int
     ``group_bytes`` of text give one group of suffixes; the number of groups follows the input.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").repartition("doc_id")
+    named = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    # One exchange of the texts serves all three passes: same columns, same filter, same key.
+    texts = named.repartition("doc_id")
     squeezed = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
     keys = cut_lineage(
         docs.select(
@@ -213,14 +220,17 @@ def substring_dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES, heavy: int
     size = keys.agg(F.sum("size")).first()[0] or 0
     parts = max(64, -(-int(size) // group_bytes))
     ids = keys.filter("doc_id IS NOT NULL")
-    # role 1: the words of an earlier document; role 2: another text under a doc_id in use.
-    aliens = ids.join(ids.groupBy("doc_id").agg(F.min("tie").alias("_t"), F.max("tie").alias("_u")).filter("_t <> _u"), "doc_id")
-    aliens = aliens.filter("tie <> _t").select("doc_id", "tie").distinct()
-    plain = ids.join(aliens, ["doc_id", "tie"], "left_anti")
+    one = ids.groupBy("doc_id").agg(F.min("tie").alias("tie"), F.max("tie").alias("_u"))
+    several = one.filter("tie <> _u").select("doc_id", F.col("tie").alias("keep"), F.lit(False).alias("copy"))
+    plain = ids.join(several.select("doc_id", F.col("keep")), "doc_id", "left").filter("keep IS NULL OR keep = tie")
     copied = plain.groupBy("words").agg(F.min("doc_id").alias("_d"), F.max("doc_id").alias("_e")).filter("_d <> _e")
-    copies = plain.join(copied, "words").filter("doc_id <> _d").select("doc_id", "tie").distinct()
-    roles = cut_lineage(copies.withColumn("role", F.lit(1)).unionByName(aliens.withColumn("role", F.lit(2))))
-    searched = texts.filter("doc_id IS NOT NULL").join(roles, ["doc_id", "tie"], "left_anti").select("doc_id", "tie", "text")
+    copies = plain.join(copied, "words").filter("doc_id <> _d").select("doc_id", F.lit(None).cast("long"), F.lit(True))
+    roles = several.union(copies).groupBy("doc_id").agg(F.max("keep").alias("keep"), F.max("copy").alias("copy"))
+    roles = cut_lineage(roles)
+    # role 1: the words of an earlier document; role 2: another text under a doc_id in use.
+    role = F.when(F.col("keep") != F.col("tie"), 2).when(F.col("copy"), 1)
+    texts = texts.join(roles, "doc_id", "left").select("doc_id", "text", role.alias("role"))
+    searched = texts.filter("role IS NULL")
 
     anchors = searched.mapInPandas(_send_anchors(parts), _PACKED)
     hits = anchors.groupBy("part").applyInPandas(_repeated_anchors(heavy), "doc_id long, anchor long")
@@ -229,10 +239,11 @@ def substring_dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES, heavy: int
     repeats = suffixes.groupBy("part").applyInPandas(_subtree, "doc_id long, run long")
     runs = repeats.groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
 
+    nameless = docs.filter("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("runs"), F.lit(2).alias("role"))
     cut = (
         texts.join(runs, "doc_id", "left")
-        .join(roles, ["doc_id", "tie"], "left")
         .select("doc_id", "text", "runs", "role")
+        .unionByName(nameless)
         .mapInPandas(_cut, "doc_id long, n_words long, n_removed long, kept_text string, edges array<long>")
     )
     pairs = F.transform(
