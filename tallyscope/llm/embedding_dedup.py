@@ -74,14 +74,7 @@ def _counted(least: float):
         names = np.frombuffer(b"".join(frame["names"]), np.int64).reshape(len(frame), -1)
         t = int(frame["t"].iloc[0])
         links = np.zeros(len(frame), np.int64)
-        top = np.arange(len(frame))
-
-        def root(k):
-            while top[k] != k:
-                top[k] = top[top[k]]
-                k = top[k]
-            return k
-
+        name = np.arange(len(frame))
         same_block = frame["i"].iloc[0] == frame["j"].iloc[0]
         for lo in range(0, len(home), 256):
             rows = home[lo : lo + 256]
@@ -95,13 +88,12 @@ def _counted(least: float):
             links[rows] += fresh.sum(1)
             if not same_block:
                 links[guest] += fresh.sum(0)
-            # Only the first new link of each row and column can be needed beyond what is joined already.
-            for r, c in zip(*np.nonzero(close), strict=True) if close.any() else ():
-                x, y = root(rows[r]), root(guest[c])
-                if x != y:
-                    top[max(x, y)] = min(x, y)
-        tops = np.array([root(k) for k in range(len(frame))]) if len(frame) else top
-        return pd.DataFrame({"vec_id": ids, "links": links, "near": ids[tops]})
+            for r, row in zip(rows, close, strict=True):
+                near = name[guest[row]]
+                if len(near) and (near != name[r]).any():
+                    joined = np.unique(np.append(near, name[r]))
+                    name[np.isin(name, joined)] = joined[0]
+        return pd.DataFrame({"vec_id": ids, "links": links, "near": ids[name]})
 
     return run
 

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("substring_dedup", "minhash_dedup", "packing", "pii", "quality", "chat", "warc", "embedding_dedup")
+MODULES = ("substring_dedup", "minhash_dedup", "packing", "pii", "quality", "chat", "warc", "embedding_dedup", "sentencepiece_fst")
 
 
 def load() -> None:
