@@ -198,10 +198,18 @@ def _sanitized(text: Column, spans: Column) -> Column:
 
 
 def sanitize(
-    docs: DataFrame, reach: int = REACH, disclosed: float = DISCLOSED, support: int = SUPPORT, with_text: bool = True
+    docs: DataFrame,
+    reach: int = REACH,
+    disclosed: float = DISCLOSED,
+    support: int = SUPPORT,
+    with_text: bool = True,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, one array of spans per kind (``term`` last), and sanitized_text if asked for."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, one array of spans per kind (``term`` last), sanitized_text if asked for, and the columns
+    of ``carry`` as they were."""
+    carried = [F.col(n).alias(f"_carried_{k}") for k, n in enumerate(carry)]
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carried)
+    docs = whole.select("doc_id", "text")
     kinds = {kind: base_spans(F.col("text"), kind) for kind in KINDS}
     entities = F.concat(*(_entity(kind) for kind in KINDS))
     windows = lambda e: F.lower(
@@ -236,7 +244,7 @@ def sanitize(
         .groupBy("doc_id")
         .agg(F.collect_set("term").alias("terms"))
     )
-    spanned = docs.join(cut_lineage(terms), "doc_id", "left").withColumns({k: base_spans(F.col("text"), k) for k in KINDS})
+    spanned = whole.join(cut_lineage(terms), "doc_id", "left").withColumns({k: base_spans(F.col("text"), k) for k in KINDS})
     base = F.concat(*KINDS)
     outside = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     listed = F.filter(matches(F.col("text"), TERM), lambda m: F.array_contains("terms", F.lower(m["value"])) & outside(m))
@@ -248,7 +256,7 @@ def sanitize(
         tagged = F.concat(*(_tagged(k) for k in (*KINDS, "term")))
         spanned = spanned.withColumn("_tagged", tagged).withColumn("sanitized_text", _sanitized(F.col("text"), F.col("_tagged")))
         out.append("sanitized_text")
-    return spanned.select(*out)
+    return spanned.select(*out, *(F.col(f"_carried_{k}").alias(n) for k, n in enumerate(carry)))
 
 
 def _written(kind: str) -> Column:

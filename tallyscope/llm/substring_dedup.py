@@ -179,6 +179,7 @@ def _subtree(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _cut(frames):
     for frame in frames:
+        carried = [c for c in frame.columns if c.startswith("_carried_")]
         texts = [encode(t) for t in frame["text"]]
         out = []
         for lo, hi in chunks(texts):
@@ -199,16 +200,24 @@ def _cut(frames):
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                 kept = b" ".join(words.word(w0 + i) for i in np.flatnonzero(~gone)) if n else b""
                 out.append((doc_id, n, int(gone.sum()), kept.decode("utf-8", "surrogatepass"), edges.tolist()))
-        yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text", "edges"]).astype({"doc_id": "Int64"})
+        done = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text", "edges"]).astype({"doc_id": "Int64"})
+        yield done.assign(**{c: frame[c].to_numpy(dtype=object) for c in carried})
 
 
-def substring_dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES, heavy: int = HEAVY) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text and removed_spans (first word, word after the last).
+def substring_dedup(
+    docs: DataFrame, group_bytes: int = GROUP_BYTES, heavy: int = HEAVY, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text, removed_spans (first word, word after the last), then the
+    columns of ``carry`` as they were.
 
     ``group_bytes`` of text give one group of suffixes; the number of groups follows the input.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    carried = [f"_carried_{k}" for k in range(len(carry))]
+    kinds = [f"{c} {dict(docs.dtypes)[name]}" for c, name in zip(carried, carry, strict=True)]
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(n).alias(c) for c, n in zip(carried, carry, strict=True))
+    )
+    named = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tie"), "text", *carried)
     # One exchange of the texts serves all three passes: same columns, same filter, same key.
     texts = named.repartition("doc_id")
     squeezed = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
@@ -229,7 +238,7 @@ def substring_dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES, heavy: int
     roles = cut_lineage(roles)
     # role 1: the words of an earlier document; role 2: another text under a doc_id in use.
     role = F.when(F.col("keep") != F.col("tie"), 2).when(F.col("copy"), 1)
-    texts = texts.join(roles, "doc_id", "left").select("doc_id", "text", role.alias("role"))
+    texts = texts.join(roles, "doc_id", "left").select("doc_id", "text", role.alias("role"), *carried)
     searched = texts.filter("role IS NULL")
 
     anchors = searched.mapInPandas(_send_anchors(parts), _PACKED)
@@ -239,19 +248,20 @@ def substring_dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES, heavy: int
     repeats = suffixes.groupBy("part").applyInPandas(_subtree, "doc_id long, run long")
     runs = repeats.groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
 
-    nameless = docs.filter("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("runs"), F.lit(2).alias("role"))
+    nothing = F.lit(None).cast("array<bigint>").alias("runs")
+    nameless = docs.filter("doc_id IS NULL").select("doc_id", "text", nothing, F.lit(2).alias("role"), *carried)
     cut = (
         texts.join(runs, "doc_id", "left")
-        .select("doc_id", "text", "runs", "role")
+        .select("doc_id", "text", "runs", "role", *carried)
         .unionByName(nameless)
-        .mapInPandas(_cut, "doc_id long, n_words long, n_removed long, kept_text string, edges array<long>")
+        .mapInPandas(_cut, ", ".join(["doc_id long, n_words long, n_removed long, kept_text string, edges array<long>", *kinds]))
     )
     pairs = F.transform(
         F.sequence(F.lit(0), F.expr("int(size(edges) / 2)") - 1),
         lambda i: F.struct(F.get("edges", 2 * i).alias("start"), F.get("edges", 2 * i + 1).alias("end")),
     )
     spans = F.when(F.size("edges") > 0, pairs).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    return cut.select("doc_id", "n_words", "n_removed", "kept_text", spans.alias("removed_spans"))
+    return cut.select("doc_id", "n_words", "n_removed", "kept_text", spans.alias("removed_spans"), *(F.col(c).alias(n) for c, n in zip(carried, carry, strict=True)))
 
 
 SQL = r"""
