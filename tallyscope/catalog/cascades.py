@@ -79,10 +79,11 @@ def cascade_features(spark, folder):
     f"""WITH {CASCADES}, i AS (SELECT tweet_id, count(*) AS n, regexp_full_match(tweet_id, '[1-9][0-9]*') AS ok FROM idx GROUP BY 1)
     SELECT CAST(sum(n) AS BIGINT) AS index_rows, count(*) AS unique_raw_id_strings, count(*) FILTER (ok) AS canonical_unique_id_strings, CAST(coalesce(sum(n) FILTER (ok), 0) AS BIGINT) AS canonical_segments,
     CAST(coalesce(sum(n) FILTER (NOT ok), 0) AS BIGINT) AS noncanonical_segments, count(*) FILTER (n > 1) AS repeated_id_count, CAST(coalesce(sum(n) FILTER (NOT ok OR n > 1), 0) AS BIGINT) AS quarantined_segments,
-    count(*) FILTER (ok AND n = 1) AS usable_unique_cascades, (SELECT max(end_ind) FROM idx) AS indexed_event_rows FROM i""",
+    count(*) FILTER (ok AND n = 1) AS usable_unique_cascades, (SELECT max(end_ind) FROM idx) AS indexed_event_rows,
+    (SELECT min(day) FROM idx) AS min_post_time_day, (SELECT max(day) FROM idx) AS max_post_time_day FROM i""",
 )
 def cascade_coverage(spark, folder):
-    return ops.coverage(cascade_index(spark, folder)).drop("min_post_time_day", "max_post_time_day")
+    return ops.coverage(cascade_index(spark, folder))
 
 
 @query("cascades_by_day", f"WITH {CASCADES} SELECT CAST(floor(day) AS BIGINT) AS day, count(*) AS n_cascades FROM idx GROUP BY 1")
@@ -188,10 +189,10 @@ def label_recount(spark, folder):
 
 @query(
     "label_recount_probes",
-    f"""WITH {CASCADES}, k AS (SELECT DISTINCT sequence FROM feat ORDER BY sequence LIMIT 100) SELECT cascade_id, cutoff AS cutoff_seconds, future AS stored, true AS matches FROM feat JOIN k USING (sequence)""",
+    f"""WITH {CASCADES}, k AS (SELECT DISTINCT sequence FROM feat ORDER BY sequence LIMIT 100) SELECT cascade_id, cutoff AS cutoff_seconds, future AS stored, future AS recounted, true AS matches FROM feat JOIN k USING (sequence)""",
 )
 def label_recount_probes(spark, folder):
-    return ops.label_recount(feature_table(spark, folder), assigned(spark, folder), probes=100).drop("recounted")
+    return ops.label_recount(feature_table(spark, folder), assigned(spark, folder), probes=100)
 
 
 @query(

@@ -148,6 +148,7 @@ ROLL = """ro AS (SELECT user_id AS series, epoch_us(ts) AS us, CAST(floor(value
 def rolling_obs(spark, folder):
     return events(spark, folder).select(
         F.col("user_id").alias("series"),
+        F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("metric"),
         "observed_at",
         F.floor(F.col("value") * 10).cast("bigint").alias("verified_home_impressions_90d"),
         (F.col("event_id") % 700).alias("verified_followers"),
@@ -158,10 +159,13 @@ def rolling_obs(spark, folder):
 
 
 def rolling_report(spark, folder):
-    targets = spark.range(1).select(
+    # Two metrics with targets of their own.
+    odd = F.col("id") == 1
+    targets = spark.range(2).select(
+        F.when(odd, "odd").otherwise("even").alias("metric"),
         F.lit(90).alias("window_days"),
-        F.lit(500).cast("bigint").alias("impression_target"),
-        F.lit(350).cast("bigint").alias("verified_follower_target"),
+        F.when(odd, 620).otherwise(500).cast("bigint").alias("impression_target"),
+        F.when(odd, 410).otherwise(350).cast("bigint").alias("verified_follower_target"),
     )
     return reports.rolling_progress(rolling_obs(spark, folder), targets, KEYS, "eligibility_export")
 
@@ -187,9 +191,10 @@ def rolling_net_status(spark, folder):
 
 @query(
     "rolling_progress",
-    f"""WITH {ROLL}, l AS (SELECT series, count(*) AS n, arg_max(home, us) AS home, arg_max(fol, us) AS fol FROM ro GROUP BY 1)
-    SELECT series, n AS observation_count, greatest(0, 500 - home) AS impression_deficit, greatest(0, 350 - fol) AS follower_deficit,
-    {R('home / 500.0::DOUBLE')} AS impression_fraction, {R('fol / 350.0::DOUBLE')} AS follower_fraction, home >= 500 AND fol >= 350 AS both_met FROM l""",
+    f"""WITH {ROLL}, l AS (SELECT series, count(*) AS n, arg_max(home, us) AS home, arg_max(fol, us) AS fol,
+        CASE WHEN series % 2 = 0 THEN 500 ELSE 620 END AS ht, CASE WHEN series % 2 = 0 THEN 350 ELSE 410 END AS ft FROM ro GROUP BY 1)
+    SELECT series, n AS observation_count, greatest(0, ht - home) AS impression_deficit, greatest(0, ft - fol) AS follower_deficit,
+    {R('home / ht::DOUBLE')} AS impression_fraction, {R('fol / ft::DOUBLE')} AS follower_fraction, home >= ht AND fol >= ft AS both_met FROM l""",
 )
 def rolling_progress(spark, folder):
     rows = rolling_report(spark, folder)["latest"]

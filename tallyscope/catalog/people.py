@@ -266,6 +266,7 @@ fo AS (SELECT account, arg_min(event_id % 1000, event_id) AS a, arg_max(event_id
 bl AS (SELECT account, max(ts) AS blue_at, arg_max(event_id % 90, event_id) AS blue FROM ev WHERE event_type = 'signup' GROUP BY 1),
 co AS (SELECT account, count(*) AS n, count(*) FILTER (value > 60) AS high, count(*) FILTER (value <= 60 AND value > 15) AS not_high, count(*) FILTER (value <= 15) AS unknown,
     min(ts) AS w0, max(ts) AS w1 FROM ev GROUP BY 1)"""
+PERCENT = "(((2000 * {x} + n) // (2 * n)) // 10) || '.' || (((2000 * {x} + n) // (2 * n)) % 10) || '%'"
 STAMP = "strftime({x}, '%Y-%m-%dT%H:%M:%SZ')"
 
 
@@ -276,6 +277,7 @@ STAMP = "strftime({x}, '%Y-%m-%dT%H:%M:%SZ')"
     struct_pack(position := 1, metric := 'newly_observed_blue', value := n || '; confirmed new followers: unknown'),
     struct_pack(position := 2, metric := 'quality_classification', value := high || ' high / ' || not_high || ' not matched / ' || unknown || ' unclassified'),
     struct_pack(position := 3, metric := 'high_quality_share', value := 'Pending classification; unknown is not zero'),
+    struct_pack(position := 4, metric := 'quality_bounds', value := {PERCENT.format(x='high')} || '-' || {PERCENT.format(x='(high + unknown)')}),
     struct_pack(position := 5, metric := 'cohort_window', value := {STAMP.format(x='w0')} || ' -> ' || {STAMP.format(x='w1')}),
     struct_pack(position := 6, metric := 'latest_profile_observation', value := {STAMP.format(x='at1')}),
     struct_pack(position := 7, metric := 'first_profile_observation', value := {STAMP.format(x='at0')}),
@@ -284,9 +286,7 @@ STAMP = "strftime({x}, '%Y-%m-%dT%H:%M:%SZ')"
     SELECT account, s.position AS position, s.metric AS metric, s.value AS value FROM m WHERE s.value IS NOT NULL""",
 )
 def metric_rows(spark, folder):
-    rows = reports.metric_rows(account_tables(spark, folder))
-    # The percentage text depends on each engine's formatting and is covered by the unit tests.
-    return rows.filter(F.col("metric") != "quality_bounds")
+    return reports.metric_rows(account_tables(spark, folder))
 
 
 def update_inputs(spark, folder):

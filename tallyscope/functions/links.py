@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The two hosts and the permalink path forms that name one post.
-PERMALINK = r"^https://(?:x\.com|twitter\.com)/(?:[A-Za-z0-9_]{1,15}|i/web)/status/([1-9][0-9]*)/?(?:[?#].*)?$"
-EXACT_POST = r"^https://x\.com/[A-Za-z0-9_]{1,15}/status/[0-9]+$"
-HANDLE = r"^[A-Za-z0-9_]{1,15}$"
-CANONICAL_ID = r"^[1-9][0-9]*$"
-PLATFORM = r"^[a-z][a-z0-9_-]*$"
+PERMALINK = r"^https://(?:x\.com|twitter\.com)/(?:[A-Za-z0-9_]{1,15}|i/web)/status/([1-9][0-9]*)/?(?:[?#].*)?\z"
+EXACT_POST = r"^https://x\.com/[A-Za-z0-9_]{1,15}/status/[0-9]+\z"
+HANDLE = r"^[A-Za-z0-9_]{1,15}\z"
+CANONICAL_ID = r"^[1-9][0-9]*\z"
+PLATFORM = r"^[a-z][a-z0-9_-]*\z"
 EVIDENCE_PREFIXES = ("https://x.com/", "https://twitter.com/")
 
 
@@ -22,7 +22,7 @@ def post_id(url: Column) -> Column:
 
 def belongs_to(url: Column, account: Column) -> Column:
     """True when the url is a permalink of exactly this account."""
-    owner = F.regexp_extract(url, r"(?i)^https://x\.com/([A-Za-z0-9_]{1,15})/status/[1-9][0-9]*$", 1)
+    owner = F.regexp_extract(url, r"(?i)^https://x\.com/([A-Za-z0-9_]{1,15})/status/[1-9][0-9]*\z", 1)
     return (owner != "") & (F.lower(owner) == F.lower(account))
 
 
@@ -54,7 +54,7 @@ def native_identity_ok(platform: Column, native_id: Column, url: Column) -> Colu
     label_ok = platform.rlike(PLATFORM) & (platform != "twitter")
     exact = (F.trim(native_id) == native_id) & (F.length(native_id) > 0)
     decimal = (platform != "x") | native_id.rlike(CANONICAL_ID)
-    https = url.rlike(r"^https://[^/?#]+[^?#]*$")
-    named = F.regexp_extract(url, r"^https://x\.com/[A-Za-z0-9_]{1,15}/status/([0-9]+)$", 1)
+    https = url.rlike(r"^https://[^/?#]+[^?#]*\z")
+    named = F.regexp_extract(url, r"^https://x\.com/[A-Za-z0-9_]{1,15}/status/([0-9]+)\z", 1)
     url_ok = url.isNull() | (https & ((platform != "x") | (named == native_id)))
     return F.coalesce(label_ok & exact & decimal & url_ok, F.lit(False))

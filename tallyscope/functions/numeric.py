@@ -25,7 +25,7 @@ def is_finite(value: Column) -> Column:
 
 def count_from_text(raw: Column) -> Column:
     """ASCII digits only, at most 2^53 - 1; anything else is null."""
-    number = F.when(raw.rlike(r"^[0-9]+$"), raw.try_cast("bigint"))
+    number = F.when(raw.rlike(r"^[0-9]+\z"), raw.try_cast("bigint"))
     return F.when(number <= MAX_EXACT, number)
 
 
@@ -36,7 +36,7 @@ def count_is_bad(raw: Column) -> Column:
 
 def number_from_text(raw: Column) -> Column:
     """A finite decimal number; NaN, infinities and boolean words are null."""
-    number = F.when(raw.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), raw.try_cast("double"))
+    number = F.when(raw.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"), raw.try_cast("double"))
     return F.when(is_finite(number), number)
 
 

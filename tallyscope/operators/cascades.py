@@ -244,7 +244,7 @@ def partition_audit(feature_rows: DataFrame) -> DataFrame:
 
 
 def label_recount(
-    feature_rows: DataFrame, assigned: DataFrame, probes: int | None = 1000
+    feature_rows: DataFrame, assigned: DataFrame, probes: int | None = None
 ) -> DataFrame:
     """Recount the labels of the first ``probes`` cascades from the source by direct inequality.
 

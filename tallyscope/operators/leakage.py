@@ -172,7 +172,7 @@ def prediction_rules() -> list[Rule]:
         Rule("captured_after_prediction", captured > cutoff),
         Rule("captured_before_publication", captured < published),
         Rule("prediction_clock_order", has_model & ~F.coalesce((generated <= available) & (available <= cutoff), F.lit(False))),
-        Rule("weights_digest", digest.isNotNull() & ~digest.rlike("^[a-f0-9]{64}$")),
+        Rule("weights_digest", digest.isNotNull() & ~digest.rlike(r"^[a-f0-9]{64}\z")),
         Rule("probabilities", has_model & ~numeric.simplex_ok(ps)),
     ]
 

@@ -12,15 +12,34 @@ from ..functions.times import seconds_between, utc_text
 from .ordered import HOT_ROWS, as_of, last_of, with_previous
 
 
+TARGETS = ("impression_target", "verified_follower_target")
+
+
+def with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows with the targets of their own key: the columns both tables share, or one row for all.
+
+    ``n_targets`` says how many target rows the key has; more than one leaves it undecided which
+    holds, so validation refuses those rows.
+    """
+    on = [c for c in targets.columns if c in rows.columns and c not in TARGETS]
+    one = targets.groupBy(*on).agg(
+        F.count(F.lit(1)).alias("n_targets"), *[F.min(c).alias(c) for c in targets.columns if c not in on]
+    )
+    # Without a shared column there is exactly one aggregated row.
+    return rows.join(one, on, "left") if on else rows.join(F.broadcast(one), F.lit(True), "left")
+
+
 def progress_latest(observations: DataFrame, keys: Sequence[str], targets: DataFrame) -> DataFrame:
     """Latest capture of every key against the target row of its metric."""
+    shared = [c for c in targets.columns if c in observations.columns and c not in keys and c not in TARGETS]
     latest = observations.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("observation_count"),
-        last_of(["observed_at", "verified_home_impressions_90d", "verified_followers"], ["observed_at"]),
+        last_of(["observed_at", "verified_home_impressions_90d", "verified_followers", *shared], ["observed_at"]),
     )
+    latest = latest.withColumns({c: F.col(f"last.{c}") for c in shared})
     home, followers = F.col("last.verified_home_impressions_90d"), F.col("last.verified_followers")
     goal, follower_goal = F.col("impression_target"), F.col("verified_follower_target")
-    return latest.join(F.broadcast(targets.limit(1)), F.lit(True)).select(
+    return with_targets(latest, targets).select(
         *keys,
         "observation_count",
         F.when(F.col("observation_count") > 1, "measured_rolling_net_changes")
@@ -227,13 +246,13 @@ def headline_rows(
     def show(value: Column, missing: str) -> Column:
         return F.coalesce(value.cast("string"), F.lit(missing))
 
-    def percent(value: Column) -> Column:
-        return F.format_string("%.1f%%", value * 100)
+    def percent(part: Column) -> Column:
+        # Tenths of a percent from integers, halves up, so every engine writes the same digits.
+        tenths = F.floor((2000 * part + n) / (2 * n)).cast("bigint")
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
 
-    share = F.when((n > 0) & (F.col("unknown") == 0), percent(F.col("high") / n))
-    bounds = F.when(
-        n > 0, F.concat(percent(F.col("high") / n), F.lit("-"), percent((F.col("high") + F.col("unknown")) / n))
-    )
+    share = F.when((n > 0) & (F.col("unknown") == 0), percent(F.col("high")))
+    bounds = F.when(n > 0, F.concat(percent(F.col("high")), F.lit("-"), percent(F.col("high") + F.col("unknown"))))
     stamp = "Timestamp unavailable"
     values = {
         "total_followers": F.when(

@@ -25,7 +25,7 @@ def forecast_rules() -> list[Rule]:
 
     clocks = ["published_at", "origin_at", "input_cutoff_at", "generated_at", "frozen_at", "target_at"]
     missing = F.lit(False)
-    for name in [*IDENTITY, *clocks]:
+    for name in [*IDENTITY, *clocks, "status", "post_id", "accepted_from", "accepted_to"]:
         missing = missing | c(name).isNull()
     pairs = F.lit(False)
     for source, metric in METRICS.items():

@@ -259,7 +259,11 @@ def rolling_rules(source: str, window_days: int = 90) -> list[Rule]:
     """Rolling eligibility counter joined to its targets."""
     return [
         Rule("window_days", ~F.col("window_days").eqNullSafe(F.lit(window_days))),
-        Rule("target_not_positive", (F.col("impression_target") < 1) | (F.col("verified_follower_target") < 1)),
+        Rule("several_targets", F.col("n_targets") > 1),
+        Rule(
+            "target_not_positive",
+            ~F.coalesce((F.col("impression_target") >= 1) & (F.col("verified_follower_target") >= 1), F.lit(False)),
+        ),
         Rule("source", ~F.col("source").eqNullSafe(F.lit(source))),
         Rule("replies_must_be_excluded", ~F.col("replies_excluded").eqNullSafe(F.lit(True))),
         Rule("observed_at_required", F.col("observed_at").isNull()),
@@ -302,11 +306,11 @@ def attribution(
 ) -> tuple[Column, Column, Column]:
     """(attributed follows, reason it is missing, broken-evidence flag)."""
     present = proof.isNotNull()
-    documented = proof["official_metric_documentation"].rlike(r"^https://(help|business)\.x\.com/[^\s]+$")
+    documented = proof["official_metric_documentation"].rlike(r"^https://(help|business)\.x\.com/[^\s]+\z")
     broken = present & value.isNotNull() & ~F.coalesce(
         (proof["source"] == "owner_analytics")
         & (proof["field"] == "follows_attributed")
-        & (links.url_tail(proof["url"]) == links.url_tail(row_url))
+        & (links.post_id(proof["url"]) == links.post_id(row_url))
         & (proof["observed_at"] == observed_at)
         & documented
         & (F.trim(proof["capture_evidence"]) != ""),
@@ -333,7 +337,7 @@ def feature_row_rules() -> list[Rule]:
         F.when(day + 1 <= 7, "train_candidate").when(day < 7, "purged_label_overlap").otherwise("evaluation_candidate")
     )
     return [
-        Rule("invalid_cascade_id", ~F.coalesce(F.col("cascade_id").rlike(r"^cascade-[0-9]{6,}$"), F.lit(False))),
+        Rule("invalid_cascade_id", ~F.coalesce(F.col("cascade_id").rlike(r"^cascade-[0-9]{6,}\z"), F.lit(False))),
         Rule("day_outside_coverage", day.isNull() | F.isnan(day) | ~((day >= 0) & (day < 15))),
         Rule(
             "split_mismatch",

@@ -196,7 +196,7 @@ def evaluate_forecasts(forecasts: DataFrame, inputs: DataFrame, predictions: Dat
 
 def rolling_progress(observations: DataFrame, targets: DataFrame, keys: Sequence[str], source: str, hot_rows: int = HOT_ROWS) -> Tables:
     """Latest progress towards the targets and the net changes between captures."""
-    with_goals = observations.join(F.broadcast(targets.limit(1)), F.lit(True))
+    with_goals = progress.with_targets(observations, targets)
     ok, bad = validation.split(with_goals, validation.rolling_rules(source))
     ok = ok.select(*observations.columns)
     return {
@@ -206,7 +206,7 @@ def rolling_progress(observations: DataFrame, targets: DataFrame, keys: Sequence
     }
 
 
-def prepare_cascades(index: DataFrame, events: DataFrame, probes: int | None = 1000, hot_rows: int = HOT_ROWS) -> Tables:
+def prepare_cascades(index: DataFrame, events: DataFrame, probes: int | None = None, hot_rows: int = HOT_ROWS) -> Tables:
     """Features, quarantine, coverage, audits and label recount of an event corpus."""
     flags = cascades.id_flags(index)
     assigned = cascades.assign_events(index, events)

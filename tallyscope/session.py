@@ -36,11 +36,13 @@ def use_utc(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a scratch folder only when unset."""
+    """Use the shared folder the cluster names; a scratch folder will do on a local master alone."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
