@@ -319,7 +319,7 @@ def exact_quantiles(spark, folder):
     from ..operators.ordered import exact_quantiles as quantiles
 
     rows = metrics.prediction_rows(baseline_table(spark, folder)).withColumn("e", F.abs(F.col("prediction") - F.col("actual")))
-    out = quantiles(rows, ["model"], "e", {"q50": 0.5, "q90": 0.9}, small_rows=0)
+    out = quantiles(rows, ["model"], "e", {"q50": 0.5, "q90": 0.9})
     return out.select("model", r6("q50").alias("q50"), r6("q90").alias("q90"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
-from ..session import broadcast_if_small, spread
+from ..session import spread
 from .registry import table
 
 BASE = 1704067200000000  # 2024-01-01T00:00:00Z in microseconds
@@ -269,7 +269,7 @@ def cascade_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events in ordinal order with their relative time as source text."""
     index = cascade_index(spark, folder).select("sequence", "start_ind", "first_at")
     e = events(spark, folder).withColumn("sequence", F.floor(F.col("event_id") / 50) + 1)
-    joined = e.join(broadcast_if_small(index), "sequence")
+    joined = e.join(index, "sequence")
     seconds = F.floor((micros(F.col("observed_at")) - micros(F.col("first_at"))) / 1000000) * (F.col("sequence") % 61 + 1)
     late = F.when(F.col("event_type") == "error", F.floor("value").cast("bigint") * 100).otherwise(F.lit(0))
     t = F.greatest(F.lit(0), seconds - late).cast("bigint").cast("string")
@@ -325,7 +325,7 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
     """One question per labelled document; its lines are the answers on the labelled side."""
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     labels = table(spark, folder, "labels").select("doc_id", "quality")
-    rows = docs.join(broadcast_if_small(labels), "doc_id")
+    rows = docs.join(labels, "doc_id")
     lines, none = F.split("text", "\n"), F.array().cast("array<string>")
     return rows.select(
         F.concat(F.lit("doc "), "doc_id").alias("question"),

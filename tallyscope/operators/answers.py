@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_ratio
 from ..functions.text import fingerprint, normalise
-from ..session import broadcast_if_small
 from .components import connected_components
 from .splits import hash_split
 
@@ -89,7 +88,7 @@ def retained_answers(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def split_answers(retained: DataFrame, seed: int) -> DataFrame:
     """Attach the 70/15/15 group split; groups never straddle."""
     assigned = hash_split(retained, "group_id", seed)
-    return retained.join(broadcast_if_small(assigned), "group_id")
+    return retained.join(assigned, "group_id")
 
 
 def split_summary(rows: DataFrame) -> DataFrame:

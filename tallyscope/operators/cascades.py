@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.links import is_canonical_id
 from ..functions.numeric import number_from_text
-from ..session import broadcast_if_small
 from .ordered import HOT_ROWS, with_previous
 from .splits import outside_coverage, paper_split, strict_split
 
@@ -54,7 +53,7 @@ def assign_events(index: DataFrame, events: DataFrame) -> DataFrame:
     cells = segment_cells(index.select("sequence", "start_ind", "end_ind"))
     placed = events.withColumn("_cell", F.floor(F.col("ordinal") / CELL))
     return (
-        placed.join(broadcast_if_small(cells), "_cell")
+        placed.join(cells, "_cell")
         .filter(F.col("ordinal").between(F.col("start_ind"), F.col("end_ind")))
         .withColumn("is_origin", F.col("ordinal") == F.col("start_ind"))
         .drop("_cell")
@@ -72,7 +71,7 @@ def id_flags(index: DataFrame) -> DataFrame:
     repeated = (
         index.groupBy("tweet_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n")
     )
-    rows = index.join(broadcast_if_small(repeated.withColumn("_rep", F.lit(True))), "tweet_id", "left")
+    rows = index.join(repeated.withColumn("_rep", F.lit(True)), "tweet_id", "left")
     return rows.withColumn("noncanonical_id", ~is_canonical_id(F.col("tweet_id"))).withColumn(
         "repeated_raw_id", F.coalesce(F.col("_rep"), F.lit(False))
     ).drop("_rep")

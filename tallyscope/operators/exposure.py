@@ -19,7 +19,6 @@ from ..functions.numeric import (
     symmetric_percent,
 )
 from ..functions.times import seconds_between
-from ..session import broadcast_if_small
 from .ordered import HOT_ROWS, find_hot, with_previous
 
 SERIES = ["url", "source"]
@@ -70,7 +69,7 @@ def load_series(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     clock_conflict = clocks.filter(F.col("publication") != F.col("_other")).select(
         "url", F.lit(None).cast("string").alias("source"), F.lit("conflicting_published_at").alias("rule")
     )
-    joined = rows.drop("published_at").join(broadcast_if_small(known), "url", "left")
+    joined = rows.drop("published_at").join(known, "url", "left")
     tagged = joined.withColumn(
         "skip_reason",
         F.when(F.col("observed_at").isNull(), "missing_observed_at")
@@ -147,7 +146,7 @@ def unrevised(
         flagged = rows.withColumn("_revised", F.max(F.coalesce(fell, F.lit(False))).over(whole))
         return flagged.filter(~F.col("_revised")).drop("_revised")
     revised = rows.filter(fell).select(*SERIES).distinct()
-    return rows.join(broadcast_if_small(revised), SERIES, "left_anti")
+    return rows.join(revised, SERIES, "left_anti")
 
 
 def rolling_predictions(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import event_ratio, is_finite, per_thousand, ratio_reason, safe_ratio
 from ..functions.times import midpoint, seconds_between
-from .ordered import HOT_ROWS, find_hot, first_of, last_of, with_previous
+from .ordered import HOT_ROWS, as_of, find_hot, first_of, last_of, running_position, with_previous
 
 PUBLIC_COUNTERS = ("views", "replies", "likes", "reposts", "bookmarks")
 OWNER_COUNTERS = ("impressions", "engagements", "detail_expands", "profile_visits", "link_clicks")
@@ -347,31 +347,31 @@ def containment_counts(
 ) -> DataFrame:
     """Number of points with start < t <= end for every span.
 
-    Spans are spread over fixed time cells, so the join key is (key, cell) and a busy key is
-    divided by time; points are pre-counted per key and instant before the join.
+    Points are counted per key and instant and summed up in time, cell by cell of ``span_seconds``;
+    a span then is the difference of two nearest-before lookups, so the work is linear in spans and
+    points for the busiest key too.
     """
     keys = list(keys)
-    cell = F.lit(span_seconds)
-    numbered = spans.withColumn(
-        "_cell",
-        F.explode(
-            F.sequence(
-                F.floor(F.unix_micros(start) / F.lit(1e6) / cell),
-                F.floor(F.unix_micros(end) / F.lit(1e6) / cell),
-            )
-        ),
-    )
     instants = points.filter(F.col(time).isNotNull()).groupBy(*keys, F.col(time).alias("_t")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    instants = instants.withColumn("_cell", F.floor(F.unix_micros("_t") / F.lit(1e6) / cell))
-    hits = (
-        numbered.select(*keys, start, end, "_cell")
-        .join(instants, [*keys, "_cell"])
-        .filter((F.col("_t") > F.col(start)) & (F.col("_t") <= F.col(end)))
-        .groupBy(*keys, start, end)
-        .agg(F.sum("_n").alias("points_in_window"))
+    instants = instants.withColumn("_cell", F.floor(F.unix_micros("_t") / F.lit(1e6) / F.lit(span_seconds)))
+    upto = running_position(instants, keys, "_cell", ["_t"], {"_before": "_n"}).select(
+        *keys, "_t", (F.col("_before") + F.col("_n")).alias("_upto")
+    )
+    ends = F.array(
+        F.struct(F.col(start).alias("_at"), F.lit(-1).alias("_sign")), F.struct(F.col(end).alias("_at"), F.lit(1).alias("_sign"))
+    )
+    sides = (
+        spans.select(*keys, start, end)
+        .filter(F.col(start).isNotNull() & F.col(end).isNotNull())
+        .distinct()
+        .select(*keys, start, end, F.explode(ends).alias("_e"))
+        .select(*keys, start, end, "_e.*")
     )
+    found = as_of(sides, upto, keys, "_at", "_t", ["_upto"])
+    inside = F.sum(F.col("_sign") * F.coalesce("match._upto", F.lit(0)))
+    hits = found.groupBy(*keys, start, end).agg(F.greatest(inside, F.lit(0)).alias("points_in_window"))
     return spans.join(hits, [*keys, start, end], "left").withColumn(
         "points_in_window", F.coalesce(F.col("points_in_window"), F.lit(0)).cast("bigint")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import count_bucket, early_rate_prediction, pinball, safe_ratio, stable_nll
-from .ordered import HOT_ROWS, exact_quantiles, largest_group, running_position
+from .ordered import exact_quantiles, running_position
 
 TEMPERATURES = (0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 8.0)
 SMALL_GROUP = 30
@@ -32,16 +32,13 @@ def strata(df: DataFrame, observed: str, actual: str, with_zero: bool = True) ->
 
 
 def count_metrics(
-    df: DataFrame, keys: Sequence[str], actual: str = "actual", prediction: str = "prediction", small_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], actual: str = "actual", prediction: str = "prediction"
 ) -> DataFrame:
     """Error metrics of count predictions per group; WAPE is null when nothing happened."""
     a, p = F.col(actual).cast("double"), F.col(prediction).cast("double")
     rows = df.select(*keys, a.alias("_a"), p.alias("_p"), F.abs(a - p).alias("_e"))
     e = F.col("_e")
     wanted = {"median_absolute_error": 0.5, "p90_absolute_error": 0.9}
-    small = largest_group(rows, keys, "_e") <= small_rows
-    # Small groups get their exact percentiles in the same pass as the sums.
-    inline = [F.percentile("_e", F.lit(q)).alias(name) for name, q in wanted.items()] if small else []
     totals = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_cascades"),
         F.avg(e).alias("mae"),
@@ -50,11 +47,8 @@ def count_metrics(
         F.sum("_a").alias("sum_actual"),
         F.avg(F.col("_p") - F.col("_a")).alias("bias_predicted_minus_actual"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
-        *inline,
     )
-    if small:
-        return totals
-    return join_groups(totals, exact_quantiles(rows, keys, "_e", wanted, 0), keys)
+    return join_groups(totals, exact_quantiles(rows, keys, "_e", wanted), keys)
 
 
 def interval_metrics(
@@ -189,17 +183,29 @@ def matched_comparison(metrics: DataFrame, baseline: str, model: str, keys: Sequ
 # --- binary classification --------------------------------------------------------------------
 
 
+# Quantile edges of the scores, and even steps between two edges.
+EDGES, FINE = 64, 64
+
+
 def tie_ranks(df: DataFrame, keys: Sequence[str], score: str = "probability", label: str = "label") -> DataFrame:
     """Average rank of every distinct score per group, with its positives and negatives.
 
-    Rows are first reduced to distinct scores; positions come from score bins, so no group is
-    ranked in a single task.
+    Rows are first reduced to distinct scores. Bins lie between approximate quantiles of the distinct
+    scores and are cut again at even steps, so scores that crowd anywhere, as those of a confident
+    classifier do near one, still fill many bins of like size and no group is ranked in a single task.
     """
+    keys = list(keys)
     counts = df.groupBy(*keys, F.col(score).alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("n_positive")
     )
-    # The fourth root spreads scores that crowd near zero over more bins and keeps the order.
-    binned = counts.withColumn("_bin", F.floor(F.pow(F.col("score"), F.lit(0.25)) * 4096))
+    cuts = F.array(*[F.lit(i / EDGES) for i in range(EDGES + 1)])
+    edges = counts.groupBy(*keys).agg(F.percentile_approx(F.col("score").cast("double"), cuts, 20 * EDGES).alias("_edges"))
+    # Without keys this is one aggregated row.
+    ranked = counts.join(edges, keys) if keys else counts.join(F.broadcast(edges), F.lit(True))
+    ranked = ranked.withColumn("_at", F.size(F.filter("_edges", lambda e: e <= F.col("score"))))
+    low, high = F.get("_edges", F.col("_at") - 1), F.get("_edges", F.col("_at"))
+    step = F.when(high > low, F.floor(FINE * (F.col("score") - low) / (high - low)))
+    binned = ranked.withColumn("_bin", F.col("_at") * FINE + F.greatest(F.lit(0), F.least(F.lit(FINE - 1), F.coalesce(step, F.lit(0)))))
     placed = running_position(binned, keys, "_bin", ["score"], {"_before": "n"})
     return placed.select(
         *keys,

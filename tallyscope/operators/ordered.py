@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
 
 HOT_ROWS = 2_000_000
 
@@ -45,7 +44,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int) -> D
 def find_hot(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame | bool:
     """The table of hot keys, or False when there is none; pass it on to save repeated checks."""
     hot = hot_keys(df, keys, order, hot_rows)
-    return False if hot.isEmpty() else broadcast_if_small(hot)
+    return False if hot.isEmpty() else hot
 
 
 def add_stretch(
@@ -110,7 +109,7 @@ def with_previous(
         "_size",
         F.lead("_part").over(seams).isNull().alias("_final"),
     )
-    out = rows.join(broadcast_if_small(carry), [*keys, "_part"], "left").withColumn(
+    out = rows.join(carry, [*keys, "_part"], "left").withColumn(
         name, F.when(F.col("_at") == 1, F.col("_carry")).otherwise(F.col(name))
     )
     if flags:
@@ -162,7 +161,7 @@ def as_of(
         carry = ends.select(
             *keys, "_part", F.last("_end", ignorenulls=True).over(earlier).alias("_carry")
         )
-        out = out.join(broadcast_if_small(carry), [*keys, "_part"], "left").withColumn(
+        out = out.join(carry, [*keys, "_part"], "left").withColumn(
             name, F.coalesce(F.col(name), F.col("_carry._r"))
         )
     return out.filter(F.col("_k") == 1).select(*keys, "_l.*", name)
@@ -216,31 +215,21 @@ def running_position(
     return joined
 
 
-def largest_group(df: DataFrame, keys: Sequence[str], value: str) -> int:
-    """Rows of the largest key, from counts combined on the map side."""
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    return sizes.agg(F.max("_n")).first()[0] or 0
-
-
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     quantiles: dict[str, float],
-    small_rows: int = HOT_ROWS,
     accuracy: int = 10_000,
 ) -> DataFrame:
     """Exact interpolated quantiles per key at position (n - 1) q.
 
-    Small keys use the built-in exact percentile. For large ones a quantile sketch brackets each
-    wanted rank, the rows under the bracket are only counted, and just the values inside it are
-    collapsed to distinct values and ranked.
+    One form for all sizes: a quantile sketch brackets each wanted rank, the rows under the bracket
+    are only counted, and just the values inside it are collapsed to distinct values and ranked. The
+    sketch is off by at most n / ``accuracy`` ranks and the bracket allows three times that, so a
+    bracket holds its rank.
     """
     keys = list(keys)
-    if largest_group(df, keys, value) <= small_rows:
-        return df.groupBy(*keys).agg(
-            *[F.percentile(value, F.lit(q)).alias(name) for name, q in quantiles.items()]
-        )
     slack = 3.0 / accuracy
     edges = df.groupBy(*keys).agg(
         F.count(value).alias("_n"),
@@ -269,8 +258,8 @@ def exact_quantiles(
         ).alias("_edge"),
     ).select(*keys, "_n", "_edge.*")
     present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    small = broadcast_if_small(edges)
-    marked = present.join(small, keys) if keys else present.join(small, F.lit(True))
+    # Without keys the edges are one row per quantile.
+    marked = present.join(edges, keys) if keys else present.join(F.broadcast(edges), F.lit(True))
     marked = marked.filter(F.col("_v") <= F.col("high"))
     below = F.col("_v") < F.col("low")
     counted = marked.groupBy(
@@ -291,13 +280,6 @@ def exact_quantiles(
         at(F.floor(position)).alias("_a"),
         at(F.ceil(position)).alias("_b"),
         F.first(position - F.floor(position)).alias("_f"),
-        F.min(F.col("_upto") - F.col("_c")).alias("_under"),
-        F.first(F.floor(position)).alias("_rank"),
     )
-    # A bracket that missed its rank must never turn into a wrong number.
-    sound = (F.col("_under") <= F.col("_rank")) & F.col("_b").isNotNull()
-    value_at = F.when(
-        sound, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
-    ).otherwise(F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double"))
-    picked = picked.withColumn("_q", value_at)
+    picked = picked.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
     return picked.groupBy(*keys).pivot("quantile", list(quantiles)).agg(F.first("_q"))

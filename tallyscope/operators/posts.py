@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.links import post_id
 from ..functions.times import seconds_between
-from ..session import broadcast_if_small
 from .intervals import OWNER_COUNTERS, PUBLIC_COUNTERS, latest_capture, paired_counter_intervals, with_event_ratios
 from .ordered import HOT_ROWS
 from .validation import attribution
@@ -57,15 +56,24 @@ def _facts(observations: DataFrame, surface: str) -> list[str]:
 
 
 def _instants(observations: DataFrame, surface: str) -> DataFrame:
-    """One row per post and instant with the smallest and largest version of its facts."""
+    """One row per post and instant with the smallest and largest version of its facts.
+
+    A url that names no post belongs to no series; ``foreign_urls`` lists those rows.
+    """
     facts = F.struct(*_facts(observations, surface))
     return (
         observations.withColumn("post_id", post_id(F.col("url")))
+        .filter(F.col("post_id").isNotNull())
         .groupBy("post_id", "observed_at")
         .agg(F.min("url").alias("url"), F.min(facts).alias("_low"), F.max(facts).alias("_high"))
     )
 
 
+def foreign_urls(observations: DataFrame) -> DataFrame:
+    """Observations whose url names no post."""
+    return observations.filter(post_id(F.col("url")).isNull())
+
+
 def capture_conflicts(observations: DataFrame, surface: str) -> DataFrame:
     """Instants of a post with two different captures; they must be reconciled first."""
     rows = _instants(observations, surface)
@@ -86,7 +94,7 @@ def captures(observations: DataFrame, clocks: DataFrame, surface: str) -> DataFr
         .select("post_id", "observed_at", "url", *[F.col(f"_low.{c}").alias(c) for c in names])
     )
     ages = clocks.select("post_id", "age_publication_at", "age_basis")
-    rows = single.join(broadcast_if_small(ages), "post_id", "left")
+    rows = single.join(ages, "post_id", "left")
     rows = rows.withColumn("surface", F.lit(surface)).withColumn(
         "age_seconds", seconds_between(F.col("age_publication_at"), F.col("observed_at"))
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import is_finite
 from ..functions.times import seconds_between
-from ..session import broadcast_if_small
 from .exposure import add_errors
 from .ordered import HOT_ROWS, with_previous
 from .validation import Rule, split
@@ -71,7 +70,7 @@ def input_audit(forecasts: DataFrame, inputs: DataFrame, hot_rows: int = HOT_ROW
         F.col("n_numeric_points").alias("_declared"),
     )
     rows = with_previous(inputs, ["forecast_id"], "index", ["observed_at"], (), hot_rows)
-    rows = rows.join(broadcast_if_small(clocks), "forecast_id")
+    rows = rows.join(clocks, "forecast_id")
     start = F.coalesce(F.col("started_at"), F.col("observed_at"))
     end = F.coalesce(F.col("completed_at"), F.col("observed_at"))
     available = F.coalesce(F.col("available_at"), F.col("observed_at"))
@@ -120,7 +119,7 @@ def choose_captures(forecasts: DataFrame, actuals: DataFrame) -> tuple[DataFrame
     numeric read; both are minima, so no history is sorted or gathered.
     """
     clocks = forecasts.select(*IDENTITY, "published_at", "target_at")
-    joined = actuals.join(broadcast_if_small(clocks), IDENTITY)
+    joined = actuals.join(clocks, IDENTITY)
     ok, bad = split(joined, actual_rules())
     read = F.struct(
         F.col("observation_completed_at").alias("completed_at"),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.links import key_mode, member_key
 from ..functions.numeric import safe_ratio, wilson
 from ..functions.times import seconds_between
-from ..session import broadcast_if_small
 from .ordered import HOT_ROWS, as_of, with_previous
 
 SNAPSHOT_COUNTERS = ("replies", "likes", "reposts", "bookmarks", "views")
@@ -85,7 +84,7 @@ def member_changes(pairs: DataFrame, members: DataFrame) -> DataFrame:
         "badge",
         F.coalesce(F.col("quality_status"), F.lit("unknown")).alias("quality_status"),
     )
-    rows = keyed.join(broadcast_if_small(pair_sides(pairs)), "snapshot_id")
+    rows = keyed.join(pair_sides(pairs), "snapshot_id")
     facts = F.struct("badge", "quality_status")
     both = (
         rows.groupBy("account", "before_snapshot_id", "after_snapshot_id", "identity")
@@ -238,7 +237,7 @@ def post_feedback(
 ) -> DataFrame:
     """Counter deltas of every post seen on either side of a pair, each with a reason when null."""
     keys = ["account", "before_snapshot_id", "after_snapshot_id"]
-    sides = broadcast_if_small(pair_sides(pairs))
+    sides = pair_sides(pairs)
     rows = posts.select("snapshot_id", "url", "post_id", "post_observed_at", *counters).join(sides, "snapshot_id")
     rows = rows.withColumn("_at", F.coalesce(F.col("post_observed_at"), F.col("_taken_at")))
     facts = F.struct("url", "_at", *counters)

@@ -565,9 +565,8 @@ def saturation_fits(
 
     if long_series.isEmpty():
         return base.groupBy(*SERIES).applyInPandas(per_series, schema)
-    from ..session import broadcast_if_small
-
-    marked = broadcast_if_small(long_series.select(*SERIES))
+    
+    marked = long_series.select(*SERIES)
     small = base.join(marked, SERIES, "left_anti").groupBy(*SERIES).applyInPandas(per_series, schema)
     large = base.join(marked, SERIES, "left_semi").persist()
     parts = [fit_long_series(large, url, source, n, epochs, last_only) for url, source, n in long_series.toLocalIterator()]

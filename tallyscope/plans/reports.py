@@ -13,7 +13,7 @@ from ..functions import numeric
 from ..operators import answers, cascades, exposure, intervals, leakage, metrics, posts, progress, sealed, snapshots, validation
 from ..operators.ordered import HOT_ROWS
 from ..operators.splits import label_blind, only, same_members
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 from . import fitting
 
 Tables = dict[str, DataFrame]
@@ -25,7 +25,7 @@ def compare_snapshots(snaps: DataFrame, members: DataFrame, post_rows: DataFrame
     pairs = cut_lineage(snapshots.consecutive_pairs(snaps) if pairs is None else pairs)
     refused = snapshots.incomparable(pairs)
     ids = ["account", "before_snapshot_id", "after_snapshot_id"]
-    usable = pairs.join(broadcast_if_small(refused.select(*ids)), ids, "left_anti")
+    usable = pairs.join(refused.select(*ids), ids, "left_anti")
     changes = snapshots.member_changes(usable, members)
     summary = snapshots.arrival_summary(usable, changes)
     # Id and handle matching must not be mixed: it would invent arrivals.
@@ -102,11 +102,13 @@ def post_views(observations: DataFrame, hot_rows: int = HOT_ROWS) -> Tables:
     """Per-post view intervals; repeats of one capture collapse, conflicting ones are listed."""
     counters = ["views", "replies", "likes", "reposts", "bookmarks"]
     timed = observations.filter(F.col("observed_at").isNotNull())
-    keyed = timed.withColumn("status_id", posts.post_id(F.col("url")))
+    named = timed.withColumn("status_id", posts.post_id(F.col("url")))
+    keyed = named.filter(F.col("status_id").isNotNull())
     single, conflicts = validation.dedupe_captures(keyed.select("status_id", "observed_at", *counters), ["status_id"], counters)
     return {
         "intervals": intervals.counter_intervals(single, ["status_id"], "views", hot_rows=hot_rows),
         "conflicts": conflicts,
+        "rejected": named.filter(F.col("status_id").isNull()).drop("status_id"),
         "skipped": intervals.split_usable(observations, "views")[1],
     }
 
@@ -239,7 +241,7 @@ def verify_features(rows: DataFrame, usable: DataFrame) -> Tables:
 NETWORK = "tiny_mlp_log1p"
 
 
-def cascade_benchmark(rows: DataFrame, epochs: int = 15, steps_per_epoch: int = 1, small_rows: int = HOT_ROWS) -> Tables:
+def cascade_benchmark(rows: DataFrame, epochs: int = 15, steps_per_epoch: int = 1) -> Tables:
     """Baselines and the small network fitted on training rows, scored once on evaluation rows."""
     split = F.col("strict_label_available_split")
     train, test = rows.filter(split == "train_candidate"), rows.filter(split == "evaluation_candidate")
@@ -257,7 +259,7 @@ def cascade_benchmark(rows: DataFrame, epochs: int = 15, steps_per_epoch: int =
     wide = parts[0].unionByName(parts[1])
     predictions = metrics.prediction_rows(wide, (*metrics.BASELINES, NETWORK))
     strata = metrics.strata(predictions, "observed_retweet_count", "actual", with_zero=False)
-    table = metrics.count_metrics(strata, ["cutoff_seconds", "model", "stratum"], small_rows=small_rows)
+    table = metrics.count_metrics(strata, ["cutoff_seconds", "model", "stratum"])
     return {
         "predictions": predictions,
         "metrics": table,

@@ -9,9 +9,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A table is broadcast only after it was counted and found at or under this many rows.
-BROADCAST_ROWS = 200_000
-
 
 def build_session(master: str = "local[*]", app: str = "tallyscope", **conf: str) -> SparkSession:
     """A session with the settings used in tests and in the benchmark."""
@@ -52,15 +49,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the table was counted to be small.
-
-    Beyond the limit the frame comes back without a hint, so the join is shuffled and the
-    skew handling of adaptive execution applies.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give costly per-row work as many tasks as there are cores when the input has few files.
 

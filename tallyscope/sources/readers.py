@@ -12,7 +12,6 @@ from ..functions.links import post_id
 from ..functions.text import canonical_json
 from ..functions.times import seconds_instant, strict_instant, zoned_instant
 from ..operators.splits import label_blind
-from ..session import broadcast_if_small
 
 
 def raw_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -139,7 +138,7 @@ def add_ordinals(rows: DataFrame) -> DataFrame:
     # One row per file block: a few thousand rows for a hundred terabytes.
     offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return (
-        marked.join(broadcast_if_small(offsets), ["_file", "_block"])
+        marked.join(offsets, ["_file", "_block"])
         .withColumn("ordinal", F.col("_offset") + F.col("_id") - F.col("_low") + 1)
         .select(*columns, "ordinal")
     )
@@ -224,7 +223,7 @@ def sealed_forecasts(spark: SparkSession, path: str, pinned: DataFrame, contract
     """
     valid, rejected = strict_json(raw_documents(spark, path))
     hashed = valid.withColumn("file_sha256", F.sha2("raw", 256)).join(
-        broadcast_if_small(pinned.select(F.lower("file_sha256").alias("file_sha256"), F.lit(True).alias("_pinned")).distinct()),
+        pinned.select(F.lower("file_sha256").alias("file_sha256"), F.lit(True).alias("_pinned")).distinct(),
         "file_sha256",
         "left",
     )

@@ -49,10 +49,10 @@ def test_exact_quantiles_by_bracket(spark):
     df = spark.createDataFrame(data, "g string, x double")
     qs = {"q50": 0.5, "q90": 0.9}
     plain = ordered.exact_quantiles(df, ["g"], "x", qs)
-    bracket = ordered.exact_quantiles(df, ["g"], "x", qs, small_rows=0, accuracy=200)
+    bracket = ordered.exact_quantiles(df, ["g"], "x", qs, accuracy=200)
     for p, b in zip(rows(plain, "g"), rows(bracket, "g")):
         assert p[0] == b[0] and abs(p[1] - b[1]) < 1e-9 and abs(p[2] - b[2]) < 1e-9
-    whole = ordered.exact_quantiles(df, [], "x", qs, small_rows=0)
+    whole = ordered.exact_quantiles(df, [], "x", qs)
     assert abs(whole.first().q90 - ordered.exact_quantiles(df, [], "x", qs).first().q90) < 1e-9
 
 
