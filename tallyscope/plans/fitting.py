@@ -514,15 +514,24 @@ def curve_frame(raw: np.ndarray, loss: np.ndarray, sizes: np.ndarray) -> pd.Data
     )
 
 
-def fit_prefixes(pdf: pd.DataFrame, epochs: int = CURVE_EPOCHS, last_only: bool = False, block: int = 64) -> pd.DataFrame:
+def fit_prefixes(
+    pdf: pd.DataFrame,
+    epochs: int = CURVE_EPOCHS,
+    last_only: bool = False,
+    block: int = 64,
+    after: int = 0,
+    upto: int | None = None,
+) -> pd.DataFrame:
     """Default curve fitter: parameters for every prefix that passes the gate, or the whole series.
 
-    The result is indexed by the position of the prefix's last point.
+    The result is indexed by the position of the prefix's last point; only prefixes that end after
+    position ``after`` and at or before ``upto`` are fitted.
     """
     pdf = pdf.sort_values("age_seconds")
     ages, counts = pdf["age_seconds"].to_numpy() / 3600, pdf["value"].to_numpy(dtype=float)
     spans = (ages - ages[0]) * 3600
     ends = np.flatnonzero((np.arange(len(ages)) + 1 >= CURVE_MIN_POINTS) & (spans >= CURVE_MIN_SPAN))
+    ends = ends[(ends >= after) & (ends < (len(ages) if upto is None else upto))]
     if last_only:
         ends = ends[ends == len(ages) - 1]
     parts = []
@@ -544,86 +553,40 @@ def saturation_fits(
     epochs: int = CURVE_EPOCHS,
     last_only: bool = False,
     fit_fn: Callable[[pd.DataFrame, int, bool], pd.DataFrame] | None = None,
-    max_points: int = 5_000,
+    ends_per_task: int = 256,
 ) -> DataFrame:
-    """Curve parameters per series and prefix end.
+    """Curve parameters per series and prefix end, all series in one job.
 
-    ``rows`` carries url, source, position, age_seconds and value. Series up to ``max_points`` are
-    fitted in one grouped pandas call; longer ones by distributed gradient sums, so no series is
-    ever gathered in one task.
+    ``rows`` carries url, source, position (1, 2, ... in a series), age_seconds and value. A group holds
+    ``ends_per_task`` prefix ends of one series and the points up to the last of them, so a long series
+    becomes many tasks. A caller's ``fit_fn`` is called once for every series, whatever its length.
     """
-    fitter = fit_fn or (lambda pdf, n, last: fit_prefixes(pdf, n, last))
     base = rows.select(*SERIES, "position", "age_seconds", "value")
-    long_series = base.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_points)
+    columns = [*SERIES, "position", "base", "amplitude", "tau_seconds", "training_loss", "n_training_points", "fit_status"]
     schema = f"url string, source string, position bigint, {CURVE_SCHEMA}"
 
-    def per_series(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fitter(pdf, epochs, last_only)
-        out.insert(0, "url", key[0])
-        out.insert(1, "source", key[1])
-        return out[["url", "source", "position", "base", "amplitude", "tau_seconds", "training_loss", "n_training_points", "fit_status"]]
-
-    if long_series.isEmpty():
-        return base.groupBy(*SERIES).applyInPandas(per_series, schema)
-    
-    marked = long_series.select(*SERIES)
-    small = base.join(marked, SERIES, "left_anti").groupBy(*SERIES).applyInPandas(per_series, schema)
-    large = base.join(marked, SERIES, "left_semi").persist()
-    parts = [fit_long_series(large, url, source, n, epochs, last_only) for url, source, n in long_series.toLocalIterator()]
-    out = small
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    def named(key: tuple, out: pd.DataFrame) -> pd.DataFrame:
+        return out.assign(**dict(zip(SERIES, key[:2], strict=True)))[columns]
 
+    if fit_fn is not None:
 
-def fit_long_series(
-    rows: DataFrame, url: str, source: str, n: int, epochs: int, last_only: bool, block: int = 256
-) -> DataFrame:
-    """Fits of one long series: blocks of prefix ends, each epoch one pass over the points.
+        def whole(key, pdf):
+            return named(key, fit_fn(pdf, epochs, last_only))
 
-    A point adds to the gradient of every prefix of the block that reaches it, inside the task.
-    """
-    spark = rows.sparkSession
-    points = rows.filter((F.col("url") == url) & (F.col("source") == source)).select(
-        "position", "age_seconds", F.col("value").cast("double").alias("value")
+        return base.groupBy(*SERIES).applyInPandas(whole, schema)
+
+    def part(key, pdf):
+        after = int(key[2]) * ends_per_task
+        return named(key, fit_prefixes(pdf, epochs, last_only, after=after, upto=after + ends_per_task))
+
+    def block(position):
+        return F.floor((F.col(position) - 1) / ends_per_task)
+
+    sizes = base.groupBy(*SERIES).agg(F.max("position").alias("_n"))
+    spread = base.join(sizes, SERIES).withColumn(
+        "_block", F.explode(F.sequence(block("_n") if last_only else block("position"), block("_n")))
     )
-    first = points.filter(F.col("position") == 1).first()
-    starts = [n] if last_only else range(CURVE_MIN_POINTS, n + 1, block)
-    schema = f"url string, source string, position bigint, {CURVE_SCHEMA}"
-    out = None
-    for start in starts:
-        ends = points.filter(F.col("position").between(start, min(start + block - 1, n)))
-        ends = ends.filter(F.col("age_seconds") - first["age_seconds"] >= CURVE_MIN_SPAN).orderBy("position").toPandas()
-        if ends.empty or (last_only and n < CURVE_MIN_POINTS):
-            continue
-        sizes = ends["position"].to_numpy()
-        curves = len(sizes)
-        raw = curve_start(
-            np.repeat(first["age_seconds"] / 3600, curves),
-            ends["age_seconds"].to_numpy() / 3600,
-            np.repeat(first["value"], curves),
-            ends["value"].to_numpy(),
-        )
-        reached = points.filter(F.col("position") <= int(sizes.max()))
-
-        def total(current: np.ndarray, sizes=sizes, curves=curves, reached=reached) -> np.ndarray:
-            def part(batch: pd.DataFrame) -> np.ndarray:
-                mask = batch["position"].to_numpy()[None, :] <= sizes[:, None]
-                loss, slope = curve_gradient(current, batch["age_seconds"].to_numpy() / 3600, batch["value"].to_numpy(), mask)
-                return np.concatenate([loss, slope.ravel()])
-
-            return reduce_vector(reached, ["position", "age_seconds", "value"], part, curves * 4)
-
-        adam = Adam(0.03)
-        for _ in range(epochs):
-            raw = adam.step(raw, total(raw)[curves:].reshape(curves, 3) / sizes[:, None])
-        frame = curve_frame(raw, total(raw)[:curves], sizes)
-        frame.insert(0, "url", url)
-        frame.insert(1, "source", source)
-        frame.insert(2, "position", sizes)
-        part = spark.createDataFrame(frame, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return spread.drop("_n").groupBy(*SERIES, "_block").applyInPandas(part, schema)
 
 
 CURVE_MODEL = "saturation_curve"

@@ -61,7 +61,7 @@ def test_curve_fit_paths_agree(spark):
     points = exposure.load_series(exposure.stack_collections(collections(spark, curve_points())))[0]
     base = exposure.unrevised(points)
     small = fitting.saturation_fits(base, epochs=6)
-    large = fitting.saturation_fits(base, epochs=6, max_points=3)
+    large = fitting.saturation_fits(base, epochs=6, ends_per_task=3)
     key = ["position", "base", "amplitude", "tau_seconds", "training_loss"]
     a, b = rows(small.select(key), "position"), rows(large.select(key), "position")
     assert [r[0] for r in a] == [6, 7, 8, 9] and np.allclose(np.array(a, float), np.array(b, float), rtol=1e-9)
@@ -155,3 +155,26 @@ def test_sealed_statuses_and_rejections(spark):
 def test_equal_sample_guard(spark):
     df = spark.createDataFrame([("s", "h", 3, 2), ("s", "h", 3, 1)], "source string, horizon_bucket string, n_predictions int, n_posts int")
     assert not validation.equal_sample_guard(df).first().equal_samples
+
+
+def test_targets_belong_to_their_key_and_two_for_one_key_are_refused(spark):
+    from tallyscope.plans import reports
+
+    schema = "series string, metric string, observed_at timestamp, verified_home_impressions_90d long, verified_followers long, source string, replies_excluded boolean, payout_qualified_impressions long"
+    rows = spark.createDataFrame([(s, m, at(0), 50, 5, "e", True, None) for s, m in (("a", "x"), ("b", "y"), ("c", "z"))], schema)
+    goals = spark.createDataFrame([("x", 90, 100, 10), ("y", 90, 200, 20), ("y", 90, 300, 30)], "metric string, window_days int, impression_target long, verified_follower_target long")
+    got = reports.rolling_progress(rows, goals, ["series"], "e")
+    assert [(r.series, r.impression_deficit) for r in got["latest"].collect()] == [("a", 50)]
+    assert sorted((r.series, r.rule) for r in got["rejected"].collect()) == [("b", "several_targets"), ("c", "window_days")]
+
+
+def test_a_callers_fitter_runs_for_every_series(spark):
+    import pandas as pd
+
+    from tallyscope.plans import fitting
+
+    def fit(pdf, epochs, last_only):
+        return pd.DataFrame([{"position": len(pdf), "base": 1.0, "amplitude": 1.0, "tau_seconds": 1.0, "training_loss": 0.0, "n_training_points": len(pdf), "fit_status": "experimental_fit"}])
+
+    base = spark.range(40).selectExpr("concat('u', id % 2) AS url", "'s' AS source", "cast(id / 2 AS bigint) + 1 AS position", "cast(id AS double) AS age_seconds", "id AS value")
+    assert sorted((r.url, r.position) for r in fitting.saturation_fits(base, fit_fn=fit, ends_per_task=3).collect()) == [("u0", 20), ("u1", 20)]
