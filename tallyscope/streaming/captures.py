@@ -84,6 +84,10 @@ class _Deltas(StatefulProcessor):
         for at, value in zip(batch["observed_us"], batch["value"]):
             at, value = int(at), int(value)
             if before is not None and at <= before[0]:
+                if (at, value) != before:
+                    # Its interval has been emitted or is another one's inside; said, not dropped.
+                    status = "late_capture" if at < before[0] else "conflicting_capture"
+                    out.append((key[0], None, pd.Timestamp(at, unit="us"), None, None, None, status))
                 continue
             if before is not None:
                 seconds = (at - before[0]) / 1e6
@@ -110,7 +114,11 @@ class _Deltas(StatefulProcessor):
 
 
 def stream_deltas(captures: DataFrame, key: str, value: str, time: str = "observed_at") -> DataFrame:
-    """Interval delta and revision status of every series as captures arrive."""
+    """Interval delta and revision status of every series as captures arrive.
+
+    A capture older than one already used comes out as ``late_capture`` and another value at the same
+    instant as ``conflicting_capture``, both without a delta; exact repeats are silent.
+    """
     rows = captures.filter(F.col(time).isNotNull() & F.col(value).isNotNull()).select(
         F.col(key).cast("string").alias("series"),
         F.unix_micros(F.col(time)).alias("observed_us"),
@@ -124,6 +132,7 @@ def stream_deltas(captures: DataFrame, key: str, value: str, time: str = "observ
 def hourly_deltas(deltas: DataFrame, delay: str) -> DataFrame:
     """Tumbling per-hour sums of clean deltas per series; windows close when the watermark passes."""
     clean = F.col("status") != "counter_revision"
+    deltas = deltas.filter(F.col("net_delta").isNotNull())
     return (
         deltas.withWatermark("ended_at", delay)
         .groupBy("series", F.window("ended_at", "1 hour").alias("hour"))

@@ -52,6 +52,15 @@ def test_stream_deltas_equal_batch(spark, feed):
     assert rows(got.select(columns), "series", "ended_at") == rows(want.select(columns), "series", "ended_at")
 
 
+def test_late_and_conflicting_captures_are_named(spark, feed):
+    add, run = feed
+    add(spark.createDataFrame([("a", at(0), 1), ("a", at(120), 9)], SCHEMA))
+    add(spark.createDataFrame([("a", at(60), 5), ("a", at(120), 9), ("a", at(120), 8), ("a", at(180), 10)], SCHEMA))
+    got = run(lambda s: captures.stream_deltas(s, "series", "value"), SCHEMA, "late")
+    assert sorted((r.status, r.net_delta) for r in got.collect() if r.net_delta is None) == [("conflicting_capture", None), ("late_capture", None)]
+    assert sorted(r.net_delta for r in got.collect() if r.net_delta is not None) == [1, 8]
+
+
 def test_hourly_sums_close_with_the_watermark(spark, feed):
     add, run = feed
     schema = captures.DELTA_SCHEMA
