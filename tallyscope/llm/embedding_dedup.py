@@ -132,6 +132,24 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-@query("op4_embedding_near_dedup")
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS a FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)
+    AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0
+), e AS (
+  SELECT x.vec_id AS x, y.vec_id AS y FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.a) = len(y.a)
+  WHERE list_cosine_similarity(x.a, y.a) >= 0.93
+), reach AS (
+  SELECT vec_id AS v, vec_id AS r FROM embeddings UNION SELECT e.y, reach.r FROM reach JOIN e ON e.x = reach.v WHERE reach.r < e.y
+), n AS (
+  SELECT x, count(*) AS n FROM e GROUP BY 1
+)
+SELECT v AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, min(r) AS component_id, v = min(r) AS kept
+FROM reach LEFT JOIN n ON n.x = v GROUP BY v, n.n
+"""
+
+
+@query("op4_embedding_near_dedup", SQL)
 def op4(spark, folder):
     return near_vectors(table(spark, folder, "embeddings"))

@@ -239,6 +239,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75, margin: float = MARGIN)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-@query("op3_minhash_near_dedup")
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(len(w[i:i + 4]) || ' ' || array_to_string(w[i:i + 4], ' ')) AS g
+  FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i) WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)
+), b AS (
+  SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT b.y, reach.r FROM reach JOIN b ON b.x = reach.v WHERE reach.r < b.y
+)
+SELECT v AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r) AS component_id, v = min(r) AS kept
+FROM reach LEFT JOIN n ON n.doc_id = v GROUP BY v, n.n
+"""
+
+
+@query("op3_minhash_near_dedup", SQL)
 def op3(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))

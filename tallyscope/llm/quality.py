@@ -163,7 +163,52 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: fl
     )
 
 
-@query("op8_quality_rules")
+_WS = "[\\x20\\x09-\\x0D]+"
+_CUTS = ", ".join(f"('{r}', {i}, {c!r})" for r, grid in GRID.items() for i, c in enumerate(grid))
+SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{_WS}', '', 'g') <> '') AS l FROM documents
+), g AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 7], ' ')) AS h FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 7, 0) + 1)) AS i)
+), t AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS k FROM g) WHERE k > 1
+), c AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, i + unnest(range(0, 8)) AS j FROM t) GROUP BY 1
+), f AS (
+  SELECT d.doc_id, stratum, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{_WS}', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN c USING (doc_id)
+), b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f
+), r AS (
+  SELECT doc_id, stratum, base_failed, unnest([
+    struct_pack(rule := 'symbol_share', s := n_symbols / greatest(n_words, 1)), struct_pack(rule := 'long_words', s := word_chars / greatest(n_words, 1)),
+    struct_pack(rule := 'short_words', s := -(word_chars / greatest(n_words, 1))), struct_pack(rule := 'repeated_lines', s := n_dup_lines / greatest(n_lines, 1)),
+    struct_pack(rule := 'repeated_words', s := n_repeat_words / greatest(n_words, 1))]) AS x FROM b
+), q AS (
+  SELECT doc_id FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY 1 HAVING min(quality) = 1
+), grid(rule, i, cut) AS (VALUES {_CUTS}
+), k AS (
+  SELECT stratum, grid.rule, i, cut::DOUBLE AS cut, count(*) AS n, count(*) FILTER (x.s > cut) AS k
+  FROM r JOIN q USING (doc_id) JOIN grid ON grid.rule = x.rule WHERE NOT base_failed GROUP BY ALL
+), z AS (
+  SELECT *, CASE WHEN k >= n * {RISK / len(GRID)!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
+    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK / len(GRID)!r}) + (n - j) * ln(1 - {RISK / len(GRID)!r})))) END
+    <= {CONFIDENCE / len(GRID)!r} / (SELECT count(DISTINCT stratum) FROM k) AS ok FROM k
+), u AS (
+  SELECT stratum, rule, min(cut) AS low FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY i) AS yes FROM z) WHERE yes GROUP BY ALL
+), bad AS (
+  SELECT DISTINCT doc_id FROM r JOIN u ON u.stratum = r.stratum AND u.rule = r.x.rule WHERE x.s > low
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b
+"""
+
+
+@query("op8_quality_rules", SQL)
 def op8(spark, folder):
     out = judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return out.select(
