@@ -36,7 +36,8 @@ def consecutive_pairs(snapshots: DataFrame, hot_rows: int = HOT_ROWS) -> DataFra
     base = snapshots.withColumn("_account", F.lower("account")).withColumn(
         "quality_rubric", F.coalesce(F.col("quality_rubric"), F.lit("public-v1"))
     )
-    rows = with_previous(base, ["_account"], "observed_at", columns, ["snapshot_id"], hot_rows)
+    base = base.withColumn("_scope", F.coalesce("scope", F.lit("")))
+    rows = with_previous(base, ["_account", "_scope"], "observed_at", columns, ["snapshot_id"], hot_rows)
     return rows.filter(F.col("prev").isNotNull()).select(
         "account",
         *[F.col(f"prev.{c}").alias(f"before_{c}") for c in columns],
