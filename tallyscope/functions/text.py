@@ -44,11 +44,21 @@ def _normal_form(text: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def normalise(texts: pd.Series) -> pd.Series:
-    """Compatibility form, case-folded, runs of whitespace collapsed to one space."""
+def _normalise_other(texts: pd.Series) -> pd.Series:
     return texts.map(_normal_form, na_action="ignore")
 
 
+def normalise(text: Column | str) -> Column:
+    """Compatibility form, case-folded, runs of whitespace collapsed to one space.
+
+    ASCII texts stay with built-in functions; Python sees a null in their place.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    other = text.rlike(r"[^\x00-\x7F]")
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[\x09-\x0D\x1C-\x20]+", " "))
+    return F.when(other, _normalise_other(F.when(other, text))).otherwise(plain)
+
+
 def fingerprint(normalised: Column) -> Column:
     return F.sha2(normalised, 256)
 
@@ -74,10 +84,11 @@ def _hashed(text: str, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int32), np.empty(0)
     slots = np.fromiter((_slot(g, cache) for g in grams), np.int64, len(grams))
     counts = np.fromiter(grams.values(), np.float64, len(grams))
-    sums = np.bincount(np.abs(slots) - 1, weights=np.sign(slots) * counts, minlength=BUCKETS)
-    index = np.flatnonzero(sums)
+    index, back = np.unique(np.abs(slots) - 1, return_inverse=True)
+    sums = np.bincount(back, weights=np.sign(slots) * counts)
+    index, sums = index[sums != 0], sums[sums != 0]
     norm = np.sqrt(np.sum(sums * sums))
-    return index.astype(np.int32), (sums[index] / norm if norm else sums[index])
+    return index.astype(np.int32), (sums / norm if norm else sums)
 
 
 @F.pandas_udf(HASHED)

@@ -361,9 +361,12 @@ class LogisticModel:
 
         @F.pandas_udf(T.DoubleType())
         def logit(indices: pd.Series, values: pd.Series) -> pd.Series:
-            return pd.Series(
-                [bias + float(np.dot(weights[np.asarray(i, dtype=int)], v)) for i, v in zip(indices, values)], dtype=float
-            )
+            sizes = indices.map(len).to_numpy()
+            if not sizes.sum():
+                return pd.Series(np.full(len(sizes), bias))
+            products = weights[np.concatenate(indices.to_list()).astype(int)] * np.concatenate(values.to_list())
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            return pd.Series(bias + np.bincount(owner, weights=products, minlength=len(sizes)))
 
         return logit
 
