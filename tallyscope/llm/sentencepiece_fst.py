@@ -21,6 +21,7 @@ model itself; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import struct
 from functools import lru_cache
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .registry import query, table
+from .words import Words, chunks, mix, ragged
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 REMEMBERED = 400_000
+SHARED = 7
 
 
 def _fields(data: bytes):
@@ -96,20 +99,30 @@ class Transducer:
         self.longest = max(map(len, self.ids))
         apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         lines = not any("\n" in p for p in self.ids)
+        # White space inside longer pieces doesn't end a unit; texts that hold it are composed as they are.
+        self.joined = bytes(c for c in b"\t\n\r\x0b\x0c " if any(chr(c) in p for p in self.ids if len(p) > 1))
+        self.by_words = apart and not self.squeeze
         if apart and lines:
             self.units = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+").findall
         else:
             self.units = lambda text: [text]
         self.allowed: dict[tuple[str, str], bool] = {}
+        self.edges: dict[tuple[str, int], list | None] = {}
+        self.states: dict[str, str] = {}
+        self.packed = {p: struct.pack("<i", k) for p, k in self.ids.items()}
         self.known: dict[str, bytes] = {}
+        self.tokens: dict[int, bytes] = {}
+        # Arcs: single characters, and the pieces that merging their own characters gives back.
+        self.arcs = {p for p in self.ids if len(p) > 1 and self.merged(p) == [p]}
         self.output = self._outputs()
 
-    def merged(self, text: str) -> list[str]:
-        """Merging by score, leftmost first: decides single arcs and pairs of arcs."""
+    def merged(self, text: str, until: int = 1) -> list[str]:
+        """Merging by score, leftmost first, down to ``until`` parts: the model's own rule."""
         parts: list[str | None] = list(text)
         after = [*range(1, len(parts)), -1]
         before = list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, int, str]] = []
+        left = len(parts)
 
         def offer(a: int, b: int):
             if a >= 0 and b >= 0:
@@ -119,11 +132,12 @@ class Transducer:
 
         for k in range(len(parts) - 1):
             offer(k, k + 1)
-        while heap:
+        while heap and left > until:
             _, a, b, both = heapq.heappop(heap)
             if parts[a] is None or parts[b] is None or after[a] != b or parts[a] + parts[b] != both:
                 continue
             parts[a], parts[b] = both, None
+            left -= 1
             after[a] = after[b]
             if after[b] >= 0:
                 before[after[b]] = a
@@ -131,29 +145,64 @@ class Transducer:
             offer(a, after[a])
         return [p for p in parts if p is not None]
 
+    def edge(self, piece: str, side: int) -> list[tuple[str, float, float]] | None:
+        """The outermost parts (last for side 1, first for side 0) that a piece has while it is merged,
+        each with the times of its birth and its end; None if merging doesn't give the piece."""
+        key = (piece, side)
+        if key not in self.edges:
+            if len(piece) == 1:
+                self.edges[key] = [(piece, -math.inf, math.inf)]
+            elif piece not in self.arcs:
+                self.edges[key] = None
+            else:
+                born = -self.scores[piece]
+                inner = self.edge(self.merged(piece, 2)[side], side)
+                self.edges[key] = [(piece, born, math.inf), *((p, a, min(z, born)) for p, a, z in inner)]
+        return self.edges[key]
+
     def follows(self, x: str, y: str) -> bool:
+        """Whether y may come after x: no merge across the border happens while its two parts exist. Of
+        equal merges the left one comes first."""
         key = (x, y)
         if key not in self.allowed:
             if len(self.allowed) > REMEMBERED:
                 self.allowed.clear()
-            self.allowed[key] = self.merged(x + y) == ([x, y] if x else [y])
+            self.allowed[key] = self._apart(x, y)
         return self.allowed[key]
 
+    def _apart(self, x: str, y: str) -> bool:
+        if x[-1] == SPACE and y[0] == SPACE:
+            return self.merged(x + y) == [x, y]
+        scores = self.scores
+        for p, p_born, p_end in self.edge(x, 1):
+            for q, q_born, q_end in self.edge(y, 0):
+                if p + q in scores:
+                    at = -scores[p + q]
+                    if at >= p_born and at >= q_born and at < p_end and at <= q_end:
+                        return False
+        return True
+
     def shortest_path(self, unit: str) -> list[str]:
         """Pieces (or single characters without a piece) of the one path of finite weight."""
-        size = len(unit)
+        size, arcs, longest, allowed, states = len(unit), self.arcs, self.longest, self.allowed, self.states
         last: list[str | None] = [None] * (size + 1)
         last[0] = ""
         for end in range(1, size + 1):
-            for start in range(max(0, end - self.longest), end):
-                if last[start] is None:
-                    continue
+            # The state at a place depends on what stands before it alone, so words share beginnings.
+            if end <= SHARED and (arc := states.get(unit[:end])) is not None:
+                last[end] = arc
+                continue
+            for start in range(end - longest if end > longest else 0, end):
                 arc = unit[start:end]
-                if arc not in self.ids and end - start > 1:
-                    continue
-                if self.follows("", arc) and (not start or self.follows(last[start], arc)):
-                    last[end] = arc
-                    break
+                if (arc in arcs or end - start == 1) and last[start] is not None:
+                    pair = (last[start], arc)
+                    if not start or (allowed[pair] if pair in allowed else self.follows(*pair)):
+                        last[end] = arc
+                        break
+            if end <= SHARED and last[end] is not None:
+                states[unit[:end]] = last[end]
+        if len(states) > REMEMBERED:
+            states.clear()
         path, end = [], size
         while end:
             if last[end] is None:
@@ -163,15 +212,14 @@ class Transducer:
         return path[::-1]
 
     def unit_ids(self, unit: str) -> bytes:
-        ids = []
-        for piece in self.shortest_path(unit):
-            if piece in self.ids:
-                ids.append(self.ids[piece])
-            elif self.bytes:
-                ids.extend(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass"))
-            else:
-                ids.append(self.unknown)
-        return np.asarray(ids, "<i4").tobytes()
+        packed = self.packed
+        return b"".join([packed[p] if p in packed else self._fallback(p) for p in self.shortest_path(unit)])
+
+    def _fallback(self, char: str) -> bytes:
+        """A character without a piece: its bytes, or the unknown piece in a model without them."""
+        if self.bytes:
+            return np.asarray([self.bytes[b] for b in char.encode("utf-8", "surrogatepass")], "<i4").tobytes()
+        return np.asarray([self.unknown], "<i4").tobytes()
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -184,7 +232,10 @@ class Transducer:
         units = self.units(self.normalise(text))
         known = self.known
         if len(known) > REMEMBERED:
-            known.clear()
+            # Short units are the frequent ones.
+            known = self.known = {u: i for u, i in known.items() if len(u) <= 6}
+            if len(known) > REMEMBERED // 2:
+                known.clear()
         try:
             return b"".join([known[u] for u in units])
         except KeyError:
@@ -193,6 +244,76 @@ class Transducer:
                     known[u] = self.unit_ids(u)
             return b"".join([known[u] for u in units])
 
+    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of whole texts. A word with the white space before it is a token; each distinct token of
+        a chunk is composed once, and the ids are laid out by index."""
+        if not self.by_words:
+            return [self.encode(t.decode("utf-8", "surrogatepass")) for t in texts]
+        out: list[bytes] = []
+        for lo, hi in chunks(texts, 4_000_000):
+            out += self._encode_chunk(texts[lo:hi])
+        for k, text in enumerate(texts):
+            if any(c in text for c in self.joined) or SPACE.encode() in text:
+                out[k] = self.encode(text.decode("utf-8", "surrogatepass"))
+        return out
+
+    def _encode_chunk(self, texts: list[bytes]) -> list[bytes]:
+        words = Words(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        text_starts = np.cumsum(sizes) - sizes
+        owner = words.text_of_word()
+        first = np.zeros(len(owner), bool)
+        first[words.offsets[:-1][np.diff(words.offsets) > 0]] = True
+        before = np.empty(len(owner), np.int64)
+        before[1:] = words.ends[:-1]
+        before[first] = text_starts[owner[first]]
+        raw = np.frombuffer(words.buffer, np.uint8)
+        gap = words.starts - before
+        code = np.where(gap == 1, raw[before], 0).astype(np.uint64)
+        for k in np.flatnonzero(gap > 1):
+            code[k] = 256 + int.from_bytes(words.buffer[before[k] : words.starts[k]], "big") % (2**61 - 1)
+        code = code * np.uint64(2) + first
+        keys = mix(words.hashes + mix(code + np.uint64(77)))
+        unique, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.tokens) > REMEMBERED:
+            self.tokens.clear()
+        tokens = self.tokens
+        for key, k in zip(unique.tolist(), at.tolist(), strict=True):
+            if key not in tokens:
+                text = words.buffer[before[k] : words.ends[k]].decode("utf-8", "surrogatepass")
+                tokens[key] = self._ids(self.normalise(text) if first[k] else text.replace(" ", SPACE))
+        packed = [tokens[key] for key in unique.tolist()]
+        flat = np.frombuffer(b"".join(packed), "<i4")
+        ids, ends = ragged(flat, np.fromiter(map(len, packed), np.int64, len(packed)) // 4, back)
+        cuts = np.concatenate([[0], ends])[words.offsets]
+        out = []
+        for k, text in enumerate(texts):
+            if words.offsets[k] == words.offsets[k + 1]:
+                out.append(self.encode(text.decode("utf-8", "surrogatepass")))
+                continue
+            body = ids[cuts[k] : cuts[k + 1]].tobytes()
+            tail = words.buffer[words.ends[words.offsets[k + 1] - 1] : text_starts[k] + len(text)]
+            out.append(body + self._ids(tail.decode().replace(" ", SPACE)) if tail else body)
+        return out
+
+    def _ids(self, normal: str) -> bytes:
+        return b"".join([self.unit_ids(u) for u in self.units(normal)])
+
+    def decode_batch(self, encoded: list[bytes]) -> list[str]:
+        """Texts of id sequences: the outputs of the pieces laid out by index."""
+        out: list[str] = []
+        sizes = np.fromiter(map(len, self.output), np.int64, len(self.output))
+        flat = np.frombuffer(b"".join(self.output), np.uint8)
+        for lo, hi in chunks(encoded, 4_000_000):
+            part = encoded[lo:hi]
+            text, ends = ragged(flat, sizes, np.frombuffer(b"".join(part), "<i4"))
+            cuts = np.cumsum([0, *(len(p) // 4 for p in part)])
+            cuts = np.concatenate([[0], ends])[cuts]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                plain = text[a:b].tobytes().decode("utf-8", "replace")
+                out.append(plain[1:] if self.dummy and plain.startswith(" ") else plain)
+        return out
+
     def _outputs(self) -> list[bytes]:
         out = []
         for k, (piece, _, kind) in enumerate(self.pieces):
@@ -221,7 +342,7 @@ def _encode(path: str):
     def run(frames):
         fst = transducer(path)
         for frame in frames:
-            ids = [fst.encode(t) if isinstance(t, str) else b"" for t in frame["text"]]
+            ids = fst.encode_batch([t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in frame["text"]])
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": ids, "n_ids": [len(i) // 4 for i in ids]})
 
     return run
@@ -231,7 +352,7 @@ def _decode(path: str):
     def run(frames):
         fst = transducer(path)
         for frame in frames:
-            yield frame.assign(text=[fst.decode(i) for i in frame["ids"]])
+            yield frame.assign(text=fst.decode_batch(list(frame["ids"])))
 
     return run
 

@@ -93,3 +93,13 @@ def grams(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
     for k, factor in enumerate(factors(size, seed)):
         total += hashes[k : k + count] * factor
     return mix(total)
+
+
+def ragged(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of a packed list of arrays in the order of ``index``, and where each one ends."""
+    starts = np.cumsum(sizes) - sizes
+    count = sizes[index]
+    ends = np.cumsum(count)
+    place = np.arange(ends[-1] if len(ends) else 0)
+    place += np.repeat(starts[index] - (ends - count), count)
+    return flat[place], ends
