@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -26,14 +27,15 @@ from pyspark.sql import functions as F
 
 from .registry import query, table
 from .shared import cut_lineage
-from .words import Words, chunks, encode
+from .words import Words, chunks, encode, ragged
 
 LENGTH = 2048
 OPEN = 64
 MIN_CUT = 16
 MERGE = 16
 CLOSING_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
+MARKS = ".,!?;:"
 
 _SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open int"
 _COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
@@ -48,19 +50,48 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[int, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         words = Words(texts)
-        unique, first = np.unique(words.hashes, return_index=True)
+        unique, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = [(h, k) for h, k in zip(unique.tolist(), first.tolist(), strict=True) if h not in self.known]
-        texts_of = [words.word(k).decode("utf-8", "replace") for _, k in new]
-        for (h, _), e in zip(new, self.tokenizer.encode_batch(texts_of, add_special_tokens=False), strict=True):
-            self.known[h] = np.asarray(e.ids, "<u4").tobytes()
+        keys = unique.tolist()
+        new = [(h, k) for h, k in zip(keys, first.tolist(), strict=True) if h not in self.known]
+        fresh = self._encoded([words.word(k).decode("utf-8", "replace") for _, k in new])
+        self.known.update((h, ids) for (h, _), ids in zip(new, fresh, strict=True))
+        packed = [self.known[h] for h in keys]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        ids, ends = ragged(np.frombuffer(b"".join(packed), "<u4"), sizes, back)
+        cuts = np.concatenate([[0], ends])[words.offsets]
         end = np.asarray([CLOSING_ID], "<u4").tobytes()
-        all_hashes, get = words.hashes.tolist(), self.known.__getitem__
-        return [b"".join(map(get, all_hashes[a:b])) + end for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
+        return [ids[a:b].tobytes() + end for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words. Letters followed by marks are two units for this tokenizer, and each run
+        of letters ends with a closing piece, so many runs are encoded in one call and cut apart there."""
+        cores = [w.rstrip(MARKS) for w in words]
+        plain = list(dict.fromkeys(c for c in cores if c.lower().isalpha()))
+        known: dict[str, bytes] = {}
+        for lo in range(0, len(plain), 2000):
+            part = plain[lo : lo + 2000]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            if len(ends) == len(part) and ends[-1] == 4 * len(ids):
+                body = ids.tobytes()
+                known.update((c, body[a:b]) for c, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+            else:
+                known.update(zip(part, self._each(part), strict=True))
+        rest = list(dict.fromkeys(w if c not in known else w[len(c) :] for w, c in zip(words, cores, strict=True)))
+        other = dict(zip(rest, self._each(rest), strict=True))
+        return [known[c] + other[w[len(c) :]] if c in known else other[w] for w, c in zip(words, cores, strict=True)]
 
 
 class Packer:
@@ -138,7 +169,7 @@ def _pack(path: str, length: int, room: int, with_ids: bool):
         for frame in frames:
             texts = [encode(t) for t in frame["text"]]
             docs = [None if pd.isna(d) else int(d) for d in frame["doc_id"]]
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, 4_000_000):
                 for doc_id, ids in zip(docs[lo:hi], encoder(texts[lo:hi]), strict=True):
                     packer.add((doc_id, 0, ids, len(ids) // 4))
                 yield packer.emit(False, with_ids)
