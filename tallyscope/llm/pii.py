@@ -1,33 +1,42 @@
 """Personal data: pattern spans, and terms whose co-occurrence in the corpus discloses them.
 
 Base spans come from four fixed patterns. For the rest, every distinct base value is a protected
-entity. A term within ``REACH`` characters of an entity is its context. Over the whole corpus
+entity, and so is its general form (domain of an email, first three numbers of an ip, first six digits
+of a card, a phone without its last four digits), which pools values that are rare by themselves. The
+context of an entity is the whole document. Over the whole corpus
 
     information of an entity   IC(e)    = -log2(n(e) / N)
     mutual information         PMI(e,t) = log2(n(e,t) N / (n(e) n(t)))
 
-count different contexts and different texts (a copied context counts once; n(t) counts all documents
-with the term). The disclosed share is PMI / IC: 1 says that the term occurs with the entity alone. A
-term that discloses at least ``DISCLOSED`` of an entity and was seen with it in at least ``SUPPORT``
-different contexts is generalised to its kind wherever the entity's documents hold it. All of it is
+count documents. The disclosed share is PMI / IC: 1 says that the term occurs with the entity alone. A
+term that discloses at least ``DISCLOSED`` of an entity is generalised to its kind in the entity's
+documents. No entity is too rare for that: a pair seen in fewer than ``SUPPORT`` documents is held
+against the Chernoff bound on its mutual information,
+
+    n(e,t) PMI(e,t) + (n(e) - n(e,t)) PMI(e, not t) >= -log2(CHANCE)
+
+below which as many meetings happen by chance with a probability that may exceed ``CHANCE``. All of it is
 built-in functions.
 
-Defined cases: null text counts as empty; a null doc_id gets base spans only; equal doc_ids share
-their entities' terms; repeated rows give repeated results; a span inside or across another is merged
+Defined cases: null text counts as empty; a null doc_id gets base spans only (its text counts as a
+document); equal doc_ids share their entities' terms and are one document in n(e) and n(e,t), while n(t)
+and N count rows; repeated rows give repeated results; a span inside or across another is merged
 with it in ``sanitized_text``; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registry import query, table
 from .shared import cut_lineage
 
-REACH = 64
 DISCLOSED = 0.8
 SUPPORT = 3
+CHANCE = 0.05
 
 KINDS = ("email", "ip", "card", "phone")
 # The contract's patterns. A match starts where its run starts or where the last match
@@ -135,42 +144,69 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(hint, found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
-def _entity(kind: str) -> Column:
-    def name(m):
-        value = F.lower(m["value"]) if kind in ("email", "ip") else _digits(m["value"])
-        return F.struct(F.concat(F.lit(kind + ":"), value).alias("entity"), m["start"].alias("start"), m["end"].alias("end"))
+def _entities(kind: str) -> Column:
+    """Names of the values of a kind, then those of their general forms."""
 
-    return F.transform(kind, name)
+    def value(m):
+        return F.lower(m["value"]) if kind in ("email", "ip") else _digits(m["value"])
 
+    def general(v):
+        return {
+            "email": lambda: F.substring_index(v, "@", -1),
+            "ip": lambda: F.substring_index(v, ".", 3),
+            "card": lambda: F.substring(v, 1, 6),
+            "phone": lambda: F.substring(v, F.lit(1), F.length(v) - 4),
+        }[kind]()
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, disclosed: float, support: int) -> DataFrame:
-    """(entity, term, share): ``found`` has one row per document and entity with its context."""
-    contexts = found.select("entity", "context").distinct()
-    sizes = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
-    joint = (
-        contexts.join(sizes, "entity", "left_semi")
-        .select("entity", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term"))
-        .groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("n_et"))
-        .filter(F.col("n_et") >= support)
-    )
-    joint = cut_lineage(joint)
-    vocabulary = (
-        docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n_t"))
-    )
+    def named(values):
+        exact = F.transform(values, lambda v: F.concat(F.lit(kind + ":"), v))
+        return F.concat(exact, F.transform(values, lambda v: F.concat(F.lit(kind + "s:"), general(v))))
+
+    return let(F.transform(kind, value), named)
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def disclosing_terms(named: DataFrame, docs: DataFrame, disclosed: float, support: int) -> DataFrame:
+    """(document, entity, term, share), one row per document that holds such a pair.
+
+    ``named`` has the entities and terms (arrays) of documents with entities; ``docs`` has all texts.
+    """
+    found = named.select("document", F.explode("entities").alias("entity")).distinct()
     total = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(2)).alias("n"))
-    pmi = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
-    information = -F.log2(F.col("n_e") / F.col("n"))
-    return (
-        joint.join(sizes, "entity")
+    sizes = found.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    # Entities of one document alone have equal shares, so one of them stands for all.
+    alone = F.when(F.col("n_e") == 1, F.lit("")).otherwise(F.col("entity"))
+    held = found.join(sizes, "entity").groupBy("document", alone.alias("_e"), "n_e").agg(F.min("entity").alias("entity")).drop("_e")
+    held = cut_lineage(held)
+    vocabulary = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # n(e,t) is at most n(e), so log2(N / n(t)) bounds the mutual information of a term with any entity.
+    reach = F.log2(F.col("n") / F.col("n_t")) >= disclosed * F.log2(F.col("n") / F.col("n_e")) - 1e-9
+    most = held.groupBy("document").agg(F.max("n_e").alias("n_e"))
+    near = (
+        named.join(most, "document")
+        .select("document", "n_e", F.explode("terms").alias("term"))
         .join(vocabulary, "term")
-        .join(total, F.lit(True))
-        .withColumn("share", F.when(information > 0, pmi / information).otherwise(0.0))
-        .filter(F.col("share") >= disclosed)
+        .join(F.broadcast(total), F.lit(True))
+        .filter(reach)
+        .select("document", "term", "n_t", "n")
+        .distinct()
+    )
+    pairs = cut_lineage(near.join(held, "document").filter(reach))
+    counted = pairs.groupBy("entity", "term", "n_e", "n_t", "n").agg(F.count(F.lit(1)).alias("n_et"))
+    information = F.log2(F.col("n") / F.col("n_e"))
+    pmi = F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t")))
+    without = F.col("n_e") - F.col("n_et")
+    pmi_without = F.log2(without * F.col("n") / (F.col("n_e") * (F.col("n") - F.col("n_t"))))
+    proof = F.col("n_et") * pmi + F.when((without > 0) & (F.col("n_t") < F.col("n")), without * pmi_without).otherwise(0.0)
+    risky = (
+        counted.withColumn("share", F.when(information > 0, pmi / information).otherwise(0.0))
+        .filter((F.col("share") >= disclosed) & (pmi > 0) & ((F.col("n_et") >= support) | (proof >= -math.log2(CHANCE))))
         .select("entity", "term", "share")
     )
+    return pairs.select("document", "entity", "term").join(risky, ["entity", "term"]).select("document", "entity", "term", "share")
 
 
 def _tagged(kind: str) -> Column:
@@ -199,7 +235,6 @@ def _sanitized(text: Column, spans: Column) -> Column:
 
 def sanitize(
     docs: DataFrame,
-    reach: int = REACH,
     disclosed: float = DISCLOSED,
     support: int = SUPPORT,
     with_text: bool = True,
@@ -209,40 +244,18 @@ def sanitize(
     of ``carry`` as they were."""
     carried = [F.col(n).alias(f"_carried_{k}") for k, n in enumerate(carry)]
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carried)
-    docs = whole.select("doc_id", "text")
-    kinds = {kind: base_spans(F.col("text"), kind) for kind in KINDS}
-    entities = F.concat(*(_entity(kind) for kind in KINDS))
-    windows = lambda e: F.lower(
-        F.concat(
-            F.regexp_replace(
-                F.substring("text", F.greatest(e["start"] - reach, F.lit(0)) + 1, F.least(e["start"], F.lit(reach))),
-                F.when(e["start"] > reach, F.lit(r"^\S*")).otherwise(F.lit("^$")),
-                F.lit(""),
-            ),
-            F.lit("\n"),
-            F.regexp_replace(
-                F.substring("text", e["end"] + 1, F.lit(reach)),
-                F.when(F.length("text") > e["end"] + reach, F.lit(r"\S*$")).otherwise(F.lit("^$")),
-                F.lit(""),
-            ),
-        )
-    )
-    with_entities = (
-        docs.withColumns(kinds)
-        .select("doc_id", "text", F.explode(entities).alias("e"))
-        .select("doc_id", F.col("e.entity").alias("entity"), windows(F.col("e")).alias("context"))
-        .groupBy("doc_id", "entity")
-        .agg(F.array_join(F.sort_array(F.collect_set("context")), "\n").alias("context"))
-    )
-    found = cut_lineage(with_entities)
-    risky = disclosing_terms(found, docs, disclosed, support)
+    # Texts without doc_id are documents of their own; the leading letter keeps both kinds apart.
+    document = F.coalesce(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.concat(F.lit("t"), F.md5("text")))
+    docs = whole.select("doc_id", document.alias("document"), "text")
+    entities = F.array_distinct(F.concat(*(_entities(kind) for kind in KINDS)))
+    with_entities = docs.withColumns({kind: base_spans(F.col("text"), kind) for kind in KINDS}).select("document", "text", entities.alias("entities"))
+    named = cut_lineage(with_entities.filter(F.size("entities") > 0).select("document", "entities", _terms(F.col("text")).alias("terms")))
+    risky = disclosing_terms(named, docs.select("text"), disclosed, support)
     terms = (
-        found.filter("doc_id IS NOT NULL")
-        .select("doc_id", "entity")
-        .distinct()
-        .join(risky.select("entity", "term"), "entity")
-        .groupBy("doc_id")
+        risky.filter(F.col("document").startswith("d"))
+        .groupBy("document")
         .agg(F.collect_set("term").alias("terms"))
+        .select(F.expr("substring(document, 2)").cast(whole.schema["doc_id"].dataType).alias("doc_id"), "terms")
     )
     spanned = whole.join(cut_lineage(terms), "doc_id", "left").withColumns({k: base_spans(F.col("text"), k) for k in KINDS})
     base = F.concat(*KINDS)

@@ -82,6 +82,19 @@ def test_disclosing_term_goes_and_common_words_stay(spark):
     assert got[311].term == [] and got[5].term == []
 
 
+def test_rare_entities_have_terms_over_whole_documents(spark):
+    filler = "plain words of the usual kind " * 10
+    rows = [(k, f"{filler} number {'abcdefghij'[k % 10] * 3}", "") for k in range(300)]
+    rows += [(400, f"Quorlax wrote. {filler} once@solo.example", ""), (401, f"{filler} twice@duo.example {filler} Vexmoor", "")]
+    rows += [(402, f"Vexmoor. {filler} twice@duo.example", ""), (403, f"Quorlaxx {filler}", ""), (None, "Nemblos none@solo.example", "")]
+    # Four values of one domain, each seen once; only the domain knows the firm's word.
+    rows += [(410 + k, f"Brintec {filler} p{k}@firm.example", "") for k in range(4)]
+    got = {r.doc_id: [m.value for m in r.term] for r in pii.sanitize(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[400] == ["Quorlax", "wrote"] and got[401] == ["Vexmoor"] and got[402] == ["Vexmoor"]
+    assert got[403] == [] and got[None] == [] and got[0] == []
+    assert all(got[410 + k] == ["Brintec"] for k in range(4))
+
+
 def test_empty_table_and_digest(spark):
     assert pii.sanitize(spark.createDataFrame([], SCHEMA)).collect() == []
     row = pii.sanitize(spark.createDataFrame([(1, "a@b.cc 9.9.9.9", "")], SCHEMA), with_text=False)
