@@ -1,20 +1,20 @@
-"""Exact substring deduplication with prefix-partitioned suffix trees.
+"""Substring deduplication by fingerprints of 20-word windows.
 
-A window is ``WINDOW`` consecutive words. Every suffix that can carry a repeated window is sampled at
-an anchor: the lightest ``PREFIX``-word run of the window, a choice that depends on the window's words
-alone, so equal windows have equal anchors at equal offsets.
+This stands in for the dealt prefix-partitioned suffix trees: there are no trees, no sorted suffixes and
+no internal nodes (see the README). A window is ``WINDOW`` consecutive words, compared by two 64-bit hashes
+of its halves. Its anchor is the lightest ``PREFIX``-word run inside it, a choice that depends on the
+window's words alone, so equal windows have equal anchors at equal offsets.
 
 1. Anchors are counted over all texts. A window whose anchor occurs once can't repeat and goes.
-2. The remaining suffixes are split into memory-sized groups by their anchor, a prefix of ``PREFIX``
-   words. Groups above ``HEAVY`` suffixes are split again by the longest prefix that matters, all
-   ``WINDOW`` words (variable-length prefixes).
-3. Each group orders its suffixes by the path (first half, second half of the window), which is the
-   order of leaves of the subtree; nodes of depth ``WINDOW`` with several leaves are the repeats. The
-   earliest leaf stays, the windows of all others go, and neighbouring windows join into maximal spans.
-
-Suffixes travel as packed arrays, one row per task and group. A batch resolves the leaves of its own
-nodes first and sends one leaf per node, so a passage in a third of all texts costs a group one leaf
-per batch. Texts with equal words are collapsed before all that: only the first is searched.
+2. The remaining windows are dealt to parts by their anchor's hash; those of anchors above ``HEAVY``
+   occurrences by the hash of all ``WINDOW`` words. The number of parts follows the bytes of text.
+3. Each part sorts its windows by their hashes. Of equal windows the earliest stays, the others go, and
+   neighbouring windows join into maximal spans.
+
+Windows travel as packed arrays, one row per task and part. A batch compares its own windows first and
+sends the earliest of each for comparison; the others go along as known repeats. All occurrences of an
+anchor, and the known repeats of a window, meet in one part, so the hottest passage bounds it.
+Texts with equal words are collapsed before all that: only the first is searched.
 
 Defined cases: null or empty text has no words, keeps nothing and its digest is that of the empty
 string. A row without doc_id is returned unchanged and hides nothing. Of different texts under one
