@@ -9,6 +9,10 @@ Defined cases: null and empty texts render as empty turns, a null role as the ro
 nulls are the same. Sides that are equal have empty completions; if one side is a prefix of the other,
 only its completion is empty. Repeated turns stay, ordered by turn, role and text (nulls first). Rows
 without conv_id form no conversation. An empty table gives no rows; extra columns are ignored.
+
+The pairs of ``negatives`` do not hold every conversation, as the SQL of op9 fixes: a conversation without
+an answer and an answered one whose neighbour has none (or doesn't exist) are dropped, and turns after the
+last answer are cut. Its sides differ in one turn, so longer completions come from ``format_pairs`` alone.
 """
 
 from __future__ import annotations
