@@ -4,7 +4,8 @@
    has 19,683 entries at any size).
 2. Suspicious tokens (letters mixed with look-alike signs, runs of a letter, single letters in a row or
    with separators) become a lattice: each sign stands for itself or for the letters it resembles, a
-   run for one, two or all of its letters, separators for nothing. Viterbi decoding finds the paths of
+   run for one, two or all of its letters, separators for nothing or, between single letters, for a
+   word border. Tokens have any length; punctuation around them is no part of them. Viterbi decoding finds the paths of
    least channel plus language-model cost; the ``PATHS`` best within ``SLACK`` of the best are kept. A
    token without alternatives has one path, itself, and isn't touched.
 3. Features are the distinct words of the text and of its restored tokens, and their first 4, 5 and 6
@@ -42,8 +43,7 @@ LEXICON = 20_000
 LEAST_WEIGHT = 3.0
 THRESHOLD = 0.3
 PATHS, SLACK = 6, 6.0
-LONGEST = 40
-REMEMBERED = 100_000
+REMEMBERED, LONGEST = 100_000, 40
 
 # Signs and the letters they are read as.
 LOOKS = {
@@ -67,11 +67,13 @@ LOOKS = {
     "*": "aeiou",
 }
 SIGNS = re.escape("".join(LOOKS))
+TOKEN = rf"a-z{SIGNS}.\-_,'’"
+# Other punctuation around a token isn't part of it. Possessive runs keep tokens of any length linear.
 MIXED = re.compile(
-    rf"(?<!\S)(?=[^\sa-z]*[a-z])(?=[a-z]*[{SIGNS}]|[a-z][.\-_][a-z])[a-z{SIGNS}.\-_,'’]{{3,{LONGEST}}}(?!\S)"
+    rf"(?<!\S)[^\w\s{SIGNS}]*+(?=[^\sa-z]*[a-z])(?=[a-z]*[{SIGNS}]|[a-z][.\-_][a-z])([{TOKEN}]{{3,}}+)[^\w\s]*+(?!\S)"
 )
 RUNS = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
-SPACED = re.compile(rf"(?<!\S)[a-z{SIGNS}](?:[ .\-_*]{{1,2}}[a-z{SIGNS}]){{2,{LONGEST}}}(?![^\s.,;:!?])")
+SPACED = re.compile(rf"(?<!\S)[^\w\s{SIGNS}]*+([a-z{SIGNS}](?>[ .\-_*]{{1,2}}[a-z{SIGNS}](?![^\W_]|[@$|+(€])){{2,}}+)")
 
 _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = np.arange(1, 27)
@@ -99,8 +101,9 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return (-np.log(counts / counts.sum(2, keepdims=True))).astype(np.float32)
 
 
-def _steps(token: str) -> list[list[tuple[str, float]]]:
-    """The lattice of a token: per place its readings and their channel costs."""
+def _steps(token: str, borders: bool = False) -> list[list[tuple[str, float]]]:
+    """The lattice of a token: per place its readings and their channel costs. With ``borders`` a
+    separator can also end a word, which a wide one does more readily."""
     out, k = [], 0
     while k < len(token):
         c, run = token[k], 1
@@ -113,28 +116,49 @@ def _steps(token: str) -> list[list[tuple[str, float]]]:
             readings.append(("", 3.0))
         else:
             readings = [("", 0.5)]
+            if borders:
+                readings = [("", 0.5 * run), (" ", 0.5 / run)]
         out.append(readings)
         k += run
     return out
 
 
-def decode(token: str, costs: np.ndarray, paths: int = PATHS, slack: float = SLACK) -> list[str]:
-    """Best readings of a token, best first (k-best Viterbi over states of the last two symbols)."""
-    beams: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-    for readings in _steps(token):
-        grown: dict[tuple[int, int], list[tuple[float, str]]] = {}
+_MOD = (1 << 61) - 1
+
+
+def decode(token: str, costs: np.ndarray, paths: int = PATHS, slack: float = SLACK, borders: bool = False) -> list[str]:
+    """Best readings of a token, best first (k-best Viterbi over states of the last two symbols).
+
+    A path is a chain of readings and the hash of its text, so the work is linear in the length."""
+    beams: dict[tuple[int, int], dict] = {(0, 0): {(0.0, 0): None}}
+    for readings in _steps(token, borders):
+        grown: dict[tuple[int, int], dict] = {}
         for (a, b), states in beams.items():
             for letters, channel in readings:
-                x, y, cost = a, b, channel
+                x, y, cost, mark, scale = a, b, channel, 0, 1
                 for c in letters:
-                    z = ord(c) - 96
+                    z = 0 if c == " " else ord(c) - 96
                     cost += float(costs[x, y, z])
                     x, y = y, z
-                grown.setdefault((x, y), []).extend((s + cost, t + letters) for s, t in states)
-        beams = {k: sorted(set(v))[:paths] for k, v in grown.items()}
-    ends = sorted((s + float(costs[a, b, 0]), t) for (a, b), v in beams.items() for s, t in v)
+                    mark, scale = (mark * 1_000_003 + z + 1) % _MOD, scale * 1_000_003 % _MOD
+                into = grown.setdefault((x, y), {})
+                for (s, h), chain in states.items():
+                    into.setdefault((s + cost, (h * scale + mark) % _MOD), (chain, letters) if letters else chain)
+        beams = {k: {e: v[e] for e in sorted(v)[:paths]} for k, v in grown.items()}
+    ends = sorted(((s + float(costs[a, b, 0]), h, a, b) for (a, b), v in beams.items() for s, h in v))
     best = ends[0][0] if ends else 0.0
-    return list(dict.fromkeys(t for s, t in ends if s <= best + slack and len(t) > 2))[:paths]
+    out = []
+    for total, h, a, b in ends:
+        if total > best + slack or len(out) >= paths:
+            break
+        chain, parts = next(v for (s, g), v in beams[a, b].items() if g == h and s + float(costs[a, b, 0]) == total), []
+        while chain is not None:
+            chain, letters = chain
+            parts.append(letters)
+        text = "".join(reversed(parts))
+        if len(text) > 2 and text not in out:
+            out.append(text)
+    return out
 
 
 class Restorer:
@@ -145,7 +169,7 @@ class Restorer:
 
     def __call__(self, text: str) -> str:
         low = text.lower()
-        found = {m[0] for pattern in (MIXED, SPACED) for m in pattern.finditer(low)}
+        found = {m[1] for pattern in (MIXED, SPACED) for m in pattern.finditer(low)}
         found.update(m[0] for m in RUNS.finditer(low))
         if not found:
             return ""
@@ -153,16 +177,22 @@ class Restorer:
             self.known.clear()
         out = []
         for token in found:
-            if token not in self.known:
-                pieces = [token] if len(token) <= LONGEST else []
-                bare = token.rstrip("!|+*($.,'’-_")
-                if pieces and bare != token and len(bare) > 2:
-                    pieces.append(bare)
-                readings = [r for p in pieces for r in decode(re.sub(r"[ .\-_]", "", p) if " " in p else p, self.costs)]
-                self.known[token] = " ".join(dict.fromkeys(readings))
-            out.append(self.known[token])
+            readings = self.known.get(token)
+            if readings is None:
+                readings = self.read(token)
+                if len(token) <= LONGEST:
+                    self.known[token] = readings
+            out.append(readings)
         return " ".join(out)
 
+    def read(self, token: str) -> str:
+        ends = "|+*($.,'’-_!"
+        pieces = [p for p in dict.fromkeys([token, token.rstrip(ends), token.strip(ends)]) if p == token or len(p) > 2]
+        readings = [r for p in pieces for r in decode(re.sub(r"[ .\-_]", "", p) if " " in p else p, self.costs)]
+        if SPACED.fullmatch(token):
+            readings += decode(token, self.costs, borders=True)
+        return " ".join(dict.fromkeys(readings))
+
 
 _BREAK = np.full(256, 32, np.uint8)
 for _k in (*range(48, 58), *range(97, 123), *range(128, 256)):

@@ -54,6 +54,18 @@ def test_disguised_words_are_found_and_clean_ones_stay(spark, fitted):
     assert all(s < 0.3 for s in scores(spark, model, clean))
 
 
+def test_long_phrases_and_quoted_tokens(spark, fitted):
+    _, model = fitted
+    spaced = " ".join("theoldgrobnikwalkedhomeagain")
+    wide = "  ".join("theoldgrobnikranhome")
+    cases = ["gr0bnik?", '"gr0bnik"', "gr0bnik)", "gr0bnik:", "(gr0bnik)", "'gr0bnik';", "gr" + "o" * 60 + "bnik", "g" * 500 + "r0bnik"]
+    cases += ["t h e g r o b n i k", "t-h-e-g-r-o-b-n-i-k", '"s n a r v e l"', spaced, wide]
+    got = scores(spark, model, [f"the old {w} bridge" for w in cases])
+    assert all(s >= 0.3 for s in got), list(zip(cases, got, strict=True))
+    clean = ["a1" * 20_000, "a!" + "!" * 50_000 + "é", "*" * 50_000 + "é", "*" * 50_000, "!" * 50_000, " ".join("theoldbridgewalkedhomeagain"), "x " * 20_000, '"b2b"? (room 101):']
+    assert all(s < 0.3 for s in scores(spark, model, clean))
+
+
 def test_lattice_against_all_paths():
     import itertools
 
