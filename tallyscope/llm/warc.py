@@ -185,11 +185,16 @@ class Reader(DataSourceReader):
         from pyarrow import fs as pafs
 
         fs, root = _place(self.folder)
-        found = []
-        for info in fs.get_file_info(pafs.FileSelector(root)):
+        found, ours = [], False
+        files = fs.get_file_info(pafs.FileSelector(root))
+        for info in files:
             if info.base_name.startswith("manifest-"):
+                ours = True
                 with fs.open_input_stream(info.path) as f:
                     found += json.loads(f.read())
+        if not ours:
+            # Another writer's folder: member starts aren't known, so a file is one split.
+            found = [{"name": f.base_name, "splits": [0], "size": f.size} for f in files if f.is_file and f.base_name.endswith(".warc.gz")]
         return [
             Split(f["name"], a, b) for f in found for a, b in zip(f["splits"], [*f["splits"][1:], f["size"]], strict=True)
         ] or [Split("", 0, 0)]
@@ -245,8 +250,10 @@ class Reader(DataSourceReader):
         row = {name: fields.get(header) for name, header in HEADERS.items()}
         row["payload_bytes"] = int(fields["x-payload-length"]) if "x-payload-length" in fields else None
         row["payload"] = None
-        keep = wanted(row, self.tests)
-        if length is not None and not (keep and self.with_payload):
+        # A length without a header is known only after the block was read.
+        late = [t for t in self.tests if t[1] == "payload_bytes" and row["payload_bytes"] is None]
+        keep = wanted(row, [t for t in self.tests if t not in late])
+        if length is not None and not (keep and (self.with_payload or late)):
             return (row if keep else None), at + length
         parts = [body]
         while not inflate.eof:
@@ -265,7 +272,7 @@ class Reader(DataSourceReader):
             row["payload"] = block
         if row["payload_bytes"] is None and row["record_type"] != "revisit":
             row["payload_bytes"] = len(block)
-        return row, after
+        return (row if wanted(row, late) else None), after
 
 
 _ARROW = pa.schema([(n, pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string()) for n in NAMES])

@@ -59,6 +59,16 @@ def test_members_are_plain_gzip_and_foreign_members_are_read(tmp_path, archive):
     assert [(g["record_id"], g["payload"]) for g in got] == [(r["record_id"], r["payload"]) for r in rows]
 
 
+def test_folder_without_a_manifest(spark, tmp_path):
+    for name, sizes in (("x", (5000, 10)), ("y", (20,))):
+        rows = [{"payload": b"A" * n, "record_type": "response", "record_id": f"<{name}{n}>", "payload_digest": None} for n in sizes]
+        plain = [b"\r\n".join(h for h in warc.record(r).split(b"\r\n") if not h.lower().startswith(b"x-payload-length")) for r in rows]
+        (tmp_path / f"{name}.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in plain))
+    back = warc.read_warc(spark, str(tmp_path))
+    assert sorted((r.record_id, r.payload_bytes, len(r.payload)) for r in back.collect()) == [("<x10>", 10, 10), ("<x5000>", 5000, 5000), ("<y20>", 20, 20)]
+    assert sorted(r.record_id for r in back.filter("payload_bytes < 100").collect()) == ["<x10>", "<y20>"]
+
+
 def test_files_outside_the_manifest_are_not_read_and_empty_tables_work(spark, tmp_path):
     folder = str(tmp_path / "w")
     warc.write_warc(warc.with_revisits(spark.createDataFrame([], SCHEMA)), folder)
