@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 HOT_ROWS = 2_000_000
 
@@ -215,6 +217,9 @@ def running_position(
     return joined
 
 
+BINS = 4096
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -222,64 +227,120 @@ def exact_quantiles(
     quantiles: dict[str, float],
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """Exact interpolated quantiles per key at position (n - 1) q.
+    """Exact interpolated quantiles per key at position (n - 1) q; keys may be null, and one without values has no row.
 
-    One form for all sizes: a quantile sketch brackets each wanted rank, the rows under the bracket
-    are only counted, and just the values inside it are collapsed to distinct values and ranked. The
-    sketch is off by at most n / ``accuracy`` ranks and the bracket allows three times that, so a
-    bracket holds its rank.
+    Rank selection in at most two rounds. A sketch puts a bracket around the two ranks a position lies
+    between; keys of at most ``accuracy`` rows have the whole line for a bracket. Rows under a bracket are
+    counted and the values inside it ranked, which shows whether both ranks were inside. The keys where one
+    was not are taken again with a bracket cut from a histogram of their own values, whose edges are values
+    with known ranks.
     """
     keys = list(keys)
+    present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    first = _ranked(present, _sketched(present, keys, quantiles, accuracy), keys)
+    missed = first.filter("_missed")
+    if not missed.isEmpty():
+        again = _ranked(present, _histogram(present, missed, keys), keys)
+        first = first.filter("NOT _missed").unionByName(again)
+    first = first.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
+    flat = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_q"))
+    return first.withColumn("_q", flat).groupBy(*keys).pivot("quantile", list(quantiles)).agg(F.first("_q"))
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equi-join in which null keys are equal; the keys of the left side stay."""
+    renamed = right.withColumnsRenamed({k: "_right_" + k for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(renamed["_right_" + k])
+    return left.join(renamed, same).drop(*["_right_" + k for k in keys])
+
+
+def _sketched(present: DataFrame, keys: Sequence[str], quantiles: dict[str, float], accuracy: int) -> DataFrame:
+    """Brackets [low, high] per key and quantile, closed, a null edge being open; and both wanted ranks.
+
+    The sketch is off by n / accuracy ranks, the bracket allows three times that: above ``accuracy`` rows
+    this leaves two ranks for rounding.
+    """
     slack = 3.0 / accuracy
-    edges = df.groupBy(*keys).agg(
-        F.count(value).alias("_n"),
+    wide = present.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
         *[
             F.percentile_approx(
-                value, F.array(F.lit(max(q - slack, 0.0)), F.lit(min(q + slack, 1.0))), F.lit(accuracy)
+                "_v", F.array(F.lit(max(q - slack, 0.0)), F.lit(min(q + slack, 1.0))), F.lit(accuracy)
             ).alias("_e_" + name)
             for name, q in quantiles.items()
         ],
     )
-    edges = edges.select(
-        *keys,
-        "_n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("quantile"),
-                        F.lit(q).alias("q"),
-                        F.col("_e_" + name)[0].alias("low"),
-                        F.col("_e_" + name)[1].alias("high"),
-                    )
-                    for name, q in quantiles.items()
-                ]
-            )
-        ).alias("_edge"),
-    ).select(*keys, "_n", "_edge.*")
-    present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    # Without keys the edges are one row per quantile.
-    marked = present.join(edges, keys) if keys else present.join(F.broadcast(edges), F.lit(True))
-    marked = marked.filter(F.col("_v") <= F.col("high"))
-    below = F.col("_v") < F.col("low")
-    counted = marked.groupBy(
-        *keys, "quantile", "q", "_n", F.when(~below, F.col("_v")).alias("_v")
-    ).agg(F.count(F.lit(1)).alias("_c"))
+    small = F.col("_n") <= accuracy
+    edges = [
+        F.struct(
+            F.lit(name).alias("quantile"),
+            F.floor((F.col("_n") - 1) * F.lit(float(q))).alias("_ra"),
+            F.ceil((F.col("_n") - 1) * F.lit(float(q))).alias("_rb"),
+            ((F.col("_n") - 1) * F.lit(float(q))).alias("_at"),
+            F.when(~small & F.lit(q > slack), F.col("_e_" + name)[0]).alias("low"),
+            F.when(~small & F.lit(q < 1 - slack), F.col("_e_" + name)[1]).alias("high"),
+        )
+        for name, q in quantiles.items()
+    ]
+    return wide.select(*keys, F.explode(F.array(*edges)).alias("_edge")).select(*keys, "_edge.*")
+
+
+def _inside(present: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of every key beside each of its brackets."""
+    # Without keys the brackets are one row per quantile.
+    return _beside(present, brackets, keys) if keys else present.join(F.broadcast(brackets), F.lit(True))
+
+
+def _ranked(present: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Values at both ranks of every bracket, and whether the bracket missed one of them."""
+    marked = _inside(present, brackets, keys).filter(F.col("high").isNull() | (F.col("_v") <= F.col("high")))
+    below = F.coalesce(F.col("_v") < F.col("low"), F.lit(False))
+    by = [*keys, "quantile", "_ra", "_rb", "_at"]
+    counted = marked.groupBy(*by, below.alias("_under"), F.when(~below, F.col("_v")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c")
+    )
     window = (
         Window.partitionBy(*keys, "quantile")
-        .orderBy(F.col("_v").asc_nulls_first())
+        .orderBy(F.col("_under").desc(), "_v")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    ranked = counted.withColumn("_upto", F.sum("_c").over(window)).filter(F.col("_v").isNotNull())
-    position = (F.col("_n") - 1) * F.col("q")
-
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > rank, F.col("_v")))
-
-    picked = ranked.groupBy(*keys, "quantile").agg(
-        at(F.floor(position)).alias("_a"),
-        at(F.ceil(position)).alias("_b"),
-        F.first(position - F.floor(position)).alias("_f"),
+    ranked = counted.withColumn("_upto", F.sum("_c").over(window))
+
+    def at(rank: str) -> Column:
+        return F.min(F.when(~F.col("_under") & (F.col("_upto") > F.col(rank)), F.col("_v")))
+
+    held = F.coalesce(F.max(F.when(F.col("_under"), F.col("_upto"))), F.lit(0))
+    picked = ranked.groupBy(*by).agg(at("_ra").alias("_a"), at("_rb").alias("_b"), held.alias("_held"), F.max("_upto").alias("_last"))
+    missed = (F.col("_ra") < F.col("_held")) | (F.col("_rb") >= F.col("_last"))
+    picked = picked.withColumns({"_missed": missed, "_f": F.col("_at") - F.col("_ra")}).drop("_held", "_last")
+    # The misses are counted and the values read: keep the few rows instead of ranking twice.
+    return cut_lineage(picked)
+
+
+def _histogram(present: DataFrame, missed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Brackets from equal bins over the finite values of a key; infinities and NaN have bins of their own."""
+    wanted = missed.select(*keys, "quantile", "_ra", "_rb", "_at")
+    finite = F.when(~F.isnan("_v") & (F.abs("_v") < float("inf")), F.col("_v"))
+    span = _inside(present, wanted.select(*keys).distinct(), keys) if keys else present
+    span = span.groupBy(*keys).agg((F.min(finite) / 2).alias("_s"), (F.max(finite) / 2).alias("_e"))
+    rows = _beside(present, span, keys) if keys else present.join(F.broadcast(span), F.lit(True))
+    width = F.greatest(F.col("_e") - F.col("_s"), F.lit(5e-324))
+    cell = F.least(F.floor((F.col("_v") / 2 - F.col("_s")) / width * BINS), F.lit(BINS - 1))
+    cell = (
+        F.when(F.isnan("_v"), F.lit(BINS + 1))
+        .when(F.col("_v") == float("inf"), F.lit(BINS))
+        .when(F.col("_v") == float("-inf"), F.lit(-1))
+        .otherwise(cell)
+    )
+    cells = rows.groupBy(*keys, cell.alias("_cell")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    )
+    order = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    upto = cells.withColumn("_upto", F.sum("_c").over(order))
+    pairs = _inside(upto, wanted, keys)
+    return pairs.groupBy(*keys, "quantile", "_ra", "_rb", "_at").agg(
+        F.min(F.when(F.col("_upto") > F.col("_ra"), F.col("_lo"))).alias("low"),
+        F.min(F.when(F.col("_upto") > F.col("_rb"), F.col("_hi"))).alias("high"),
     )
-    picked = picked.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
-    return picked.groupBy(*keys).pivot("quantile", list(quantiles)).agg(F.first("_q"))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,40 @@ def test_exact_quantiles_by_bracket(spark):
     assert abs(whole.first().q90 - ordered.exact_quantiles(df, [], "x", qs).first().q90) < 1e-9
 
 
+def test_exact_quantiles_of_every_size(spark):
+    draw = random.Random(11)
+    data = [(n, draw.choice([0.0, 1.0, 3.0, float(draw.randint(-9, 9)), draw.random()])) for n in range(1, 51) for _ in range(n)]
+    data += [(None, 4.0), (None, 8.0), (99, None)]
+    df = spark.createDataFrame(data, "g int, x double")
+    qs = {"q00": 0.0, "q10": 0.1, "q50": 0.5, "q90": 0.9, "q100": 1.0}
+    for accuracy in (10_000, 20, 7):
+        got = {r.g: r for r in ordered.exact_quantiles(df, ["g"], "x", qs, accuracy).collect()}
+        assert set(got) == {None, *range(1, 51)}
+        for g, row in got.items():
+            values = [x for k, x in data if k == g]
+            for name, q in qs.items():
+                assert abs(row[name] - np.quantile(values, q)) < 1e-12, (g, name, accuracy)
+
+
+def test_exact_quantiles_after_a_missed_bracket(spark, monkeypatch):
+    draw = random.Random(13)
+    values = [draw.choice([0.0, 1e-300, 1e300, -1e308, 1e308, draw.random()]) for _ in range(900)]
+    df = spark.createDataFrame([(k % 2, x) for k, x in enumerate(values)], "g int, x double")
+    sketched = ordered._sketched
+
+    def wrong(*arguments):
+        return sketched(*arguments).withColumns({"low": F.lit(0.9), "high": F.lit(0.95)})
+
+    want = ordered.exact_quantiles(df, ["g"], "x", {"a": 0.3, "b": 0.77})
+    whole = ordered.exact_quantiles(df, [], "x", {"a": 0.3, "b": 0.77})
+    monkeypatch.setattr(ordered, "_sketched", wrong)
+    assert rows(ordered.exact_quantiles(df, ["g"], "x", {"a": 0.3, "b": 0.77}), "g") == rows(want, "g")
+    assert rows(ordered.exact_quantiles(df, [], "x", {"a": 0.3, "b": 0.77})) == rows(whole)
+    for row in rows(want, "g"):
+        own = [x for k, x in enumerate(values) if k % 2 == row[0]]
+        assert np.allclose(row[1:], np.quantile(own, [0.3, 0.77]))
+
+
 def test_tie_ranks_match_window(spark):
     draw = random.Random(7)
     df = spark.createDataFrame([(draw.randint(0, 60) / 1000, draw.randint(0, 1)) for _ in range(500)], "probability double, label int")
