@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("substring_dedup", "minhash_dedup", "packing", "pii", "quality", "chat", "warc", "embedding_dedup", "sentencepiece_fst", "toxicity")
+MODULES = ("substring_dedup", "minhash_dedup", "packing", "pii", "quality", "chat", "warc", "embedding_dedup", "sentencepiece_fst", "toxicity", "license_scan", "importance", "periodic_runs")
 
 
 def load() -> None:
