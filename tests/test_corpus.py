@@ -40,6 +40,23 @@ def test_long_chain_and_star(spark):
     assert rows(got.groupBy("component").count(), "component") == [("q000", 121), ("q500", 101)]
 
 
+def test_hubs_are_cut_into_parts(spark):
+    draw = random.Random(4)
+    hub = [(0, k) for k in range(1, 400)] + [(5000, k) for k in range(300, 700)]
+    rest = [(draw.randint(1000, 1400), draw.randint(1000, 1400)) for _ in range(150)] + [(7, 7), (None, 3), (8, None), (0, 1)]
+    df = spark.createDataFrame(hub + rest, "a bigint, b bigint").repartition(7)
+    want = rows(components.connected_components(df, "a", "b"), "node")
+    assert [c for n, c in want if n in (0, 399, 699, 5000)] == [0, 0, 0, 0]
+    for limit in (3, 40):
+        assert rows(components.connected_components(df, "a", "b", hub_edges=limit), "node") == want
+    edges = df.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    settled, larger, smaller = components.survey(edges, 40)
+    assert not settled and larger == {0: 10} and smaller == {5000: 10}
+    # Rows of a hub are spread over its parts.
+    joined = components.beside_minimum(edges, smaller).filter("u = 5000")
+    assert joined.count() == 400 and joined.select("m").distinct().count() == 1
+
+
 def test_transitive_merge_survives_conflict_exclusion(spark):
     data = [("One", ["same  Answer"], []), ("two", ["x"], ["SAME answer", "y"]), ("three", ["y2"], ["y"]), ("four", ["solo", None, "  "], [])]
     out = reports.origin_dataset(spark.createDataFrame(data, QA), 5)
