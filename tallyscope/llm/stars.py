@@ -1,45 +1,22 @@
-"""Connected components by alternating large-star and small-star, one checkpoint per round."""
+"""Connected components by alternating large-star and small-star, one checkpoint per round.
+
+The two steps, and the parts that hubs are cut into, are those of ``operators.components``: a near-duplicate
+class or a crowd of links around one document is such a hub.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut_lineage
-
-
-def _large(edges: DataFrame) -> DataFrame:
-    """Each larger neighbour of a node moves to the smallest node of the neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-
-def _small(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours move to the smallest of them; edges have a > b."""
-    low = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+from ..operators.components import HUB_EDGES, stars
 
 
-def components(links: DataFrame, a: str, b: str, rounds: int = 80) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, rounds: int = 80, hub_edges: int = HUB_EDGES) -> DataFrame:
     """(node, component) of every node that has a link; the component is its smallest node.
 
-    Null ends and loops are ignored. Rounds are logarithmic in the longest path; the count and a
-    checksum of the edges say when nothing moves any more.
+    Null ends and loops are ignored. Rounds are logarithmic in the longest path.
     """
-    current = cut_lineage(
-        links.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-        .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-        .filter("a <> b")
-        .distinct()
-    )
-    seen = None
-    for _ in range(rounds):
-        state = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen or not state[0]:
-            tops = current.select(F.col("b").alias("node"), F.col("b").alias("component"))
-            return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops).distinct()
-        seen = state
-        current = cut_lineage(_small(_large(current).filter("a <> b").distinct()))
-    raise RuntimeError("components did not settle within the allowed rounds")
+    found = stars(links.select(F.col(a).alias("u"), F.col(b).alias("v")), rounds, hub_edges)
+    roots = found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return found.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -1,8 +1,10 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import types as T
 
+from tallyscope.llm import minhash_dedup
 from tallyscope.llm.minhash_dedup import near_duplicates
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("bucket", T.StringType())])
@@ -68,3 +70,45 @@ def test_classes_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert result(spark, []) == []
+
+
+def crowd(centres, copies, seed):
+    """Near copies around several centres that themselves resemble each other."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(90)]
+    texts = []
+    for _ in range(centres):
+        centre = list(base)
+        for k in rnd.sample(range(90), 3):
+            centre[k] = word()
+        for _ in range(copies):
+            text = list(centre)
+            for k in rnd.sample(range(90), rnd.randint(0, 3)):
+                text[k] = word()
+            texts.append(" ".join(text))
+    rnd.shuffle(texts)
+    return [(k, t) for k, t in enumerate(texts)]
+
+
+def test_crowd_around_several_centres(spark, monkeypatch):
+    rows = crowd(6, 30, 3) + [(1000 + k, t) for k, t in crowd(3, 20, 4)]
+    want = brute(rows)
+    assert len({r[2] for r in want}) > 3
+    assert result(spark, rows) == want
+    for block, size in ((16, 8_000_000), (512, 5_000)):
+        monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+        monkeypatch.setattr(minhash_dedup, "BLOCK_BYTES", size)
+        monkeypatch.setattr(minhash_dedup, "PIVOT", block)
+        assert result(spark, rows) == want
+
+
+def test_blocks_return_forests():
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(rnd.integers(0, 9000, rnd.integers(1, 300)).astype(np.uint64)) for _ in range(40)]
+    both = minhash_dedup._common(sets[:15], sets[15:])
+    assert both.tolist() == [[len(np.intersect1d(a, b)) for b in sets[15:]] for a in sets[:15]]
+    names = np.arange(30)
+    every = np.array([(a, b) for a in range(30) for b in range(a)]).T
+    assert len(minhash_dedup._forest(names, [tuple(every)])) == 29
+    assert len(minhash_dedup._forest(names // 10, [tuple(every)])) == 2
