@@ -21,6 +21,7 @@ from ..operators.exposure import SERIES, add_errors
 from ..functions.numeric import horizon_bucket
 from ..operators.metrics import TEMPERATURES
 from ..operators.splits import inner_split, only
+from ..session import cut_lineage
 
 # Fixed values of the fitting recipe.
 SEED = 20261008
@@ -551,45 +552,236 @@ def fit_prefixes(
     return pd.concat(parts, ignore_index=True)
 
 
+def ragged_gradient(
+    raw: np.ndarray, ages: np.ndarray, logs: np.ndarray, sizes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """As ``curve_gradient`` for curves with points of their own: those of curve k follow those of curve k - 1.
+
+    ``logs`` are log1p of the counts; every curve has a point at least.
+    """
+    positive = softplus(raw)
+    starts = np.cumsum(sizes) - sizes
+    base, amplitude, tau = (np.repeat(x, sizes) for x in (positive[:, 0], positive[:, 1], positive[:, 2] + TAU_FLOOR_HOURS))
+    rise = -np.expm1(-ages / tau)
+    predicted = base + amplitude * rise
+    gap = np.log1p(predicted) - logs
+    outer = 2 * gap / (1 + predicted)
+    parts = (outer, outer * rise, outer * -amplitude * (1 - rise) * ages / tau**2)
+    slope = np.stack([np.add.reduceat(x, starts) for x in parts], axis=1)
+    return np.add.reduceat(gap * gap, starts), slope * logistic(raw)
+
+
+def _gate(ages: np.ndarray, last_only: bool) -> np.ndarray:
+    """Positions (from 0) of the prefix ends of one ordered series that are fitted; ages are seconds."""
+    ends = np.flatnonzero((np.arange(len(ages)) + 1 >= CURVE_MIN_POINTS) & (ages - ages[0] >= CURVE_MIN_SPAN))
+    return ends[ends == len(ages) - 1] if last_only else ends
+
+
+def _fit_together(
+    ages: list[np.ndarray], logs: list[np.ndarray], epochs: int
+) -> pd.DataFrame:
+    """One fit for each pair of arrays, all in the same numpy calls; ages are hours."""
+    sizes = np.array([len(a) for a in ages])
+    flat, target = np.concatenate(ages), np.concatenate(logs)
+    ends = np.cumsum(sizes)
+    first, last = ends - sizes, ends - 1
+    raw = curve_start(flat[first], flat[last], np.expm1(target[first]), np.expm1(target[last]))
+    adam = Adam(0.03)
+    for _ in range(epochs):
+        _, slope = ragged_gradient(raw, flat, target, sizes)
+        raw = adam.step(raw, slope / sizes[:, None])
+    loss, _ = ragged_gradient(raw, flat, target, sizes)
+    return curve_frame(raw, loss, sizes)
+
+
+def _bundle_fitter(epochs: int, last_only: bool):
+    """Fits of every series of a bundle, about ``BATCH_POINTS`` points of prefixes at a time."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[pd.DataFrame] = []
+        held: list[tuple] = []
+
+        def flush() -> None:
+            if held:
+                part = _fit_together([h[2] for h in held], [h[3] for h in held], epochs)
+                part["position"] = part["n_training_points"]
+                for k, name in enumerate(SERIES):
+                    part[name] = [h[k] for h in held]
+                out.append(part)
+                held.clear()
+
+        points = 0
+        for key, own in pdf.sort_values([*SERIES, "position"]).groupby(SERIES, sort=False, dropna=False):
+            seconds = own["age_seconds"].to_numpy(dtype=float)
+            ages, logs = seconds / 3600, np.log1p(own["value"].to_numpy(dtype=float))
+            for end in _gate(seconds, last_only):
+                held.append((*key, ages[: end + 1], logs[: end + 1]))
+                points += end + 1
+                if points >= BATCH_POINTS:
+                    flush()
+                    points = 0
+        flush()
+        return pd.concat(out, ignore_index=True)[CURVE_COLUMNS] if out else pd.DataFrame(columns=CURVE_COLUMNS)
+
+    return run
+
+
+# Points of all prefixes together in one numpy batch, of one bundle of series, and of a series that is fitted in blocks.
+BATCH_POINTS = 40_000
+BUNDLE_POINTS = 4_000_000
+LONG_SERIES = 20_000
+POINT_BLOCK, PREFIX_BLOCK = 4_096, 256
+CURVE_COLUMNS = [*SERIES, "position", "base", "amplitude", "tau_seconds", "training_loss", "n_training_points", "fit_status"]
+
+
 def saturation_fits(
     rows: DataFrame,
     epochs: int = CURVE_EPOCHS,
     last_only: bool = False,
     fit_fn: Callable[[pd.DataFrame, int, bool], pd.DataFrame] | None = None,
-    ends_per_task: int = 256,
+    long_series: int = LONG_SERIES,
+    point_block: int = POINT_BLOCK,
+    prefix_block: int = PREFIX_BLOCK,
 ) -> DataFrame:
-    """Curve parameters per series and prefix end, all series in one job.
+    """Curve parameters per series and prefix end.
 
-    ``rows`` carries url, source, position (1, 2, ... in a series), age_seconds and value. A group holds
-    ``ends_per_task`` prefix ends of one series and the points up to the last of them, so a long series
-    becomes many tasks. A caller's ``fit_fn`` is called once for every series, whatever its length.
+    ``rows`` carries url, source, position (1, 2, ... in a series), age_seconds and value. Series of at most
+    ``long_series`` points are bundled by their work and fitted many at once; a longer one is cut into blocks of
+    points and of prefix ends (``block_fits``), so no task holds it. A caller's ``fit_fn`` is called once for
+    every series, whatever its length.
     """
     base = rows.select(*SERIES, "position", "age_seconds", "value")
-    columns = [*SERIES, "position", "base", "amplitude", "tau_seconds", "training_loss", "n_training_points", "fit_status"]
     schema = f"url string, source string, position bigint, {CURVE_SCHEMA}"
-
-    def named(key: tuple, out: pd.DataFrame) -> pd.DataFrame:
-        return out.assign(**dict(zip(SERIES, key[:2], strict=True)))[columns]
-
     if fit_fn is not None:
 
         def whole(key, pdf):
-            return named(key, fit_fn(pdf, epochs, last_only))
+            out = fit_fn(pdf, epochs, last_only)
+            return out.assign(**dict(zip(SERIES, key[:2], strict=True)))[CURVE_COLUMNS]
 
         return base.groupBy(*SERIES).applyInPandas(whole, schema)
-
-    def part(key, pdf):
-        after = int(key[2]) * ends_per_task
-        return named(key, fit_prefixes(pdf, epochs, last_only, after=after, upto=after + ends_per_task))
-
-    def block(position):
-        return F.floor((F.col(position) - 1) / ends_per_task)
-
-    sizes = base.groupBy(*SERIES).agg(F.max("position").alias("_n"))
-    spread = base.join(sizes, SERIES).withColumn(
-        "_block", F.explode(F.sequence(block("_n") if last_only else block("position"), block("_n")))
+    n = F.count(F.lit(1)).cast("double")
+    sizes = base.groupBy(*SERIES).agg(n.alias("_n"))
+    work = F.col("_n") if last_only else F.col("_n") * F.col("_n") / 2
+    small = F.col("_n") <= long_series
+    known = sizes.agg(F.sum(F.when(small, work)), F.count_if(~small)).first()
+    # One bundle at least for every task that may run: fits cost far more than the rows they read.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    bundles = max(4 * cores, int((known[0] or 0) // BUNDLE_POINTS))
+    bundled = base.join(sizes.filter(small).select(*SERIES), SERIES) if known[1] else base
+    # As many shuffle partitions as bundles: joined small ones would leave cores idle.
+    bundled = bundled.withColumn("_bundle", F.pmod(F.xxhash64(*SERIES), F.lit(bundles))).repartition(bundles, "_bundle")
+    fits = bundled.groupBy("_bundle").applyInPandas(_bundle_fitter(epochs, last_only), schema)
+    if not known[1]:
+        return fits
+    long = base.join(sizes.filter(~small).select(*SERIES), SERIES)
+    return fits.unionByName(block_fits(long, epochs, last_only, point_block, prefix_block))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values, np.float64).tobytes()
+
+
+def _point_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("position")
+    row = {name: pdf[name].iloc[0] for name in [*SERIES, "_block"]}
+    hours = pdf["age_seconds"].to_numpy(dtype=float) / 3600
+    row |= {"ages": _packed(hours), "logs": _packed(np.log1p(pdf["value"].to_numpy(dtype=float))), "first": int(pdf["position"].iloc[0])}
+    return pd.DataFrame([row])
+
+
+def _start_states(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Start parameters and empty moments of one block of prefix ends."""
+    pdf = pdf.sort_values("position")
+    hours, last = pdf["age_seconds"].to_numpy(dtype=float) / 3600, pdf["value"].to_numpy(dtype=float)
+    raw = curve_start(pdf["_a0"].to_numpy(dtype=float) / 3600, hours, pdf["_v0"].to_numpy(dtype=float), last)
+    row = {name: pdf[name].iloc[0] for name in [*SERIES, "_prefix"]}
+    none = _packed(np.zeros_like(raw))
+    return pd.DataFrame([row | {"ends": pdf["position"].to_numpy(np.int64).tobytes(), "raw": _packed(raw), "first": none, "second": none}])
+
+
+def _partial_gradients(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Losses and slopes of prefix blocks over the point blocks of this task, summed before they are sent."""
+    sums: dict[tuple, np.ndarray] = {}
+    for pdf in frames:
+        for row in pdf.itertuples(index=False):
+            raw = np.frombuffer(row.raw).reshape(-1, 3)
+            ages, logs = np.frombuffer(row.ages), np.frombuffer(row.logs)
+            reach = np.clip(np.frombuffer(row.ends, np.int64) - row.at + 1, 0, len(ages))
+            loss, slope = np.zeros(len(raw)), np.zeros_like(raw)
+            # Prefixes that end before this block have no point in it.
+            for lo in range(0, len(raw), 16):
+                part = slice(lo, lo + 16)
+                top = int(reach[part].max(initial=0))
+                if top:
+                    mask = np.arange(top)[None, :] < reach[part][:, None]
+                    loss[part], slope[part] = curve_gradient(raw[part], ages[:top], np.expm1(logs[:top]), mask)
+            key = (row.url, row.source, row._asdict()["prefix"])
+            sums[key] = sums.get(key, 0) + np.column_stack([loss, slope])
+    rows = [(*key, _packed(total)) for key, total in sums.items()]
+    yield pd.DataFrame(rows, columns=[*SERIES, "_prefix", "total"])
+
+
+def _stepped(step: int):
+    """One step of Adam for a prefix block from the partial sums of all tasks."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf[pdf["raw"].notna()].iloc[0]
+        raw, first, second = (np.frombuffer(row[c]).reshape(-1, 3) for c in ("raw", "first", "second"))
+        sizes = np.frombuffer(row["ends"], np.int64)
+        total = sum(np.frombuffer(t).reshape(-1, 4) for t in pdf.loc[pdf["total"].notna(), "total"])
+        adam = Adam(0.03, step, first, second)
+        raw = adam.step(raw, total[:, 1:] / sizes[:, None])
+        out = {c: row[c] for c in [*SERIES, "_prefix", "ends"]}
+        return pd.DataFrame([out | {"raw": _packed(raw), "first": _packed(adam.first), "second": _packed(adam.second)}])
+
+    return run
+
+
+def block_fits(rows: DataFrame, epochs: int, last_only: bool, point_block: int, prefix_block: int) -> DataFrame:
+    """Rolling fits of series that no task should hold.
+
+    Points lie in blocks of ``point_block``, parameters and moments of prefix ends in a table of blocks of
+    ``prefix_block``. In every epoch a prefix block meets the point blocks it reaches, partial sums are combined
+    inside the tasks, and one row a prefix block is stepped and written to the
+    checkpoint folder. With n points an epoch costs the n * n / 2 terms that n rolling fits have.
+    """
+    place = lambda column, size: F.floor((F.col(column) - 1) / size)
+    points = rows.withColumn("_block", place("position", point_block)).groupBy(*SERIES, "_block")
+    points = cut_lineage(
+        points.applyInPandas(_point_blocks, "url string, source string, _block bigint, ages binary, logs binary, first bigint")
+    ).withColumnRenamed("first", "at")
+    opening = rows.groupBy(*SERIES).agg(
+        F.min_by("age_seconds", "position").alias("_a0"), F.min_by("value", "position").alias("_v0"), F.max("position").alias("_top")
     )
-    return spread.drop("_n").groupBy(*SERIES, "_block").applyInPandas(part, schema)
+    ends = rows.join(opening, SERIES)
+    ends = ends.filter((F.col("position") >= CURVE_MIN_POINTS) & (F.col("age_seconds") - F.col("_a0") >= CURVE_MIN_SPAN))
+    if last_only:
+        ends = ends.filter(F.col("position") == F.col("_top"))
+    state_schema = "url string, source string, _prefix bigint, ends binary, raw binary, first binary, second binary"
+    state = ends.withColumn("_prefix", place("position", prefix_block)).groupBy(*SERIES, "_prefix")
+    state = cut_lineage(state.applyInPandas(_start_states, state_schema))
+    last = F.floor(((F.col("_prefix") + 1) * prefix_block - 1) / point_block)
+
+    def totals(state: DataFrame) -> DataFrame:
+        reach = state.select(*SERIES, F.col("_prefix").alias("prefix"), "ends", "raw", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_block"))
+        met = reach.join(points, [*SERIES, "_block"]).select(*SERIES, "prefix", "ends", "raw", "ages", "logs", "at")
+        return met.mapInPandas(_partial_gradients, "url string, source string, _prefix bigint, total binary")
+
+    def beside(state: DataFrame) -> DataFrame:
+        return state.unionByName(totals(state), allowMissingColumns=True).groupBy(*SERIES, "_prefix")
+
+    for step in range(epochs):
+        # The next epoch reads the table twice, so it is written each time; it has one row a prefix block.
+        state = cut_lineage(beside(state).applyInPandas(_stepped(step), state_schema))
+
+    def finished(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf[pdf["raw"].notna()].iloc[0]
+        sizes = np.frombuffer(row["ends"], np.int64)
+        total = sum(np.frombuffer(t).reshape(-1, 4) for t in pdf.loc[pdf["total"].notna(), "total"])
+        out = curve_frame(np.frombuffer(row["raw"]).reshape(-1, 3), total[:, 0], sizes)
+        return out.assign(position=sizes, **{c: row[c] for c in SERIES})[CURVE_COLUMNS]
+
+    return beside(state).applyInPandas(finished, f"url string, source string, position bigint, {CURVE_SCHEMA}")
 
 
 CURVE_MODEL = "saturation_curve"

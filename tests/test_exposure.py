@@ -60,13 +60,38 @@ def curve_points():
 def test_curve_fit_paths_agree(spark):
     points = exposure.load_series(exposure.stack_collections(collections(spark, curve_points())))[0]
     base = exposure.unrevised(points)
-    small = fitting.saturation_fits(base, epochs=6)
-    large = fitting.saturation_fits(base, epochs=6, ends_per_task=3)
-    key = ["position", "base", "amplitude", "tau_seconds", "training_loss"]
-    a, b = rows(small.select(key), "position"), rows(large.select(key), "position")
-    assert [r[0] for r in a] == [6, 7, 8, 9] and np.allclose(np.array(a, float), np.array(b, float), rtol=1e-9)
-    last = fitting.saturation_fits(base, epochs=6, last_only=True)
-    assert rows(last.select(key)) == a[-1:]
+    key = ["position", "base", "amplitude", "tau_seconds", "training_loss", "n_training_points"]
+    pdf = base.select("position", "age_seconds", "value").toPandas()
+    for only_last in (False, True):
+        want = fitting.fit_prefixes(pdf, 6, only_last)[key].to_numpy(float)
+        bundled = fitting.saturation_fits(base, 6, only_last)
+        blocks = fitting.saturation_fits(base, 6, only_last, long_series=3, point_block=4, prefix_block=2)
+        for got in (bundled, blocks):
+            assert np.allclose(np.array(rows(got.select(key), "position"), float), want, rtol=1e-9)
+    assert [r[0] for r in rows(bundled.select(key))] == [9]
+
+
+def test_bundles_hold_many_series(spark, monkeypatch):
+    monkeypatch.setattr(fitting, "BATCH_POINTS", 50)
+    data, want = [], {}
+    for k in range(12):
+        n = 3 + k
+        own = [(f"u{k}", "s", i + 1, 300.0 * (i + 1) + k, 5 + 17 * i * (k + 1)) for i in range(n)]
+        data += own
+        frame = pd.DataFrame(own, columns=["url", "source", "position", "age_seconds", "value"])
+        for r in fitting.fit_prefixes(frame, 40).itertuples():
+            want[f"u{k}", r.position] = (r.base, r.amplitude, r.tau_seconds, r.training_loss)
+    # A third of all points in one series, which is cut into blocks.
+    long = [("long", "s", i + 1, 200.0 * (i + 1), 10 * i) for i in range(40)]
+    for r in fitting.fit_prefixes(pd.DataFrame(long, columns=["url", "source", "position", "age_seconds", "value"]), 3).itertuples():
+        want["long", r.position] = (r.base, r.amplitude, r.tau_seconds, r.training_loss)
+    schema = "url string, source string, position bigint, age_seconds double, value bigint"
+    got = fitting.saturation_fits(spark.createDataFrame(data, schema).repartition(4), 40)
+    cut = fitting.saturation_fits(spark.createDataFrame(data[:12] + long, schema).repartition(4), 3, long_series=30, point_block=16, prefix_block=8)
+    found = {(r.url, r.position): (r.base, r.amplitude, r.tau_seconds, r.training_loss) for r in [*got.collect(), *cut.filter("url = 'long'").collect()]}
+    assert set(found) == set(want)
+    assert all(np.allclose(found[k], want[k], rtol=1e-9) for k in want)
+    assert {r.url for r in cut.select("url").distinct().collect()} >= {"long"}
 
 
 def test_curve_gradient_is_the_derivative():
@@ -177,4 +202,4 @@ def test_a_callers_fitter_runs_for_every_series(spark):
         return pd.DataFrame([{"position": len(pdf), "base": 1.0, "amplitude": 1.0, "tau_seconds": 1.0, "training_loss": 0.0, "n_training_points": len(pdf), "fit_status": "experimental_fit"}])
 
     base = spark.range(40).selectExpr("concat('u', id % 2) AS url", "'s' AS source", "cast(id / 2 AS bigint) + 1 AS position", "cast(id AS double) AS age_seconds", "id AS value")
-    assert sorted((r.url, r.position) for r in fitting.saturation_fits(base, fit_fn=fit, ends_per_task=3).collect()) == [("u0", 20), ("u1", 20)]
+    assert sorted((r.url, r.position) for r in fitting.saturation_fits(base, fit_fn=fit).collect()) == [("u0", 20), ("u1", 20)]
