@@ -104,3 +104,85 @@ def test_sealed_forecasts_are_scored_or_expire(spark, feed):
     got = run(lambda s: captures.score_sealed(s, "10 minutes"), schema, "sealed")
     assert rows(got, "forecast_id") == [
         ("f", "delayed_proxy", 20, 10.0, 14.0, 6.0), ("g", "outside_window", None, None, 14.0, None), ("h", "exact_target_observation", 11, 0.0, 14.0, 3.0)]
+
+
+def test_any_order_within_the_delay_gives_the_batch_rows(spark, feed):
+    add, run = feed
+    draw = random.Random(12)
+    data = [(f"s{draw.randint(0, 3)}", at(60 * i), draw.randint(0, 300) if i % 9 else None) for i in range(150)]
+    # Arrival is up to an hour off; every series ends with a capture far behind, which the watermark never reaches.
+    arrivals = sorted(data, key=lambda r: (r[1].timestamp() + draw.randint(0, 3500), r[0]))
+    arrivals += [arrivals[3], arrivals[9]]
+    for k in range(0, len(arrivals), 38):
+        add(spark.createDataFrame(arrivals[k : k + 38], SCHEMA))
+    add(spark.createDataFrame([(f"s{k}", at(10**6), 1) for k in range(4)], SCHEMA))
+    add(spark.createDataFrame([("s0", at(10**6 + 1), 1)], SCHEMA))
+    got = run(lambda s: captures.ordered_deltas(s, "series", "value", "3 hours"), SCHEMA, "ordered")
+    want = intervals.counter_intervals(spark.createDataFrame(data, SCHEMA), ["series"], "value")
+    columns = ["series", "started_at", "ended_at", "interval_seconds", "net_delta", "net_rate_per_second", "status"]
+    assert rows(got.select(columns), "series", "ended_at") == rows(want.select(columns), "series", "ended_at")
+
+
+def test_values_at_one_instant_conflict_once(spark, feed):
+    add, run = feed
+    add(spark.createDataFrame([("a", at(120), 9), ("a", at(0), 1), ("a", at(60), 7)], SCHEMA))
+    add(spark.createDataFrame([("a", at(60), 5), ("a", at(60), 5), ("a", at(30), 2)], SCHEMA))
+    add(spark.createDataFrame([("a", at(50_000), 10)], SCHEMA))
+    add(spark.createDataFrame([("b", at(50_000), 10)], SCHEMA))
+    got = run(lambda s: captures.ordered_deltas(s, "series", "value", "1 hour"), SCHEMA, "instants")
+    assert [(r.net_delta, r.status) for r in got.orderBy("ended_at", "net_delta").collect()] == [
+        (1, "observed_counter_change"), (None, "conflicting_capture"), (3, "observed_counter_change"), (4, "observed_counter_change")]
+
+
+FEED = "forecast_id string, kind string, event_at timestamp, target_us bigint, start_us bigint, end_us bigint, actual bigint, prediction double"
+
+
+def us(seconds):
+    return int(at(seconds).timestamp() * 1e6)
+
+
+def forecast(name, sent=0, target=3600, end=3900, prediction=14.0):
+    return (name, "forecast", at(sent), us(target), None, us(end), None, prediction)
+
+
+def read(name, t, value):
+    return (name, "capture", at(t), None, us(t), us(t), value, None)
+
+
+def test_a_forecast_sent_again_moves_its_timer(spark, feed):
+    add, run = feed
+    add(spark.createDataFrame([forecast("f"), forecast("g"), read("f", 3700, 20)], FEED))
+    # Later and earlier ends: the old timer must neither fire nor stop the stream.
+    add(spark.createDataFrame([forecast("f", 10, 3600, 8000, 30.0), forecast("g", 10, 3600, 3601, 1.0)], FEED))
+    add(spark.createDataFrame([read("z", 5600, 1), read("f", 3650, 25)], FEED))
+    for t in (7000, 9500, 9501):
+        add(spark.createDataFrame([read("z", t, 1)], FEED))
+    got = run(lambda s: captures.score_sealed(s, "1 hour"), FEED, "moved")
+    assert rows(got, "forecast_id") == [("g", "outside_window", None, None, 1.0, None)]
+    add(spark.createDataFrame([read("z", 20_000, 1)], FEED))
+    add(spark.createDataFrame([read("z", 20_001, 1)], FEED))
+    got = run(lambda s: captures.score_sealed(s, "1 hour"), FEED, "moved_on")
+    assert rows(got, "forecast_id") == [
+        ("f", "delayed_proxy", 25, 50.0, 30.0, 5.0), ("g", "outside_window", None, None, 1.0, None)]
+
+
+def test_reads_expire_and_scored_forecasts_are_remembered(spark, feed):
+    add, run = feed
+    add(spark.createDataFrame([forecast("f"), read("f", 3610, 20), read("early", 3605, 7)], FEED))
+    add(spark.createDataFrame([read("z", 5000, 1)], FEED))
+    add(spark.createDataFrame([read("z", 5001, 1)], FEED))
+    # Scored; a repeat within the time it is kept is not scored again. The early read is still there.
+    add(spark.createDataFrame([forecast("f", 5000, 3600, 3900, 99.0), read("f", 5000, 3), forecast("early", 5000, 3600, 6500)], FEED))
+    add(spark.createDataFrame([read("z", 9000, 1)], FEED))
+    add(spark.createDataFrame([read("z", 9001, 1)], FEED))
+    add(spark.createDataFrame([read("orphan", 9002, 1)], FEED))
+    add(spark.createDataFrame([read("z", 40_000, 1)], FEED))
+    add(spark.createDataFrame([read("z", 40_001, 1)], FEED))
+    # Long after: the orphan's read is gone, and f is no longer remembered.
+    add(spark.createDataFrame([forecast("orphan", 40_001, 9000, 41_000), forecast("f", 40_001, 40_000, 41_000, 5.0)], FEED))
+    add(spark.createDataFrame([read("z", 60_000, 1)], FEED))
+    add(spark.createDataFrame([read("z", 60_001, 1)], FEED))
+    got = run(lambda s: captures.score_sealed(s, "10 minutes", keep_seconds=5000), FEED, "kept_forecasts")
+    assert sorted((r.forecast_id, r.evaluation_status, r.actual, r.point_prediction) for r in got.collect()) == sorted([
+        ("f", "delayed_proxy", 20, 14.0), ("early", "delayed_proxy", 7, 14.0),
+        ("orphan", "outside_window", None, 14.0), ("f", "outside_window", None, 5.0)])
