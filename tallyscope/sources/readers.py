@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import quote
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -320,11 +323,44 @@ def rolling_counters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return instants(rows, ["observed_at"], strict_instant), rejected
 
 
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """Digest and size of every file under a path."""
-    return spark.read.format("binaryFile").load(path).select(
+# Files up to this many bytes are hashed as one value; larger ones are streamed.
+WHOLE_FILE = 64 << 20
+CHUNK = 4 << 20
+
+
+def _streamed_digests(frames):
+    """Digest of each named file, read in chunks through the store's own reader."""
+    from pyarrow import fs
+
+    for frame in frames:
+        found = []
+        for path in frame["path"]:
+            # Spark lists plain paths, Arrow reads addresses.
+            local = path.startswith("file:")
+            system, name = (fs.LocalFileSystem(), path.removeprefix("file:")) if local else fs.FileSystem.from_uri(quote(path, safe=":/@"))
+            total = hashlib.sha256()
+            with system.open_input_stream(name) as source:
+                while chunk := source.read(CHUNK):
+                    total.update(chunk)
+            found.append(total.hexdigest())
+        yield frame.assign(sha256=found)
+
+
+def file_fingerprints(spark: SparkSession, path: str, whole_file: int = WHOLE_FILE) -> DataFrame:
+    """Digest and size of every file under a path, whatever its size.
+
+    The listing and small files come from Spark's binary reader, which filters by length before it reads. A
+    larger file is one row of the listing and one task streams it: a digest is sequential, so its memory is one
+    chunk. Streaming needs a store that Arrow can open by the same address.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    small = files.filter(F.col("length") <= whole_file).select(
         "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
     )
+    large = files.filter(F.col("length") > whole_file).select("path", F.col("length").alias("bytes"))
+    tasks = spark.sparkContext.defaultParallelism
+    streamed = large.repartition(tasks, "path").mapInPandas(_streamed_digests, "path string, bytes bigint, sha256 string")
+    return small.unionByName(streamed)
 
 
 def manifest_diff(pinned: DataFrame, current: DataFrame) -> DataFrame:

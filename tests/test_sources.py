@@ -1,5 +1,7 @@
 import hashlib
 import json
+import subprocess
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +124,42 @@ def test_fingerprints_and_manifest(spark, tmp_path):
     assert readers.diff_counts(diff).count() == 3
 
 
+def test_large_files_are_streamed(spark, tmp_path):
+    (tmp_path / "small.bin").write_bytes(b"x" * 10)
+    (tmp_path / "with space.bin").write_bytes(b"y" * 100_000)
+    with open(tmp_path / "sparse.bin", "wb") as out:
+        out.seek((3 << 30) - 1)
+        out.write(b"z")
+    want = {p.name: (p.stat().st_size, subprocess.run(["sha256sum", p], capture_output=True, text=True).stdout[:64]) for p in tmp_path.iterdir()}
+    got = {r.path.split("/")[-1]: (r.bytes, r.sha256) for r in readers.file_fingerprints(spark, str(tmp_path), 1000).collect()}
+    assert got == want
+
+
+def test_one_of_many_starters_wins(spark, tmp_path):
+    module = tmp_path / "steps.py"
+    module.write_text("RATE = 1\n")
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "id int, v string")
+    make = lambda: ExperimentPlan(spark, str(tmp_path / "plan"), [module])
+    make().freeze({"epochs": 3}, {"rows": df}, {})
+    module.write_text("RATE = 2\n")
+    with pytest.raises(ValueError, match="code"):
+        make().start({"epochs": 3}, {"rows": df}, {})
+    module.write_text("RATE = 1\n")
+    with pytest.raises(ValueError, match="inputs"):
+        make().start({"epochs": 3}, {"rows": df.distinct()}, {})
+
+    def start(_):
+        try:
+            make().start({"epochs": 3}, {"rows": df}, {})
+        except FileExistsError:
+            return False
+        return True
+
+    with ThreadPoolExecutor(10) as pool:
+        assert sum(pool.map(start, range(10))) == 1
+    assert [p.name for p in (tmp_path / "plan").iterdir() if p.name.startswith(".")] == []
+
+
 def test_sinks_never_overwrite(spark, tmp_path):
     df = spark.createDataFrame([(900, "m", 1.0), (3600, "m", 2.0)], "cutoff_seconds int, model string, prediction double")
     target = str(tmp_path / "out")
