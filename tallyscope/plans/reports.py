@@ -14,7 +14,7 @@ from ..operators import answers, cascades, exposure, intervals, leakage, metrics
 from ..operators.ordered import HOT_ROWS
 from ..operators.splits import label_blind, only, same_members
 from ..session import cut_lineage
-from . import fitting
+from . import fitting, minibatch
 
 Tables = dict[str, DataFrame]
 
@@ -241,15 +241,16 @@ def verify_features(rows: DataFrame, usable: DataFrame) -> Tables:
 NETWORK = "tiny_mlp_log1p"
 
 
-def cascade_benchmark(rows: DataFrame, epochs: int = 15, steps_per_epoch: int = 1) -> Tables:
+def cascade_benchmark(rows: DataFrame, epochs: int = 15, batch: int = minibatch.BATCH) -> Tables:
     """Baselines and the small network fitted on training rows, scored once on evaluation rows."""
     split = F.col("strict_label_available_split")
     train, test = rows.filter(split == "train_candidate"), rows.filter(split == "evaluation_candidate")
     overall, buckets = metrics.fit_baselines(only(train, split == "train_candidate", "baselines fit on training rows only"))
     parts = []
     parity = None
-    for cutoff in cascades.CUTOFFS:
-        model = fitting.fit_cascade(rows, cutoff, "count", epochs, steps_per_epoch)
+    wanted = [minibatch.Candidate(cutoff, "count", fitting.SEED + cutoff, refit=True) for cutoff in cascades.CUTOFFS]
+    models = minibatch.fit_candidates(rows, wanted, epochs, batch)
+    for cutoff, model in zip(cascades.CUTOFFS, models, strict=True):
         wide = metrics.baseline_predictions(test.filter(F.col("cutoff_seconds") == cutoff), overall, buckets)
         parts.append(wide.withColumn(NETWORK, model.score_sql(cascades.feature_vector())[0]))
         check = fitting.score_parity(fitting.training_rows(rows, cutoff), model).withColumn(
@@ -274,24 +275,18 @@ def cascade_benchmark(rows: DataFrame, epochs: int = 15, steps_per_epoch: int =
 CANDIDATES = ("original_smooth_l1", "ordered_quantile_pinball")
 
 
-def cascade_quantiles(raw_rows: DataFrame, epochs: int = 15, steps_per_epoch: int = 1) -> Tables:
+def cascade_quantiles(raw_rows: DataFrame, epochs: int = 15, batch: int = minibatch.BATCH) -> Tables:
     """Point and quantile candidates fitted inside the training days and compared on validation."""
     parsed, skipped = label_blind(raw_rows, ("future_retweets_to_24h", "total_retweets_at_24h"))
     parts = []
-    epochs_used: dict[tuple[int, str], int] = {}
+    wanted = [
+        minibatch.Candidate(cutoff, kind, fitting.SEED + cutoff) for cutoff in cascades.CUTOFFS for kind in ("count", "quantile")
+    ]
+    models = iter(minibatch.fit_candidates(parsed, wanted, epochs, batch))
     for cutoff in cascades.CUTOFFS:
-        rows = fitting.training_rows(parsed, cutoff)
-        held = rows.filter(F.col("part") == "validation")
+        held = fitting.training_rows(parsed, cutoff).filter(F.col("part") == "validation")
         for name, kind in zip(CANDIDATES, ("count", "quantile")):
-            model = fitting.fit_network(
-                rows,
-                kind,
-                epochs,
-                fitting.SEED + cutoff,
-                steps_per_epoch=steps_per_epoch,
-                validation_part=F.col("part") == "validation",
-            )
-            epochs_used[cutoff, name] = model.selected_epoch
+            model = next(models)
             p = model.score_sql(F.col("x"))
             wide = kind == "quantile"
             parts.append(

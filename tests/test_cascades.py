@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyscope import schemas
 from tallyscope.operators import cascades, metrics, splits, validation
-from tallyscope.plans import fitting, reports
+from tallyscope.plans import fitting, minibatch, reports
 from tallyscope.sources import readers
 
 from .conftest import rows
@@ -179,6 +179,69 @@ def test_fit_does_not_depend_on_partitioning(spark):
     assert np.allclose(one.theta, many.theta, rtol=1e-9) and one.selected_epoch == many.selected_epoch
 
 
+def numpy_loop(rows, kind, seed, epochs, batch, used, scales):
+    """Mini-batches on the driver: the same rows in the same batches, one after the other."""
+    import numpy as np
+
+    x, target, keys = np.array([r.x for r in rows]), np.array([r.target for r in rows]), np.array([r.key for r in rows], np.int64).view(np.uint64)
+    fit = np.array([r.part in used for r in rows])
+    held = np.array([r.part == "validation" for r in rows])
+    mean, scale = scales
+    x = (x - mean) / scale
+    theta, adam = fitting.initial_parameters(kind, seed), fitting.Adam(0.01)
+    batches, errors, saved = -(-int(fit.sum()) // batch), [], []
+    for epoch in range(epochs):
+        place = minibatch.batch_of(keys, seed, epoch, batches)
+        for step in range(batches):
+            own = fit & (place == step)
+            if own.any():
+                theta = adam.step(theta, fitting.loss_and_gradient(theta, x[own], np.log1p(target[own]), kind)[1] / own.sum())
+        logs = fitting.forward(theta, x[held], kind)[0][:, 0 if kind == "count" else 1]
+        errors.append(np.abs(fitting.counts_from_logs(logs) - target[held]).mean() if held.any() else np.inf)
+        saved.append(theta)
+    best = int(np.argmin(errors))
+    return saved[best], best + 1, theta
+
+
+def test_barrier_batches_equal_the_numpy_loop(spark):
+    import numpy as np
+
+    df = feature_rows(spark)
+    parts = {r.part for r in fitting.training_rows(df, 900).select("part").distinct().collect()}
+    assert {"fit", "validation"} <= parts
+    wanted = [minibatch.Candidate(c, k, 7 + c, refit=k == "count") for c in (900, 3600) for k in ("count", "quantile")]
+    models = minibatch.fit_candidates(df.repartition(5), wanted, 6, 16)
+    for spec, model in zip(wanted, models, strict=True):
+        frame = fitting.training_rows(df, spec.cutoff).withColumn("key", F.xxhash64("cascade_id"))
+        data = frame.collect()
+        best, epoch, _ = numpy_loop(data, spec.kind, spec.seed, 6, 16, {"fit"}, fitting.feature_scale(frame.filter("part = 'fit'")))
+        assert model.selected_epoch == epoch
+        if spec.refit:
+            best = numpy_loop(data, spec.kind, spec.seed, epoch, 16, parts, fitting.feature_scale(frame))[2]
+        assert np.allclose(model.theta, best, rtol=1e-9, atol=1e-12)
+    # Alone, a candidate gives what it gives beside the others.
+    (alone,) = minibatch.fit_candidates(df, wanted[1:2], 6, 16)
+    assert alone.selected_epoch == models[1].selected_epoch and np.allclose(alone.theta, models[1].theta, rtol=1e-9, atol=1e-12)
+
+
+def test_tasks_average_after_each_epoch(spark):
+    import numpy as np
+
+    df, spec = feature_rows(spark), [minibatch.Candidate(900, "count", 5)]
+    one, other = (minibatch.fit_candidates(df.repartition(k), spec, 3, 16, tasks=3)[0] for k in (2, 6))
+    assert np.allclose(one.theta, other.theta, rtol=1e-9, atol=1e-12) and len(one.history) == 3
+    assert one.history[0]["validation_mae"] == pytest.approx(other.history[0]["validation_mae"])
+
+
+def test_batches_are_seeded_and_near_their_size():
+    import numpy as np
+
+    keys = np.random.default_rng(1).integers(0, 2**63, 40_960).astype(np.uint64)
+    first, again, other = (minibatch.batch_of(keys, 3, e, 10) for e in (0, 0, 1))
+    assert (first == again).all() and (first != other).mean() > 0.8
+    assert np.abs(np.bincount(first, minlength=10) - 4096).max() < 300
+
+
 def test_optimiser_refuses_foreign_rows(spark):
     df = spark.createDataFrame([([0], [1.0], 1, "test")], "indices array<int>, values array<double>, label int, part string")
     with pytest.raises(ValueError):
