@@ -10,9 +10,8 @@ nulls are the same. Sides that are equal have empty completions; if one side is
 only its completion is empty. Repeated turns stay, ordered by turn, role and text (nulls first). Rows
 without conv_id form no conversation. An empty table gives no rows; extra columns are ignored.
 
-The pairs of ``negatives`` do not hold every conversation, as the SQL of op9 fixes: a conversation without
-an answer and an answered one whose neighbour has none (or doesn't exist) are dropped, and turns after the
-last answer are cut. Its sides differ in one turn, so longer completions come from ``format_pairs`` alone.
+``negatives`` makes pairs of plain conversations, one for each: none is dropped and no turn is cut. A conversation
+without an answer is its own prompt; where the neighbour has no answer, or doesn't exist, the rejected completion is empty.
 """
 
 from __future__ import annotations
@@ -86,16 +85,20 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def negatives(talks: DataFrame) -> DataFrame:
-    """Pairs from plain conversations: the turns up to the last answer against the same turns with the
-    last answer of the neighbour (ids 2k and 2k + 1 answer for each other)."""
+    """Pairs from plain conversations, one for each.
+
+    Chosen is the conversation as it is; rejected are its turns before the last answer, followed by what the neighbour
+    (ids 2k and 2k + 1) has from its own last answer on. Without an answer all turns come before it.
+    """
     at = F.array_max(F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)), lambda i: i.isNotNull()))
-    answered = talks.withColumn("last", at).filter("last IS NOT NULL")
-    other = answered.select(F.expr("conv_id ^ 1").alias("conv_id"), F.get("turns", F.col("last"))["text"].alias("answer"))
-    swap = F.struct(F.get("turns", F.col("last"))["turn"].alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("text"))
-    return answered.join(other, "conv_id").select(
+    marked = talks.select("conv_id", "turns", at.alias("last"))
+    tail = F.slice("turns", F.col("last") + 1, F.size("turns"))
+    other = marked.filter("last IS NOT NULL").select(F.expr("conv_id ^ 1").alias("conv_id"), tail.alias("tail"))
+    before = F.slice("turns", F.lit(1), F.coalesce("last", F.size("turns")))
+    return marked.join(other, "conv_id", "left").select(
         F.col("conv_id").alias("pair_id"),
-        F.slice("turns", F.lit(1), F.col("last") + 1).alias("chosen"),
-        F.concat(F.slice("turns", F.lit(1), F.col("last")), F.array(swap)).alias("rejected"),
+        F.col("turns").alias("chosen"),
+        F.concat(before, F.coalesce("tail", F.array().cast(TURNS))).alias("rejected"),
     )
 
 
@@ -106,22 +109,26 @@ WITH c AS (
 ), a AS (
   SELECT conv_id, t, list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')) AS k FROM c
 ), p AS (
-  SELECT a.conv_id, a.t[1:a.k] AS ch, list_append(a.t[1:a.k - 1], struct_pack(turn := a.t[a.k].turn, role := 'assistant', text := b.t[b.k].text)) AS re
-  FROM a JOIN a b ON b.conv_id = xor(a.conv_id, 1) WHERE a.k IS NOT NULL AND b.k IS NOT NULL
+  SELECT a.conv_id, a.t AS ch, list_concat(CASE WHEN a.k IS NULL THEN a.t ELSE a.t[1:a.k - 1] END, CASE WHEN b.k IS NULL THEN [] ELSE b.t[b.k:] END) AS re
+  FROM a LEFT JOIN a b ON b.conv_id = xor(a.conv_id, 1)
 ), q AS (
-  SELECT *, coalesce(list_min(list_filter(range(1, len(ch) + 1),
-    lambda i: NOT (ch[i].role IS NOT DISTINCT FROM re[i].role AND ch[i].text IS NOT DISTINCT FROM re[i].text))) - 1, len(ch)) AS n FROM p
+  SELECT *, coalesce(list_min(list_filter(range(1, least(len(ch), len(re)) + 1),
+    lambda i: NOT (ch[i].role IS NOT DISTINCT FROM re[i].role AND ch[i].text IS NOT DISTINCT FROM re[i].text))) - 1, least(len(ch), len(re))) AS n FROM p
 ), r AS (
-  SELECT conv_id, n,
+  SELECT conv_id, n, ch[n + 1:] AS cs, re[n + 1:] AS rs,
     list_transform(ch, lambda x: '<|' || coalesce(x.role, 'unknown') || '|>' || chr(10) || coalesce(x.text, '') || '<|end|>' || chr(10)) AS s,
     list_transform(re, lambda x: '<|' || coalesce(x.role, 'unknown') || '|>' || chr(10) || coalesce(x.text, '') || '<|end|>' || chr(10)) AS u
   FROM q
+), m AS (
+  SELECT *, s[n + 1:] AS sc, u[n + 1:] AS uc FROM r
 )
 SELECT conv_id AS pair_id, n::INT AS n_prompt_turns, sha256(array_to_string(s[1:n], '')) AS prompt_sha256,
-  sha256(array_to_string(s[n + 1:], '')) AS chosen_sha256, sha256(array_to_string(u[n + 1:], '')) AS rejected_sha256,
-  CASE WHEN n < len(s) THEN '14:' || length(s[n + 1]) ELSE '' END AS chosen_mask,
-  CASE WHEN n < len(u) THEN '14:' || length(u[n + 1]) ELSE '' END AS rejected_mask
-FROM r
+  sha256(array_to_string(sc, '')) AS chosen_sha256, sha256(array_to_string(uc, '')) AS rejected_sha256,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(cs) + 1), lambda i: cs[i].role = 'assistant'),
+    lambda i: (length(array_to_string(sc[1:i - 1], '')) + 14) || ':' || length(array_to_string(sc[1:i], ''))), ','), '') AS chosen_mask,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(rs) + 1), lambda i: rs[i].role = 'assistant'),
+    lambda i: (length(array_to_string(uc[1:i - 1], '')) + 14) || ':' || length(array_to_string(uc[1:i], ''))), ','), '') AS rejected_mask
+FROM m
 """
 
 

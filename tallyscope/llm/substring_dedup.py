@@ -152,6 +152,9 @@ def _send_suffixes(parts: int):
     return run
 
 
+RUN_LIMIT = (1 << 24) - 1
+
+
 def _runs(doc: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
     order = np.lexsort((pos, doc))
     doc, pos = doc[order], pos[order].astype(np.int64)
@@ -159,7 +162,12 @@ def _runs(doc: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
     fresh[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
     first = np.flatnonzero(fresh)
     length = np.diff(np.append(first, len(doc)))
-    return pd.DataFrame({"doc_id": doc[first], "run": pos[first] << 24 | np.minimum(length, (1 << 24) - 1)})
+    # A run has 24 bits for its length: a longer one is several.
+    pieces = -(-length // RUN_LIMIT)
+    within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = np.repeat(pos[first], pieces) + within * RUN_LIMIT
+    left = np.minimum(np.repeat(length, pieces) - within * RUN_LIMIT, RUN_LIMIT)
+    return pd.DataFrame({"doc_id": np.repeat(doc[first], pieces), "run": start << 24 | left})
 
 
 def _subtree(frame: pd.DataFrame) -> pd.DataFrame:

@@ -51,9 +51,28 @@ def test_conversations_and_negatives(spark):
     talks = chat.conversations(spark.createDataFrame(rows, SCHEMA))
     assert sorted(r.conv_id for r in talks.collect()) == [4, 5, 8]
     got = {r.pair_id: r for r in chat.format_pairs(chat.negatives(talks)).collect()}
-    assert set(got) == {4, 5}
+    assert set(got) == {4, 5, 8}
     assert got[4].n_prompt_turns == 2 and got[4].prompt == render([("user", "q"), ("user", "q")])
-    assert got[5].chosen == render([("assistant", "B")]) and got[5].rejected == render([("assistant", "A")])
+    assert got[4].rejected == render([("assistant", "B"), ("user", "z")])
+    assert got[5].chosen == render([("assistant", "B"), ("user", "z")]) and got[5].rejected == render([("assistant", "A")])
+    assert got[8].chosen == render([("assistant", "alone")]) and got[8].rejected == ""
+
+
+def test_every_conversation_comes_out(spark):
+    talks = {
+        0: [("user", "a"), ("assistant", "1"), ("user", "b"), ("assistant", "2"), ("user", "c"), (None, "d")],
+        1: [("user", "no answer")], 2: [("user", "x"), ("assistant", "same")], 3: [("user", "y"), ("assistant", "same"), ("user", "more")],
+        5: [("assistant", None)], 7: [("user", None)],
+    }
+    rows = [(c, i, r, t, "") for c, turns in talks.items() for i, (r, t) in enumerate(turns)]
+    got = chat.format_pairs(chat.negatives(chat.conversations(spark.createDataFrame(rows, SCHEMA)))).collect()
+    assert sorted(r.pair_id for r in got) == sorted(talks)
+    for r in got:
+        last = lambda c: max((i for i, t in enumerate(talks.get(c, [])) if t[0] == "assistant"), default=None)
+        own, k, other = talks[r.pair_id], last(r.pair_id), last(r.pair_id ^ 1)
+        rejected = own[: len(own) if k is None else k] + ([] if other is None else talks[r.pair_id ^ 1][other:])
+        found = r.n_prompt_turns, r.prompt, r.chosen, r.rejected, [tuple(s) for s in r.chosen_mask], [tuple(s) for s in r.rejected_mask]
+        assert found == brute(own, rejected)
 
 
 def test_empty_table(spark):

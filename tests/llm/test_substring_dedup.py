@@ -1,8 +1,10 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import types as T
 
+from tallyscope.llm import substring_dedup as module
 from tallyscope.llm.substring_dedup import substring_dedup
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("words", T.StringType())])
@@ -64,3 +66,12 @@ def test_rows_without_an_id_repeated_rows_and_shared_ids(spark):
 
 def test_empty_table(spark):
     assert result(spark, []) == []
+
+
+def test_long_runs_are_several(monkeypatch):
+    monkeypatch.setattr(module, "RUN_LIMIT", 7)
+    doc = np.array([1] * 30 + [2] * 7 + [2] * 3)
+    pos = np.array([*range(5, 35), *range(7), *range(20, 23)], np.int32)
+    runs = module._runs(doc, pos)
+    got = [(d, (r >> 24) + k) for d, r in zip(runs.doc_id, runs.run, strict=True) for k in range(r & 0xFFFFFF)]
+    assert got == list(zip(doc.tolist(), pos.tolist(), strict=True)) and len(runs) == 5 + 1 + 1

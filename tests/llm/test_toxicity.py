@@ -93,3 +93,11 @@ def test_without_labels_nothing_is_toxic(spark):
     assert scores(spark, model, ["grobnik", None]) == [0.0, 0.0]
     empty = spark.createDataFrame([], DOCS)
     assert tox.train(empty, spark.createDataFrame([], LABELS)).fit is None
+
+
+def test_sample_is_bounded_at_any_size(spark):
+    known = spark.range(3_000_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    assert tox.bounded_sample(known, 2).count() == 2
+    assert tox.bounded_sample(known.filter("doc_id < 9"), 20).count() == 9
+    few = tox.bounded_sample(known.filter("doc_id < 900"), 50).collect()
+    assert few == tox.bounded_sample(known.filter("doc_id < 900").repartition(7), 50).collect() and len(few) == 50
