@@ -34,7 +34,7 @@ OPEN = 64
 MIN_CUT = 16
 MERGE = 16
 CLOSING_ID = 1
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_000_000
 MARKS = ".,!?;:"
 
 _SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open int"
@@ -60,10 +60,13 @@ class Encoder:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         keys = unique.tolist()
-        new = [(h, k) for h, k in zip(keys, first.tolist(), strict=True) if h not in self.known]
-        fresh = self._encoded([words.word(k).decode("utf-8", "replace") for _, k in new])
-        self.known.update((h, ids) for (h, _), ids in zip(new, fresh, strict=True))
-        packed = [self.known[h] for h in keys]
+        known = self.known
+        new = [k for k, h in enumerate(keys) if h not in known]
+        at = first[new]
+        spans = zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)
+        fresh = self._encoded([words.buffer[a:b].decode("utf-8", "replace") for a, b in spans])
+        known.update(zip([keys[k] for k in new], fresh, strict=True))
+        packed = [known[h] for h in keys]
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         ids, ends = ragged(np.frombuffer(b"".join(packed), "<u4"), sizes, back)
         cuts = np.concatenate([[0], ends])[words.offsets]
@@ -72,26 +75,32 @@ class Encoder:
 
 
     def _each(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        # Without offsets, which nothing here needs.
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words. Letters followed by marks are two units for this tokenizer, and each run
         of letters ends with a closing piece, so many runs are encoded in one call and cut apart there."""
-        cores = [w.rstrip(MARKS) for w in words]
-        plain = list(dict.fromkeys(c for c in cores if c.lower().isalpha()))
+        cores = [w.rstrip(MARKS) if w[-1] in MARKS else w for w in words]
+        plain = list(dict.fromkeys(c for c in cores if c.isalpha() and c.lower().isalpha()))
         known: dict[str, bytes] = {}
         for lo in range(0, len(plain), 2000):
             part = plain[lo : lo + 2000]
-            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.asarray(found.ids, "<u4")
             ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
             if len(ends) == len(part) and ends[-1] == 4 * len(ids):
                 body = ids.tobytes()
-                known.update((c, body[a:b]) for c, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+                ends = ends.tolist()
+                known.update(zip(part, [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
             else:
                 known.update(zip(part, self._each(part), strict=True))
-        rest = list(dict.fromkeys(w if c not in known else w[len(c) :] for w, c in zip(words, cores, strict=True)))
+        rest = list(dict.fromkeys(w[len(c) :] if c in known else w for w, c in zip(words, cores, strict=True) if c is not w or c not in known))
         other = dict(zip(rest, self._each(rest), strict=True))
-        return [known[c] + other[w[len(c) :]] if c in known else other[w] for w, c in zip(words, cores, strict=True)]
+        return [
+            (known[c] if c is w else known[c] + other[w[len(c) :]]) if c in known else other[w]
+            for w, c in zip(words, cores, strict=True)
+        ]
 
 
 class Packer:
