@@ -1,5 +1,9 @@
 import hashlib
+import math
+import random
 import re
+import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,7 +86,7 @@ def test_disclosing_term_goes_and_common_words_stay(spark):
     assert got[311].term == [] and got[5].term == []
 
 
-def test_rare_entities_have_terms_over_whole_documents(spark):
+def test_terms_of_rare_entities_need_proof(spark):
     filler = "plain words of the usual kind " * 10
     rows = [(k, f"{filler} number {'abcdefghij'[k % 10] * 3}", "") for k in range(300)]
     rows += [(400, f"Quorlax wrote. {filler} once@solo.example", ""), (401, f"{filler} twice@duo.example {filler} Vexmoor", "")]
@@ -90,11 +94,91 @@ def test_rare_entities_have_terms_over_whole_documents(spark):
     # Four values of one domain, each seen once; only the domain knows the firm's word.
     rows += [(410 + k, f"Brintec {filler} p{k}@firm.example", "") for k in range(4)]
     got = {r.doc_id: [m.value for m in r.term] for r in pii.sanitize(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got[400] == ["Quorlax", "wrote"] and got[401] == ["Vexmoor"] and got[402] == ["Vexmoor"]
+    # One meeting proves nothing, two of two words in 300 documents do.
+    assert got[400] == [] and got[401] == ["Vexmoor"] and got[402] == ["Vexmoor"]
     assert got[403] == [] and got[None] == [] and got[0] == []
     assert all(got[410 + k] == ["Brintec"] for k in range(4))
 
 
+def names(text):
+    """Entities of the emails of a text: the values and their domains."""
+    found = {m[0].lower() for m in re.finditer(PATTERNS["email"], text)}
+    return {f"email:{v}" for v in found} | {"emails:" + v.rpartition("@")[2] for v in found}
+
+
+def brute_terms(rows, disclosed, chance):
+    """Terms of each doc_id by counts over all pairs of an entity and a term."""
+    n = len(rows)
+    words = [set(re.findall(r"[^\W\d_]{3,}", t.lower())) for _, t, _ in rows]
+    n_t = Counter(w for ws in words for w in ws)
+    docs_e = {}
+    for k, (_, t, _) in enumerate(rows):
+        for e in names(t):
+            docs_e.setdefault(e, set()).add(k)
+    pairs = []
+    for e, where in docs_e.items():
+        for t, count in Counter(w for k in where for w in words[k]).items():
+            ne, nt = len(where), n_t[t]
+            pmi, ic = math.log2(count * n / (ne * nt)), math.log2(n / ne)
+            proof, rest = count * pmi, ne - count
+            if rest and nt < n:
+                proof += rest * math.log2(rest * n / (ne * (n - nt)))
+            if ic > 0 and pmi > 0 and pmi / ic >= disclosed:
+                pairs.append((proof, e, t))
+    # Proofs are rounded down to sixteenths of a bit, as the operator states.
+    tests, least = len(docs_e) * len(n_t), None
+    for cut in sorted({math.floor(p * 16) for p, _, _ in pairs}):
+        taken = sum(math.floor(p * 16) >= cut for p, _, _ in pairs)
+        if least is None and tests * 2 ** (-cut / 16) <= chance * taken:
+            least = cut / 16
+    out = {}
+    for proof, e, t in pairs:
+        if least is not None and proof >= least:
+            for k in docs_e[e]:
+                if t in words[k]:
+                    out.setdefault(rows[k][0], set()).add(t)
+    return out
+
+
+def test_statistic_equals_brute_force(spark):
+    pick = random.Random(5)
+    letters = "abcdefghijklmnop"
+    word = lambda: "".join(pick.choice(letters[:4]) for _ in range(4))
+    rows = []
+    for k in range(240):
+        text = " ".join(word() for _ in range(12))
+        if k % 4 == 0:
+            who = pick.randrange(12)
+            text += f" u{who}@h{who % 5}.example" + (f" secret{letters[who]}" if pick.random() < 0.8 else "")
+        if k % 60 == 0:
+            # Fifty addresses of one page and its copy have one set of documents.
+            text += "".join(f" p{j}@page{k // 120}.example" for j in range(50)) + " pageword"
+        rows.append((k, text, ""))
+    for disclosed, chance in ((0.8, 0.05), (0.5, 0.05), (0.3, 0.5)):
+        got = pii.sanitize(spark.createDataFrame(rows, SCHEMA), disclosed, chance, with_text=False).collect()
+        got = {r.doc_id: {m.value.lower() for m in r.term} for r in got if r.term}
+        want = brute_terms(rows, disclosed, chance)
+        # Words inside an address are not spans of their own.
+        outside = {k: {w for w in re.findall(r"[^\W\d_]{3,}", re.sub(PATTERNS["email"], " ", t))} for k, t, _ in rows}
+        want = {k: v & outside[k] for k, v in want.items() if v & outside[k]}
+        assert got == want and got
+
+
+def test_very_long_text_is_linear(spark):
+    """Ten million characters with 100,000 addresses and terms, spans and the sanitised text."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda k: "".join(letters[k // 26**j % 26] for j in range(5))
+    size = 100_000
+    body = "".join(f"zz{name(k)} of the m{k}@h.example {'a' * 70}\n" for k in range(size))
+    rows = [(k, body, "") for k in range(2)] + [(10 + k, "of the " + "a" * 70, "") for k in range(40)]
+    began = time.time()
+    got = pii.sanitize(spark.createDataFrame(rows, SCHEMA)).filter("doc_id = 1")
+    r = got.select(F.size("email").alias("e"), F.size("term").alias("t"), F.md5("sanitized_text").alias("s")).first()
+    assert len(body) > 9_000_000 and r.e == size and r.t == size
+    assert r.s == hashlib.md5("".join(f"[TERM] of the [EMAIL] {'a' * 70}\n" for _ in range(size)).encode()).hexdigest()
+    assert time.time() - began < 120
+
+
 def test_empty_table_and_digest(spark):
     assert pii.sanitize(spark.createDataFrame([], SCHEMA)).collect() == []
     row = pii.sanitize(spark.createDataFrame([(1, "a@b.cc 9.9.9.9", "")], SCHEMA), with_text=False)
