@@ -3,9 +3,11 @@
 Each record is its own gzip member, whose extra field ``SL`` holds the member's length. A reader
 inflates a member only until the header block ends, tests the pushed predicates and, if the record
 isn't wanted, goes on at the next member without inflating the rest. Members without the field are
-inflated through. Writers rotate files and note an offset about every ``SPLIT`` bytes; the driver joins
-these notes into a manifest when the job commits, so files of failed or repeated attempts are never
-read. A partition is one split of one file.
+inflated through, whatever the number of records in one. Writers rotate files and note an offset about
+every ``SPLIT`` bytes; the driver joins these notes into a manifest when the job commits. A partition is
+one split of one file. Folders are read with the folders in them. Beside a manifest, files named ``part-*``
+that it doesn't list are those of failed or repeated attempts and never read; any other ``.warc.gz`` or
+``.warc`` file comes from another writer and is one partition.
 
 Responses carry an HTTP block; a revisit keeps the HTTP header alone, so the payload's length and
 digest are known for both. Files are opened through ``pyarrow.fs``, by the URI of the folder.
@@ -123,7 +125,7 @@ class Writer(DataSourceArrowWriter):
                 if out is None or entry["size"] >= FILE_BYTES:
                     if out is not None:
                         out.close()
-                    entry = {"name": f"{uuid.uuid4().hex}.warc.gz", "size": 0, "splits": [0]}
+                    entry = {"name": f"part-{uuid.uuid4().hex}.warc.gz", "size": 0, "splits": [0]}
                     files.append(entry)
                     out = fs.open_output_stream(f"{root}/{entry['name']}", compression=None)
                 data = member(record(row))
@@ -185,94 +187,168 @@ class Reader(DataSourceReader):
         from pyarrow import fs as pafs
 
         fs, root = _place(self.folder)
-        found, ours = [], False
-        files = fs.get_file_info(pafs.FileSelector(root))
+        files = [f for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file]
+        splits, listed, ours = [], set(), set()
         for info in files:
             if info.base_name.startswith("manifest-"):
-                ours = True
+                home = info.path[: -len(info.base_name)]
+                ours.add(home)
                 with fs.open_input_stream(info.path) as f:
-                    found += json.loads(f.read())
-        if not ours:
-            # Another writer's folder: member starts aren't known, so a file is one split.
-            found = [{"name": f.base_name, "splits": [0], "size": f.size} for f in files if f.is_file and f.base_name.endswith(".warc.gz")]
-        return [
-            Split(f["name"], a, b) for f in found for a, b in zip(f["splits"], [*f["splits"][1:], f["size"]], strict=True)
-        ] or [Split("", 0, 0)]
+                    for entry in json.loads(f.read()):
+                        listed.add(home + entry["name"])
+                        splits += [Split(home + entry["name"], a, b) for a, b in zip(entry["splits"], [*entry["splits"][1:], entry["size"]], strict=True)]
+        for info in files:
+            # Member starts of other files aren't known, so a file is one split.
+            left = info.path[: -len(info.base_name)] in ours and info.base_name.startswith("part-")
+            if info.base_name.endswith((".warc.gz", ".warc")) and info.path not in listed and not left:
+                splits.append(Split(info.path, 0, info.size))
+        return splits or [Split("", 0, 0)]
 
     def read(self, split):
-        fs, root = _place(self.folder)
         if not split.name:
             return
+        fs, _ = _place(self.folder)
         rows, size = [], 0
-        with fs.open_input_file(f"{root}/{split.name}") as f:
-            at = split.start
-            while at < split.end:
-                row, at = self._record(f, at)
-                if row is not None:
-                    rows.append(row)
-                    size += 300 + len(row["payload"] or b"")
-                    if size >= BATCH_BYTES:
-                        yield _batch(rows)
-                        rows, size = [], 0
+        with fs.open_input_file(split.name) as f:
+            for row in self._plain(lambda: f.read(65536)) if split.name.endswith(".warc") else self._members(f, split):
+                rows.append(row)
+                size += 300 + len(row["payload"] or b"")
+                if size >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, size = [], 0
         if rows:
             yield _batch(rows)
 
-    def _record(self, f, at: int):
-        """The record at a byte offset (None if a predicate rejects it) and where the next one starts."""
-        f.seek(at)
-        raw = f.read(1024)
-        flags, place, length = raw[3], 10, None
-        if flags & 4:
-            size = struct.unpack_from("<H", raw, 10)[0]
-            extra = raw[12 : 12 + size]
-            place += 2 + size
-            while len(extra) >= 4:
-                width = struct.unpack_from("<H", extra, 2)[0]
-                if extra[:2] == b"SL":
-                    length = struct.unpack_from("<Q", extra, 4)[0]
-                extra = extra[4 + width :]
-        for bit in (8, 16):
-            if flags & bit:
-                place = raw.index(b"\0", place) + 1
-        place += 2 if flags & 2 else 0
+    def _members(self, f, split):
+        at = split.start
+        while at < split.end:
+            length, place = _measured(f, at)
+            if length is not None:
+                row = self._record(f, at, place, length)
+                if row is not None:
+                    yield row
+                at += length
+                continue
+            f.seek(at + place)
+            inflate = zlib.decompressobj(-15)
+
+            def more(inflate=inflate, at=at):
+                while not inflate.eof:
+                    feed = f.read(65536)
+                    if not feed:
+                        raise OSError(f"the archive ends inside the member at byte {at}")
+                    if text := inflate.decompress(feed):
+                        return text
+                return b""
+
+            yield from self._plain(more)
+            at = f.tell() - len(inflate.unused_data) + 8
+
+    def _plain(self, more):
+        """The wanted records of a text that ``more`` gives piece by piece, and b"" at its end."""
+        held, ended = bytearray(), False
+        while True:
+            while not ended and (not held.strip(b"\r\n") or b"\r\n\r\n" not in held.lstrip(b"\r\n")):
+                text = more()
+                ended = not text
+                held += text
+            held = held.lstrip(b"\r\n")
+            if not held:
+                return
+            head, end, held = held.partition(b"\r\n\r\n")
+            if not end or not head.startswith(b"WARC/"):
+                raise OSError("a record has no header block")
+            fields, row = _header(bytes(head))
+            late = [t for t in self.tests if t[1] == "payload_bytes" and row["payload_bytes"] is None]
+            keep = wanted(row, [t for t in self.tests if t not in late])
+            left, parts = int(fields.get("content-length", 0)), []
+            while left:
+                if not held:
+                    held += more()
+                    if not held:
+                        raise OSError("the archive ends inside a record")
+                if keep:
+                    parts.append(bytes(held[:left]))
+                taken = min(left, len(held))
+                left -= taken
+                del held[:taken]
+            if keep:
+                self._fill(row, fields, b"".join(parts))
+                if wanted(row, late):
+                    yield row
+
+    def _fill(self, row: dict, fields: dict, block: bytes) -> None:
+        if fields.get("content-type", "").startswith("application/http"):
+            block = block.partition(b"\r\n\r\n")[2]
+        if row["record_type"] != "revisit":
+            if self.with_payload:
+                row["payload"] = block
+            if row["payload_bytes"] is None:
+                row["payload_bytes"] = len(block)
+
+    def _record(self, f, at: int, place: int, length: int):
+        """The record of a member of known length, None if a predicate rejects it."""
+        f.seek(at + place)
         inflate = zlib.decompressobj(-15)
-        text, feed, used = b"", raw[place:], len(raw)
-        while b"\r\n\r\n" not in text and feed:
+        left = length - place
+        text = b""
+        while b"\r\n\r\n" not in text and left:
+            feed = f.read(min(4096, left))
+            if not feed:
+                raise OSError(f"the archive ends inside a record at byte {at}")
+            left -= len(feed)
             text += inflate.decompress(feed)
-            if b"\r\n\r\n" not in text:
-                feed = f.read(4096)
-                used += len(feed)
         head, _, body = text.partition(b"\r\n\r\n")
-        fields = {}
-        for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            fields[name.strip().lower()] = value.strip()
-        row = {name: fields.get(header) for name, header in HEADERS.items()}
-        row["payload_bytes"] = int(fields["x-payload-length"]) if "x-payload-length" in fields else None
-        row["payload"] = None
+        fields, row = _header(head)
         # A length without a header is known only after the block was read.
         late = [t for t in self.tests if t[1] == "payload_bytes" and row["payload_bytes"] is None]
-        keep = wanted(row, [t for t in self.tests if t not in late])
-        if length is not None and not (keep and (self.with_payload or late)):
-            return (row if keep else None), at + length
+        if not wanted(row, [t for t in self.tests if t not in late]):
+            return None
+        if not self.with_payload and not late:
+            return row
         parts = [body]
         while not inflate.eof:
-            feed = f.read(65536 if length is None else max(1, min(1 << 20, at + length - f.tell())))
+            feed = f.read(max(1, min(1 << 20, left)))
             if not feed:
                 raise OSError(f"the archive ends inside a record at byte {at}")
-            used += len(feed)
+            left -= len(feed)
             parts.append(inflate.decompress(feed))
-        after = at + length if length is not None else f.tell() - len(inflate.unused_data) + 8
-        if not keep:
-            return None, after
-        block = b"".join(parts)[: int(fields.get("content-length", 0))]
-        if fields.get("content-type", "").startswith("application/http"):
-            block = block.partition(b"\r\n\r\n")[2]
-        if self.with_payload and row["record_type"] != "revisit":
-            row["payload"] = block
-        if row["payload_bytes"] is None and row["record_type"] != "revisit":
-            row["payload_bytes"] = len(block)
-        return (row if wanted(row, late) else None), after
+        self._fill(row, fields, b"".join(parts)[: int(fields.get("content-length", 0))])
+        return row if wanted(row, late) else None
+
+
+def _measured(f, at: int):
+    """A gzip member's length, if its extra field tells it, and the size of its gzip header."""
+    f.seek(at)
+    raw = f.read(1024)
+    if raw[:3] != b"\x1f\x8b\x08":
+        raise OSError(f"no gzip member starts at byte {at}")
+    flags, place, length = raw[3], 10, None
+    if flags & 4:
+        size = struct.unpack_from("<H", raw, 10)[0]
+        extra = raw[12 : 12 + size]
+        place += 2 + size
+        while len(extra) >= 4:
+            width = struct.unpack_from("<H", extra, 2)[0]
+            if extra[:2] == b"SL":
+                length = struct.unpack_from("<Q", extra, 4)[0]
+            extra = extra[4 + width :]
+    for bit in (8, 16):
+        if flags & bit:
+            place = raw.index(b"\0", place) + 1
+    return length, place + (2 if flags & 2 else 0)
+
+
+def _header(head: bytes):
+    """All header fields of a record, and the row as far as they tell it."""
+    fields = {}
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        fields[name.strip().lower()] = value.strip()
+    row = {name: fields.get(header) for name, header in HEADERS.items()}
+    row["payload_bytes"] = int(fields["x-payload-length"]) if "x-payload-length" in fields else None
+    row["payload"] = None
+    return fields, row
 
 
 _ARROW = pa.schema([(n, pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string()) for n in NAMES])

@@ -55,7 +55,7 @@ def test_members_are_plain_gzip_and_foreign_members_are_read(tmp_path, archive):
     rows = [{"payload": bytes([65 + k]) * 5000, "record_type": "response", "record_id": f"<{k}>", "payload_digest": None} for k in range(3)]
     (tmp_path / "x.warc.gz").write_bytes(b"".join(gzip.compress(warc.record(r)) for r in rows))
     size = (tmp_path / "x.warc.gz").stat().st_size
-    got = [x for b in warc.Reader(str(tmp_path), True).read(warc.Split("x.warc.gz", 0, size)) for x in b.to_pylist()]
+    got = [x for b in warc.Reader(str(tmp_path), True).read(warc.Split(str(tmp_path / "x.warc.gz"), 0, size)) for x in b.to_pylist()]
     assert [(g["record_id"], g["payload"]) for g in got] == [(r["record_id"], r["payload"]) for r in rows]
 
 
@@ -69,8 +69,33 @@ def test_folder_without_a_manifest(spark, tmp_path):
     assert sorted(r.record_id for r in back.filter("payload_bytes < 100").collect()) == ["<x10>", "<y20>"]
 
 
-def test_files_outside_the_manifest_are_not_read_and_empty_tables_work(spark, tmp_path):
+def test_files_of_failed_attempts_are_not_read_and_empty_tables_work(spark, tmp_path):
     folder = str(tmp_path / "w")
     warc.write_warc(warc.with_revisits(spark.createDataFrame([], SCHEMA)), folder)
-    (tmp_path / "w" / "left.warc.gz").write_bytes(b"broken")
+    (tmp_path / "w" / "part-left.warc.gz").write_bytes(b"broken")
     assert warc.read_warc(spark, folder).collect() == []
+
+
+def test_members_of_many_records_plain_files_and_nested_folders(spark, archive, tmp_path):
+    rows = [{"payload": bytes([65 + k]) * (90_000 * (k % 3)), "record_type": "response", "record_id": f"<{k}>"} for k in range(6)]
+    texts = [warc.record(r) for r in rows]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.warc.gz").write_bytes(gzip.compress(b"".join(texts[:3])) + gzip.compress(texts[3]))
+    (tmp_path / "plain.warc").write_bytes(b"".join(texts[4:]))
+    back = warc.read_warc(spark, str(tmp_path))
+    assert sorted((r.record_id, r.payload) for r in back.collect()) == [(r["record_id"], r["payload"]) for r in rows]
+    assert [r.record_id for r in back.filter("record_id = '<5>'").collect()] == ["<5>"]
+    assert sorted(r.record_id for r in back.filter("payload_bytes >= 90000").collect()) == ["<1>", "<2>", "<4>", "<5>"]
+    # Beside a manifest, files of other writers are read too.
+    folder = str(tmp_path / "own")
+    warc.write_warc(warc.with_revisits(spark.createDataFrame(ROWS[:2], SCHEMA)), folder)
+    (tmp_path / "own" / "more.warc").write_bytes(texts[0])
+    assert sorted(r.record_id for r in warc.read_warc(spark, folder).collect()) == ["<0>", "<urn:page:3>", "<urn:page:7>"]
+
+
+def test_broken_archives_are_errors(tmp_path):
+    text = warc.record({"payload": b"x" * 500, "record_type": "response", "record_id": "<1>"})
+    for name, data in (("a.warc", text[:-100]), ("b.warc", b"no header"), ("c.warc.gz", gzip.compress(text)[:-60]), ("d.warc.gz", b"broken file")):
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(OSError):
+            list(warc.Reader(str(tmp_path), True).read(warc.Split(str(tmp_path / name), 0, len(data))))
