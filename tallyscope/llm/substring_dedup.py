@@ -115,16 +115,16 @@ def _repeated_anchors(heavy: int):
     return run
 
 
-def _later_leaves(a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Leaves in subtree order: which of them aren't the earliest of their node of full depth."""
+def _later_windows(a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Of windows in the order of their hashes, those that are not the earliest of equal ones."""
     fresh = np.ones(len(a), bool)
     fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     first = np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0))
     return (doc != doc[first]) | (pos != pos[first])
 
 
-def _send_suffixes(parts: int):
-    """Candidate suffixes of each text, one leaf per node and batch; the other leaves are known repeats."""
+def _send_windows(parts: int):
+    """Candidate windows of each text, one of equal ones per batch; the others are known repeats."""
 
     def run(frames):
         for words, ids, hits in _batches(frames, "anchors"):
@@ -142,7 +142,7 @@ def _send_suffixes(parts: int):
             doc, pos = ids[text], (start - base[text]).astype(np.int32)
             order = np.lexsort((pos, doc, b, a))
             repeat = np.zeros(len(order), bool)
-            repeat[order] = _later_leaves(a[order], b[order], doc[order], pos[order])
+            repeat[order] = _later_windows(a[order], b[order], doc[order], pos[order])
             path = np.where(flag[place] == 2, a ^ (b >> np.uint64(1)), key)
             part = _parts(path, parts)
             none = np.zeros(0)
@@ -170,8 +170,8 @@ def _runs(doc: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": np.repeat(doc[first], pieces), "run": start << 24 | left})
 
 
-def _subtree(frame: pd.DataFrame) -> pd.DataFrame:
-    """Leaves in subtree order; all but the earliest leaf of a node of full depth repeat it."""
+def _repeated(frame: pd.DataFrame) -> pd.DataFrame:
+    """Windows in the order of their hashes; all but the earliest of equal ones repeat it."""
     suffixes, known = frame[frame["kind"] == 0], frame[frame["kind"] == 1]
     a = np.frombuffer(b"".join(suffixes["a"]), np.uint64)
     b = np.frombuffer(b"".join(suffixes["b"]), np.uint64)
@@ -179,7 +179,7 @@ def _subtree(frame: pd.DataFrame) -> pd.DataFrame:
     pos = np.frombuffer(b"".join(suffixes["pos"]), np.int32)
     order = np.lexsort((pos, doc, b, a))
     a, b, doc, pos = a[order], b[order], doc[order], pos[order]
-    later = _later_leaves(a, b, doc, pos)
+    later = _later_windows(a, b, doc, pos)
     more_doc = np.frombuffer(b"".join(known["doc"]), np.int64)
     more_pos = np.frombuffer(b"".join(known["pos"]), np.int32)
     return _runs(np.concatenate([doc[later], more_doc]), np.concatenate([pos[later], more_pos]))
@@ -252,8 +252,8 @@ def substring_dedup(
     anchors = searched.mapInPandas(_send_anchors(parts), _PACKED)
     hits = anchors.groupBy("part").applyInPandas(_repeated_anchors(heavy), "doc_id long, anchor long")
     per_text = hits.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    suffixes = searched.join(per_text, "doc_id").mapInPandas(_send_suffixes(parts), _PACKED)
-    repeats = suffixes.groupBy("part").applyInPandas(_subtree, "doc_id long, run long")
+    suffixes = searched.join(per_text, "doc_id").mapInPandas(_send_windows(parts), _PACKED)
+    repeats = suffixes.groupBy("part").applyInPandas(_repeated, "doc_id long, run long")
     runs = repeats.groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
 
     nothing = F.lit(None).cast("array<bigint>").alias("runs")
