@@ -10,8 +10,8 @@ costs nothing (fixed-sequence testing). The strictest cutoff passed is used. The
 1 - ``CONFIDENCE``, no stratum loses more than ``RISK`` of its good texts to the rules. A stratum with
 too few labels gets no cutoff and loses nothing. All of it is built-in functions.
 
-Defined cases: null text has no words and fails the base rule (under 20 words); a null language is a
-stratum of its own; labels that are null or neither 0 nor 1, or whose doc_id is null, are unused;
+Defined cases: null text has no words and fails the base rule (under 20 words); a null language and an
+empty one share a stratum; labels that are null or neither 0 nor 1, or whose doc_id is null, are unused;
 several labels of a document count as good only if all say so; repeated rows are repeated; an empty
 table gives no rows; extra columns are ignored.
 """
