@@ -19,6 +19,9 @@ BUCKETS = 16384
 NGRAM_LENGTHS = (2, 3, 4)
 HASH_PERSON = b"hc3char_v1"
 SHORT_TEXT = 280
+# N-grams whose hash a task remembers, and numbers it returns at once.
+MEMO = 200_000
+PIECE = 500_000
 CJK_CLASS = "[㐀-鿿]"
 HASHED = T.StructType(
     [
@@ -48,15 +51,43 @@ def _normalise_other(texts: pd.Series) -> pd.Series:
     return texts.map(_normal_form, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _normalise_others(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda texts: [_normal_form(t) for t in texts], na_action="ignore")
+
+
+# Characters that are their own compatibility form, compose with none of the others, and whose folded case is their
+# lower case, the sharp s apart: ASCII, Latin-1, dashes and quotes, basic Cyrillic, kana, Hangul and Chinese.
+STABLE = (
+    r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u00FF\u0410-\u044F"
+    r"\u2013\u2014\u2018-\u201E\u2022\u20AC\u3001\u3002\u3041-\u3096\u30A1-\u30FA\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7A3"
+)
+
+
+def _unstable(text: Column) -> Column:
+    # Most characters are ASCII, which the look-ahead passes over much faster than the long class.
+    return text.rlike(rf"(?=[^\x00-\x7F])[^{STABLE}]")
+
+
+def _plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[\x09-\x0D\x1C-\x20]+", " "))
+
+
 def normalise(text: Column | str) -> Column:
     """Compatibility form, case-folded, runs of whitespace collapsed to one space.
 
-    ASCII texts stay with built-in functions; Python sees a null in their place.
+    Texts of ``STABLE`` characters stay with built-in functions; Python sees a null in their place.
     """
     text = F.col(text) if isinstance(text, str) else text
-    other = text.rlike(r"[^\x00-\x7F]")
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[\x09-\x0D\x1C-\x20]+", " "))
-    return F.when(other, _normalise_other(F.when(other, text))).otherwise(plain)
+    return F.coalesce(_normalise_other(F.when(_unstable(text), text)), _plain(text))
+
+
+def normalise_all(texts: Column) -> Column:
+    """As ``normalise`` for every text of an array: one Python step for all of them."""
+    others = F.when(F.exists(texts, _unstable), F.transform(texts, lambda t: F.when(_unstable(t), t)))
+    # A shorter array, here null, is filled up with nulls.
+    fixed = F.coalesce(_normalise_others(others), F.array().cast("array<string>"))
+    return F.zip_with(texts, fixed, lambda t, done: F.coalesce(done, _plain(t)))
 
 
 def fingerprint(normalised: Column) -> Column:
@@ -95,24 +126,29 @@ def _hashed(text: str, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
 def hashed_features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Signed character 2- to 4-gram counts of a normalised text in 16,384 buckets, unit length.
 
-    Distinct n-grams are hashed once; the memo is dropped when it grows beyond a million entries.
+    Distinct n-grams are hashed once; the memo is dropped when it grows beyond ``MEMO`` entries. A batch leaves in pieces
+    of about ``PIECE`` numbers: the features of a text are many times its size.
     """
     cache: dict[str, int] = {}
     for texts in batches:
-        pairs = []
-        for text in texts:
+        pairs, held = [], 0
+        for k, text in enumerate(texts):
             pairs.append(_hashed(text or "", cache))
-            if len(cache) > 1_000_000:
+            held += len(pairs[-1][0])
+            if len(cache) > MEMO:
                 cache.clear()
-        yield pd.DataFrame({"indices": [p[0] for p in pairs], "values": [p[1] for p in pairs]})
+            if held >= PIECE or k == len(texts) - 1:
+                yield pd.DataFrame({"indices": [p[0] for p in pairs], "values": [p[1] for p in pairs]})
+                pairs, held = [], 0
 
 
 def cjk_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(CJK_CLASS))
+    return F.length(F.regexp_replace(text, CJK_CLASS.replace("[", "[^") + "+", ""))
 
 
 def letter_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\p{L}"))
+    # What is left is counted: a count of matches would build a string for each letter.
+    return F.length(F.regexp_replace(text, r"\P{L}+", ""))
 
 
 def text_groups(text: Column) -> Column:

@@ -218,3 +218,34 @@ def test_quarantine_layout_and_strict_mode(spark):
     with pytest.raises(ValueError, match="n_not_a_count"):
         validation.require(df, [validation.count_rule("n")])
     assert leakage.shared_training_leaks(spark.createDataFrame([("x", "1"), ("x", "2")], "platform string, post_id string"), spark.createDataFrame([("x", "2")], "platform string, post_id string")).count() == 1
+
+
+def test_stable_texts_stay_out_of_python(spark):
+    samples = ["Straße ÄÖÜ «Été» – “q”", "Привет МИР", "中文、テスト 한글", "plain  ASCII\ttext", "ﬁne", "é", "Σς", None, ""]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")
+    listed = text.normalise_all(F.array("s", F.lit("Ｘ y"), "s"))
+    got = df.select("s", text.normalise("s").alias("n"), listed.alias("l"), text._unstable(F.col("s")).alias("other")).orderBy("i").collect()
+    for r in got:
+        want = text._normal_form(r.s)
+        assert r.n == want and r.l == [want, "x y", want]
+    assert [r.other for r in got] == [False] * 4 + [True] * 3 + [None, False]
+
+
+def test_features_leave_in_pieces(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(text, "PIECE", 40)
+    monkeypatch.setattr(text, "MEMO", 5)
+    texts = ["some words here", "", "other words", None, "last ones of all", "x"]
+    pieces = list(text.hashed_features.func(iter([pd.Series(texts), pd.Series([], dtype=object)])))
+    assert len(pieces) == 3 and max(map(len, pieces)) < len(texts)
+    flat = [dict(zip(i, v)) for p in pieces for i, v in zip(p["indices"], p["values"])]
+    for t, got in zip(texts, flat, strict=True):
+        want = brute_features(t or "")
+        assert sorted(got) == sorted(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_letters_and_chinese_are_counted(spark):
+    df = spark.createDataFrame([("aé1 中文!𝒳",), ("",), ("12",)], "s string")
+    got = [tuple(r) for r in df.select(text.letter_count(F.col("s")), text.cjk_count(F.col("s"))).collect()]
+    assert got == [(5, 2), (0, 0), (0, 0)]
