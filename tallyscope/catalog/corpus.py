@@ -105,8 +105,8 @@ gr AS (SELECT DISTINCT group_id FROM kept), od AS (SELECT group_id, row_number()
 sp AS (SELECT group_id, CASE WHEN i < CAST(floor(n * 0.70::DOUBLE) AS BIGINT) THEN 'train' WHEN i < CAST(floor(n * 0.85::DOUBLE) AS BIGINT) THEN 'validation' ELSE 'test' END AS split FROM od)"""
 
 
-def split_rows(spark, folder):
-    return reports.origin_dataset(questions(spark, folder), SEED)["rows"]
+def split_rows(spark, folder, with_text=False):
+    return reports.origin_dataset(questions(spark, folder), SEED, with_text)["rows"]
 
 
 @query("group_split", f"WITH RECURSIVE {SPLIT} SELECT answer_sha256, group_id, CAST(lo AS INTEGER) AS label, split FROM kept JOIN sp USING (group_id)")
@@ -128,7 +128,7 @@ def split_summary(spark, folder):
     f"""WITH RECURSIVE {SPLIT} SELECT (SELECT count(*) FROM occ) AS n_occurrences, count(*) AS n_retained, {R('count(*) / (SELECT count(*) FROM occ)::DOUBLE')} AS coverage FROM kept""",
 )
 def occurrence_coverage(spark, folder):
-    return reports.origin_dataset(questions(spark, folder), SEED)["coverage"].withColumn("coverage", r6("coverage"))
+    return reports.origin_dataset(questions(spark, folder), SEED, with_text=False)["coverage"].withColumn("coverage", r6("coverage"))
 
 
 @query("straddling_groups", f"WITH RECURSIVE {SPLIT} SELECT group_id FROM kept JOIN sp USING (group_id) GROUP BY 1 HAVING count(DISTINCT split) > 1")
@@ -150,13 +150,13 @@ def document_hash_split(spark, folder):
 
 @query("origin_fit")
 def origin_fit(spark, folder):
-    rows = cut_lineage(split_rows(spark, folder))
+    rows = cut_lineage(split_rows(spark, folder, with_text=True))
     return reports.origin_benchmark(rows)["metrics"]
 
 
 @query("length_fit")
 def length_fit(spark, folder):
-    rows = cut_lineage(split_rows(spark, folder)).withColumn("part", F.col("split"))
+    rows = cut_lineage(split_rows(spark, folder, with_text=True)).withColumn("part", F.col("split"))
     sparse = fitting.length_features(rows)
     model = fitting.fit_logistic(sparse.filter(F.col("part") != "test"), 1)
     test = sparse.filter(F.col("part") == "test").withColumn("logit", model.logit_udf()("indices", "values"))

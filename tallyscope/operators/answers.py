@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_ratio
-from ..functions.text import fingerprint, normalise
+from ..functions.text import fingerprint, normalise_all
+from ..session import cut_lineage
 from .components import connected_components
 from .splits import hash_split
 
 LABELS = ("human_written", "ai_generated")
+SIDES = ("human_answers", "chatgpt_answers")  # labels 0 and 1
 
 
 def occurrences(qa: DataFrame) -> DataFrame:
@@ -19,22 +21,17 @@ def occurrences(qa: DataFrame) -> DataFrame:
     ``qa`` has question, human_answers and chatgpt_answers. Null and blank answers are kept as
     rows with a reason, so they can be counted before they are dropped.
     """
-    sides = F.flatten(
-        F.array(
-            F.transform("human_answers", lambda a: F.struct(F.lit(0).alias("label"), a.alias("answer"))),
-            F.transform("chatgpt_answers", lambda a: F.struct(F.lit(1).alias("label"), a.alias("answer"))),
-        )
-    )
-    rows = qa.select(normalise("question").alias("question"), F.explode(sides).alias("_a")).select(
-        "question", "_a.label", "_a.answer"
-    )
-    rows = rows.withColumn("text", normalise("answer"))
+    # Question and answers of a row are normalised in one step, before they become rows.
+    named = qa.withColumn("_all", normalise_all(F.concat(F.array("question"), *[F.coalesce(c, F.array()) for c in SIDES])))
+    humans = F.greatest(F.size(SIDES[0]), F.lit(0))
+    rows = named.select(F.element_at("_all", 1).alias("question"), humans.alias("_n"), F.posexplode(F.slice("_all", 2, F.size("_all"))).alias("_at", "text"))
+    rows = rows.withColumn("label", F.when(F.col("_at") < F.col("_n"), 0).otherwise(1))
     return rows.select(
         F.concat(F.lit("q-"), fingerprint(F.col("question"))).alias("group"),
         "label",
         F.when(F.col("text") != "", fingerprint(F.col("text"))).alias("answer_sha256"),
         F.when(F.col("text") != "", F.col("text")).alias("text"),
-        F.when(F.col("answer").isNull(), "missing_answer")
+        F.when(F.col("text").isNull(), "missing_answer")
         .when(F.col("text") == "", "empty_answer")
         .alias("excluded_reason"),
     )
@@ -47,31 +44,41 @@ def occurrence_counts(rows: DataFrame) -> DataFrame:
 
 
 def question_groups(rows: DataFrame) -> DataFrame:
-    """Component of every question group, built from all source edges before any exclusion."""
-    usable = rows.filter(F.col("answer_sha256").isNotNull())
-    edges = usable.select("group", F.concat(F.lit("z-"), F.col("answer_sha256")).alias("answer")).distinct()
-    # Answer nodes sort after question nodes, so a component is named by its smallest question.
-    found = connected_components(edges, "group", "answer")
-    return found.filter(F.col("node").startswith("q-")).select(
-        F.col("node").alias("group"), F.col("component").alias("group_id")
+    """Component of every question group, built from all source edges before any exclusion.
+
+    Groups that share an answer are linked to the smallest of them, so an answer of one group, as most are, gives no edge.
+    A component is named by its smallest question.
+    """
+    usable = rows.filter(F.col("answer_sha256").isNotNull() & F.col("group").isNotNull())
+    held = cut_lineage(usable.select("group", "answer_sha256").distinct())
+    shared = held.groupBy("answer_sha256").agg(F.min("group").alias("lowest"), F.max("group").alias("_highest"))
+    shared = shared.filter("lowest <> _highest").select("answer_sha256", "lowest")
+    edges = held.join(shared, "answer_sha256").filter(F.col("group") != F.col("lowest")).select("group", "lowest")
+    found = connected_components(edges, "group", "lowest").withColumnRenamed("node", "group")
+    return (
+        held.select("group")
+        .distinct()
+        .join(found, "group", "left")
+        .select("group", F.coalesce("component", "group").alias("group_id"))
     )
 
 
 def answer_status(rows: DataFrame) -> DataFrame:
     """Per distinct answer: occurrences and whether its labels conflict."""
     usable = rows.filter(F.col("answer_sha256").isNotNull())
+    text = ["text"] if "text" in rows.columns else []
     return usable.groupBy("answer_sha256").agg(
         F.count(F.lit(1)).alias("n_occurrences"),
         F.min("label").alias("label"),
         F.max("label").alias("_other"),
         F.min("group").alias("group"),
-        F.first("text").alias("text"),
+        *[F.first(c).alias(c) for c in text],
     ).select(
         "answer_sha256",
         "n_occurrences",
         "label",
         "group",
-        "text",
+        *text,
         F.when(F.col("label") != F.col("_other"), "conflicting_labels")
         .when(F.col("n_occurrences") > 1, "same_label_duplicates")
         .otherwise("single")
@@ -82,7 +89,7 @@ def answer_status(rows: DataFrame) -> DataFrame:
 def retained_answers(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """One row per answer without conflicting labels, with its component."""
     kept = answer_status(rows).filter(F.col("status") != "conflicting_labels")
-    return kept.join(groups, "group").select("answer_sha256", "group_id", "label", "text", "n_occurrences")
+    return kept.join(groups, "group").drop("group", "status")
 
 
 def split_answers(retained: DataFrame, seed: int) -> DataFrame:

@@ -319,11 +319,16 @@ def cascade_quantiles(raw_rows: DataFrame, epochs: int = 15, batch: int = miniba
     return {"predictions": predictions, "metrics": table, "selected": best, "skipped": skipped, "disorder": disorder}
 
 
-def origin_dataset(qa: DataFrame, seed: int) -> Tables:
-    """Grouped, de-duplicated and split answers with their coverage."""
+def origin_dataset(qa: DataFrame, seed: int, with_text: bool = True) -> Tables:
+    """Grouped, de-duplicated and split answers with their coverage.
+
+    Occurrences and retained answers are read several times, so each is written once; without their texts, which most
+    of the tables don't need, they are small.
+    """
     rows = answers.occurrences(qa)
-    groups = answers.question_groups(rows)
-    split_rows = answers.split_answers(answers.retained_answers(rows, groups), seed)
+    rows = cut_lineage(rows if with_text else rows.drop("text"))
+    groups = cut_lineage(answers.question_groups(rows))
+    split_rows = answers.split_answers(cut_lineage(answers.retained_answers(rows, groups)), seed)
     return {
         "rows": split_rows,
         "groups": groups,

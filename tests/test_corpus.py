@@ -249,3 +249,27 @@ def test_letters_and_chinese_are_counted(spark):
     df = spark.createDataFrame([("aé1 中文!𝒳",), ("",), ("12",)], "s string")
     got = [tuple(r) for r in df.select(text.letter_count(F.col("s")), text.cjk_count(F.col("s"))).collect()]
     assert got == [(5, 2), (0, 0), (0, 0)]
+
+
+def test_only_shared_answers_link_groups(spark, monkeypatch):
+    data = [("q1", "a"), ("q1", "b"), ("q2", "b"), ("q2", "b"), ("q2", "c"), ("q3", "c"), ("q4", "d"), ("q4", "e"), ("q5", "f"), ("q5", None), (None, "f")]
+    seen = []
+    real = answers.connected_components
+    monkeypatch.setattr(answers, "connected_components", lambda edges, *names: seen.append(edges.count()) or real(edges, *names))
+    got = answers.question_groups(spark.createDataFrame(data, "group string, answer_sha256 string"))
+    assert rows(got, "group") == [("q1", "q1"), ("q2", "q1"), ("q3", "q1"), ("q4", "q4"), ("q5", "q5")]
+    # An edge for each answer of the graph would be nine; those of one group link nothing.
+    assert seen == [2]
+
+
+def test_dataset_reads_occurrences_once(spark):
+    data = [("q0", ["ﬁrst", None, " "], None), ("q1", [], ["Ｏther", "first"]), ("q2", None, ["third"])]
+    qa = spark.createDataFrame(data, QA)
+    out = reports.origin_dataset(qa, 3, with_text=False)
+    counts = {(r.label, r.state): r.n_occurrences for r in out["occurrences"].collect()}
+    assert counts == {(0, "usable"): 1, (0, "missing_answer"): 1, (0, "empty_answer"): 1, (1, "usable"): 3}
+    assert "text" not in out["rows"].columns and "text" in reports.origin_dataset(qa, 3)["rows"].columns
+    # The rows stand on written tables: no text is normalised again by what reads them.
+    for name in ("rows", "summary", "coverage"):
+        assert "ArrowEvalPython" not in out[name]._jdf.queryExecution().toString()
+    assert sorted(r.label for r in out["rows"].collect()) == [1, 1]
