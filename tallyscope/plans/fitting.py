@@ -552,82 +552,94 @@ def fit_prefixes(
     return pd.concat(parts, ignore_index=True)
 
 
-def ragged_gradient(
-    raw: np.ndarray, ages: np.ndarray, logs: np.ndarray, sizes: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """As ``curve_gradient`` for curves with points of their own: those of curve k follow those of curve k - 1.
+def _fit_block(ages: np.ndarray, logs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, epochs: int) -> pd.DataFrame:
+    """One fit for each stretch of ``sizes`` points from ``starts``, all in the same numpy calls; ages are hours.
 
-    ``logs`` are log1p of the counts; every curve has a point at least.
+    The stretches are sides of one array, so parameters need no copy for each point; those short of the longest are padded
+    with their last point, whose weight is zero there. Only the slope is taken in an epoch, with terms shared by its parts.
     """
-    positive = softplus(raw)
-    starts = np.cumsum(sizes) - sizes
-    base, amplitude, tau = (np.repeat(x, sizes) for x in (positive[:, 0], positive[:, 1], positive[:, 2] + TAU_FLOOR_HOURS))
-    rise = -np.expm1(-ages / tau)
-    predicted = base + amplitude * rise
-    gap = np.log1p(predicted) - logs
-    outer = 2 * gap / (1 + predicted)
-    parts = (outer, outer * rise, outer * -amplitude * (1 - rise) * ages / tau**2)
-    slope = np.stack([np.add.reduceat(x, starts) for x in parts], axis=1)
-    return np.add.reduceat(gap * gap, starts), slope * logistic(raw)
-
-
-def _gate(ages: np.ndarray, last_only: bool) -> np.ndarray:
-    """Positions (from 0) of the prefix ends of one ordered series that are fitted; ages are seconds."""
-    ends = np.flatnonzero((np.arange(len(ages)) + 1 >= CURVE_MIN_POINTS) & (ages - ages[0] >= CURVE_MIN_SPAN))
-    return ends[ends == len(ages) - 1] if last_only else ends
+    top = int(sizes.max())
+    place = starts[:, None] + np.minimum(np.arange(top)[None, :], sizes[:, None] - 1)
+    weight = None if (sizes == top).all() else (np.arange(top)[None, :] < sizes[:, None]).astype(float)
+    raw = curve_start(ages[starts], ages[place[:, -1]], np.expm1(logs[starts]), np.expm1(logs[place[:, -1]])).T.copy()
+    # Numpy is fast along the longer side: many short curves lie side by side, few long ones one after the other.
+    along = 0 if len(sizes) > top else 1
+    wide = (lambda v: v[None, :]) if along == 0 else (lambda v: v[:, None])
+    turned = (lambda m: np.ascontiguousarray(m.T)) if along == 0 else (lambda m: m)
+    x, y = turned(ages[place]), turned(logs[place])
+    weight = None if weight is None else turned(weight)
+    adam, fall, gap, grown = Adam(0.03), np.empty_like(x), np.empty_like(x), np.empty_like(x)
+
+    def gaps(base: np.ndarray, amplitude: np.ndarray, tau: np.ndarray) -> np.ndarray:
+        """Log error of every point; ``fall`` is minus the risen part, ``grown`` the prediction plus one."""
+        np.multiply(x, wide(-1 / tau), out=fall)
+        np.expm1(fall, out=fall)
+        np.multiply(fall, wide(-amplitude), out=grown)
+        np.add(grown, wide(1 + base), out=grown)
+        np.log(grown, out=gap)
+        np.subtract(gap, y, out=gap)
+        return gap if weight is None else np.multiply(gap, weight, out=gap)
 
-
-def _fit_together(
-    ages: list[np.ndarray], logs: list[np.ndarray], epochs: int
-) -> pd.DataFrame:
-    """One fit for each pair of arrays, all in the same numpy calls; ages are hours."""
-    sizes = np.array([len(a) for a in ages])
-    flat, target = np.concatenate(ages), np.concatenate(logs)
-    ends = np.cumsum(sizes)
-    first, last = ends - sizes, ends - 1
-    raw = curve_start(flat[first], flat[last], np.expm1(target[first]), np.expm1(target[last]))
-    adam = Adam(0.03)
     for _ in range(epochs):
-        _, slope = ragged_gradient(raw, flat, target, sizes)
-        raw = adam.step(raw, slope / sizes[:, None])
-    loss, _ = ragged_gradient(raw, flat, target, sizes)
-    return curve_frame(raw, loss, sizes)
+        small = np.exp(-np.abs(raw))
+        base, amplitude, tau = np.maximum(raw, 0.0) + np.log1p(small)
+        tau = tau + TAU_FLOOR_HOURS
+        outer = np.divide(gaps(base, amplitude, tau), grown, out=gap)
+        level = outer.sum(along)
+        aged = np.multiply(outer, x, out=grown).sum(along)
+        risen = np.multiply(outer, fall, out=outer).sum(along)
+        aged += np.multiply(grown, fall, out=grown).sum(along)
+        slope = np.stack([level, -risen, -amplitude / tau**2 * aged])
+        raw = adam.step(raw, slope * (np.where(raw >= 0, 2.0, 2.0 * small) / (1 + small) / sizes))
+    base, amplitude, tau = softplus(raw)
+    loss = np.square(gaps(base, amplitude, tau + TAU_FLOOR_HOURS)).sum(along)
+    return curve_frame(raw.T, loss, sizes)
+
+
+def _blocks(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of stretches of about equal size, at most ``BATCH_POINTS`` points together where that is one at least."""
+    order = np.argsort(sizes, kind="stable")
+    ranked = sizes[order]
+    at = 0
+    while at < len(order):
+        # Up to a sixteenth is padded, or more where the block would be so small that numpy's calls outweigh the points.
+        near = int(np.searchsorted(ranked, ranked[at] + max(1, ranked[at] // 16), side="right"))
+        end = min(near, at + max(1, BATCH_POINTS // int(ranked[near - 1])))
+        wider = np.arange(1, len(order) - end + 1) + (end - at)
+        end += int(np.searchsorted(wider * ranked[end:], BATCH_POINTS // 8, side="right"))
+        yield order[at:end]
+        at = end
 
 
 def _bundle_fitter(epochs: int, last_only: bool):
     """Fits of every series of a bundle, about ``BATCH_POINTS`` points of prefixes at a time."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        held: list[tuple] = []
-
-        def flush() -> None:
-            if held:
-                part = _fit_together([h[2] for h in held], [h[3] for h in held], epochs)
-                part["position"] = part["n_training_points"]
-                for k, name in enumerate(SERIES):
-                    part[name] = [h[k] for h in held]
-                out.append(part)
-                held.clear()
-
-        points = 0
-        for key, own in pdf.sort_values([*SERIES, "position"]).groupby(SERIES, sort=False, dropna=False):
-            seconds = own["age_seconds"].to_numpy(dtype=float)
-            ages, logs = seconds / 3600, np.log1p(own["value"].to_numpy(dtype=float))
-            for end in _gate(seconds, last_only):
-                held.append((*key, ages[: end + 1], logs[: end + 1]))
-                points += end + 1
-                if points >= BATCH_POINTS:
-                    flush()
-                    points = 0
-        flush()
+        pdf = pdf.sort_values([*SERIES, "position"], ignore_index=True)
+        series = pdf.groupby(SERIES, sort=False, dropna=False).ngroup().to_numpy()
+        first = np.searchsorted(series, series)
+        seconds = pdf["age_seconds"].to_numpy(dtype=float)
+        ages, logs = seconds / 3600, np.log1p(pdf["value"].to_numpy(dtype=float))
+        size = np.arange(len(pdf)) - first + 1
+        fitted = (size >= CURVE_MIN_POINTS) & (seconds - seconds[first] >= CURVE_MIN_SPAN)
+        if last_only:
+            fitted &= np.append(series[1:] != series[:-1], True)
+        ends = np.flatnonzero(fitted)
+        out = []
+        for places in _blocks(size[ends]):
+            own = ends[places]
+            part = _fit_block(ages, logs, first[own], size[own], epochs)
+            part["position"] = part["n_training_points"]
+            for name in SERIES:
+                part[name] = pdf[name].to_numpy()[own]
+            out.append(part)
         return pd.concat(out, ignore_index=True)[CURVE_COLUMNS] if out else pd.DataFrame(columns=CURVE_COLUMNS)
 
     return run
 
 
 # Points of all prefixes together in one numpy batch, of one bundle of series, and of a series that is fitted in blocks.
-BATCH_POINTS = 40_000
+BATCH_POINTS = 20_000
 BUNDLE_POINTS = 4_000_000
 LONG_SERIES = 20_000
 POINT_BLOCK, PREFIX_BLOCK = 4_096, 256

@@ -203,3 +203,22 @@ def test_a_callers_fitter_runs_for_every_series(spark):
 
     base = spark.range(40).selectExpr("concat('u', id % 2) AS url", "'s' AS source", "cast(id / 2 AS bigint) + 1 AS position", "cast(id AS double) AS age_seconds", "id AS value")
     assert sorted((r.url, r.position) for r in fitting.saturation_fits(base, fit_fn=fit).collect()) == [("u0", 20), ("u1", 20)]
+
+
+def test_fit_blocks_of_both_layouts_match_plain_fits():
+    draw = np.random.default_rng(5)
+    frames, want = [], {}
+    for k, n in enumerate([*draw.integers(2, 12, 40), 90]):
+        own = pd.DataFrame({"url": f"u{k}", "source": "s", "position": np.arange(1, n + 1), "age_seconds": np.sort(draw.uniform(60, 9e5, n)), "value": np.sort(draw.integers(0, 5000, n))})
+        frames.append(own)
+        for r in fitting.fit_prefixes(own, 30).itertuples():
+            want[f"u{k}", r.position] = (r.base, r.amplitude, r.tau_seconds, r.training_loss)
+    sizes = np.array([p for _, p in want])
+    blocks = list(fitting._blocks(sizes))
+    assert sorted(np.concatenate(blocks)) == list(range(len(sizes)))
+    # Hundreds of prefixes of many lengths take few numpy calls, and no block is much larger than its points.
+    assert len(blocks) < 12 and all(sizes[b].max() * len(b) <= 1.2 * sizes[b].sum() + fitting.BATCH_POINTS // 8 for b in blocks)
+    assert {len(b) > sizes[b].max() for b in blocks} == {True, False}
+    got = fitting._bundle_fitter(30, False)(pd.concat(frames).sample(frac=1, random_state=2))
+    found = {(r.url, r.position): (r.base, r.amplitude, r.tau_seconds, r.training_loss) for r in got.itertuples()}
+    assert set(found) == set(want) and all(np.allclose(found[k], want[k], rtol=1e-9) for k in want)
