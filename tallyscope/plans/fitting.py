@@ -372,12 +372,42 @@ class LogisticModel:
         return logit
 
 
-def _flat(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = batch["indices"].map(len).to_numpy()
-    owner = np.repeat(np.arange(len(batch)), sizes)
-    index = np.concatenate(batch["indices"].to_numpy()).astype(int) if sizes.sum() else np.empty(0, int)
-    value = np.concatenate(batch["values"].to_numpy()) if sizes.sum() else np.empty(0)
-    return owner, index, value
+# Numbers of sparse rows in one packed block.
+BLOCK_NUMBERS = 250_000
+PACKED = "sizes binary, indices binary, codes binary, palette binary, label binary, train binary"
+
+
+def _row_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sparse rows packed into blocks of about ``BLOCK_NUMBERS`` numbers: every epoch reads all of them again.
+
+    A value is a place in the block's table of distinct values, as counts divided by few norms repeat: two bytes for
+    eight, without loss. A block with too many distinct values keeps them as they are.
+    """
+    for frame in frames:
+        sizes = frame["indices"].map(len).to_numpy(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK_NUMBERS)) + 1
+        for own in np.split(np.arange(len(frame)), cuts):
+            if not len(own):
+                continue
+            rows, n = frame.iloc[own], sizes[own]
+            index = np.concatenate(rows["indices"].to_list()) if n.sum() else np.empty(0)
+            value = np.concatenate(rows["values"].to_list()) if n.sum() else np.empty(0)
+            palette, codes = np.unique(value.astype(float), return_inverse=True)
+            if len(palette) > 65_536:
+                palette, codes = value.astype(float), np.empty(0)
+            train = (rows["part"] == "train").to_numpy()
+            parts = (n, index.astype(np.int32), codes.astype(np.uint16), palette, rows["label"].to_numpy(dtype=float), train)
+            yield pd.DataFrame([[p.tobytes() for p in parts]], columns=PACKED.replace(" binary", "").split(", "))
+
+
+def _unpacked(row) -> tuple[np.ndarray, ...]:
+    """Owner, index and value of every number, label and training mark of every row of a block."""
+    sizes = np.frombuffer(row.sizes, np.int64)
+    value = np.frombuffer(row.palette)
+    if len(row.codes):
+        value = value[np.frombuffer(row.codes, np.uint16)]
+    index = np.frombuffer(row.indices, np.int32)
+    return np.repeat(np.arange(len(sizes)), sizes), index, value, np.frombuffer(row.label), np.frombuffer(row.train, bool)
 
 
 def fit_logistic(
@@ -389,7 +419,7 @@ def fit_logistic(
     smallest loss, then the earliest epoch, then the temperature nearest one.
     """
     only(rows, F.col("part").isin("train", "validation"), "optimiser and selection accept train and validation rows only")
-    data = rows.select("indices", "values", "label", "part").persist()
+    data = rows.select("indices", "values", "label", "part").mapInPandas(_row_blocks, PACKED).persist()
     size = width + 1
     k = len(temperatures)
     theta, adam = np.zeros(size), Adam(rate)
@@ -398,30 +428,28 @@ def fit_logistic(
     def passes(current: np.ndarray) -> np.ndarray:
         shared = context.broadcast(current)
 
+        def loss(z: np.ndarray, t: np.ndarray) -> np.ndarray:
+            return np.maximum(z, 0) - t * z + np.log1p(np.exp(-np.abs(z)))
+
         def part(batch: pd.DataFrame) -> np.ndarray:
             w = shared.value
             out = np.zeros(size + 2 + k + 1)
-            owner, index, value = _flat(batch)
-            logits = np.bincount(owner, weights=w[index] * value, minlength=len(batch)) + w[-1]
-            y = batch["label"].to_numpy().astype(float)
-            train = (batch["part"] == "train").to_numpy()
-            residual = np.where(train, logistic(logits) - y, 0.0)
-            out[:width] = np.bincount(index, weights=residual[owner] * value, minlength=width)[:width]
-            out[width] = residual.sum()
-
-            def loss(z: np.ndarray, t: np.ndarray) -> np.ndarray:
-                return np.maximum(z, 0) - t * z + np.log1p(np.exp(-np.abs(z)))
-
-            out[size] = loss(logits[train], y[train]).sum()
-            out[size + 1] = train.sum()
-            held = ~train
-            for j, t in enumerate(temperatures):
-                out[size + 2 + j] = loss(logits[held] / t, y[held]).sum()
-            out[size + 2 + k] = held.sum()
+            for row in batch.itertuples(index=False):
+                owner, index, value, y, train = _unpacked(row)
+                logits = np.bincount(owner, weights=w[index] * value, minlength=len(y)) + w[-1]
+                residual = np.where(train, logistic(logits) - y, 0.0)
+                out[:width] += np.bincount(index, weights=residual[owner] * value, minlength=width)[:width]
+                out[width] += residual.sum()
+                out[size] += loss(logits[train], y[train]).sum()
+                out[size + 1] += train.sum()
+                held = ~train
+                for j, t in enumerate(temperatures):
+                    out[size + 2 + j] += loss(logits[held] / t, y[held]).sum()
+                out[size + 2 + k] += held.sum()
             return out
 
         try:
-            return reduce_vector(data, ["indices", "values", "label", "part"], part, size + 2 + k + 1)
+            return reduce_vector(data, data.columns, part, size + 2 + k + 1)
         finally:
             shared.unpersist()
 

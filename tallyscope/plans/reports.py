@@ -342,7 +342,8 @@ def origin_dataset(qa: DataFrame, seed: int, with_text: bool = True) -> Tables:
 def subgroup_metrics(scored: DataFrame, text: str = "text", keys: Sequence[str] = ("model",)) -> DataFrame:
     """Binary metrics over all rows and over every text group."""
     names = F.concat(F.array(F.lit("all")), text_groups(F.col(text)))
-    rows = scored.withColumn("text_group", F.explode(names)).select(*keys, "text_group", "probability", "label")
+    # Written once: the metrics read these rows many times, and the texts are many times their size.
+    rows = cut_lineage(scored.withColumn("text_group", F.explode(names)).select(*keys, "text_group", "probability", "label"))
     by = [*keys, "text_group"]
     base = metrics.binary_metrics(rows, by)
     area = metrics.auroc(rows, by)
@@ -363,6 +364,8 @@ def origin_benchmark(rows: DataFrame, epochs: int = 12) -> Tables:
         model = fitting.fit_logistic(source.filter(F.col("part") != "test"), width, epochs)
         picks.append((name, model.selected_epoch, float(model.temperature), model.validation_nll))
         test = source.filter(F.col("part") == "test").withColumn("logit", model.logit_udf()("indices", "values"))
+        # Written once, without the features, which every table below would derive again.
+        test = cut_lineage(test.select("answer_sha256", "label", "text", "logit"))
         for suffix, t in (("", model.temperature), ("_uncalibrated", 1.0)):
             scored.append(
                 test.select(

@@ -273,3 +273,25 @@ def test_dataset_reads_occurrences_once(spark):
     for name in ("rows", "summary", "coverage"):
         assert "ArrowEvalPython" not in out[name]._jdf.queryExecution().toString()
     assert sorted(r.label for r in out["rows"].collect()) == [1, 1]
+
+
+def test_sparse_rows_are_packed_without_loss(monkeypatch):
+    import pandas as pd
+
+    draw = np.random.default_rng(4)
+    monkeypatch.setattr(fitting, "BLOCK_NUMBERS", 50)
+    sizes = [0, 7, 0, 30, 120, 1, 0]
+    frame = pd.DataFrame({
+        "indices": [draw.integers(0, 16384, n).astype(np.int32) for n in sizes], "values": [draw.integers(-3, 4, n) / 7.3 for n in sizes],
+        "label": [0, 1, 1, 0, 1, 0, 1], "part": ["train", "validation", "train", "train", "validation", "train", "train"]})
+    wild = frame.assign(indices=[np.arange(70_000)] * 7, values=[draw.normal(size=70_000) for _ in range(7)])
+    for data in (frame, wild):
+        blocks = pd.concat(fitting._row_blocks(iter([data, data.iloc[:0]])))
+        assert len(blocks) >= 2
+        parts = [fitting._unpacked(r) for r in blocks.itertuples(index=False)]
+        assert np.array_equal(np.concatenate([p[1] for p in parts]), np.concatenate(data["indices"].to_list()))
+        assert np.array_equal(np.concatenate([p[2] for p in parts]), np.concatenate(data["values"].to_list()))
+        assert np.array_equal(np.concatenate([p[3] for p in parts]), data["label"]) and np.array_equal(np.concatenate([p[4] for p in parts]), data["part"] == "train")
+        assert sum(len(p[3]) for p in parts) == 7 and all(len(p[0]) == len(p[1]) for p in parts)
+    # Two bytes for each value of hashed features.
+    assert sum(map(len, pd.concat(fitting._row_blocks(iter([frame])))["codes"])) == 2 * sum(sizes)
