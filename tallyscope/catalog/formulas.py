@@ -194,7 +194,8 @@ def order_captures(spark, folder):
 def post_intervals(spark, folder):
     from ..operators.posts import age_clocks
 
-    rows = order_captures(spark, folder)
+    # Read for the clocks and for the captures.
+    rows = cut_lineage(order_captures(spark, folder))
     catalog = rows.groupBy("url").agg(F.min("observed_at").alias("published_at")).select(
         "url", "published_at", F.lit(None).cast("string").alias("original_version_url"), F.lit(None).cast("timestamp").alias("original_published_at")
     )
@@ -217,7 +218,7 @@ def post_intervals(spark, folder):
 def capture_ages(spark, folder):
     from ..operators.posts import age_clocks
 
-    rows = order_captures(spark, folder)
+    rows = cut_lineage(order_captures(spark, folder))
     catalog = rows.groupBy("url").agg(F.min("observed_at").alias("published_at")).select(
         "url", "published_at", F.lit(None).cast("string").alias("original_version_url"), F.lit(None).cast("timestamp").alias("original_published_at")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.links import post_id
 from ..functions.times import seconds_between
+from ..session import cut_lineage
 from .intervals import OWNER_COUNTERS, PUBLIC_COUNTERS, latest_capture, paired_counter_intervals, with_event_ratios
 from .ordered import HOT_ROWS
 from .validation import attribution
@@ -116,7 +117,9 @@ def per_post_latest(rows: DataFrame) -> DataFrame:
 
 def surface_intervals(rows: DataFrame, surface: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     counters = OWNER_COUNTERS if surface == "owner_analytics" else PUBLIC_COUNTERS
-    return paired_counter_intervals(rows, ["post_id", "surface"], counters, hot_rows=hot_rows)
+    # Hot posts are counted before the intervals are taken: two passes, so the captures are written once.
+    captured = cut_lineage(rows.select("post_id", "surface", "observed_at", "source", *counters))
+    return paired_counter_intervals(captured, ["post_id", "surface"], counters, hot_rows=hot_rows)
 
 
 def availability(checks: DataFrame, follow_ups: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -142,3 +142,17 @@ def test_post_statistics_lists_conflicts_and_ages(spark):
     assert out["owner_analytics_conflicts"].count() == 1 and out["owner_analytics_intervals"].first().delta_impressions == 40
     row = out["public_surface_latest"].first()
     assert (row.age_seconds, row.age_basis) == (90.0, "original_publication")
+
+
+def test_surface_intervals_stand_on_written_captures(spark):
+    from tallyscope.operators import posts
+
+    counters = "impressions bigint, engagements bigint, detail_expands bigint, profile_visits bigint, link_clicks bigint"
+    data = [(f"https://x.com/a/status/{p}", at(60 * k), "export", 10 * k, k, None, None, None) for p in (1, 2) for k in range(3)]
+    seen = spark.createDataFrame(data, f"url string, observed_at timestamp, source string, {counters}")
+    catalog = spark.createDataFrame([(u, at(0), None, None) for u in sorted({d[0] for d in data})], "url string, published_at timestamp, original_version_url string, original_published_at timestamp")
+    captured = posts.captures(seen, posts.age_clocks(catalog), "owner_analytics")
+    out = posts.surface_intervals(captured, "owner_analytics")
+    assert rows(out.select("post_id", "elapsed_seconds", "delta_impressions"), "post_id", "started_at") == [(p, 60.0, 10) for p in "1122"]
+    # The hot posts are counted before: neither pass may take the clocks' join again.
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
