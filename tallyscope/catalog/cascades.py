@@ -413,10 +413,13 @@ def candidate_choice(spark, folder):
 
 
 def kept_features(spark, folder):
-    """Feature rows written once to the checkpoint folder, as every epoch reads them again."""
-    from ..session import cut_lineage
+    """Feature rows written once to the checkpoint folder, as every epoch reads them again.
 
-    return cut_lineage(feature_table(spark, folder))
+    They are small, but each is scored by networks: so they lie in as many parts as there are cores.
+    """
+    from ..session import cut_lineage, spread
+
+    return spread(cut_lineage(feature_table(spark, folder)), "cascade_id")
 
 
 @query("cascade_fit")

@@ -257,7 +257,8 @@ def cascade_benchmark(rows: DataFrame, epochs: int = 15, batch: int = minibatch.
             "cutoff_seconds", F.lit(cutoff)
         )
         parity = check if parity is None else parity.unionByName(check)
-    wide = parts[0].unionByName(parts[1])
+    # Written once: every use of a score would evaluate the whole network again.
+    wide = cut_lineage(parts[0].unionByName(parts[1]))
     predictions = metrics.prediction_rows(wide, (*metrics.BASELINES, NETWORK))
     strata = metrics.strata(predictions, "observed_retweet_count", "actual", with_zero=False)
     table = metrics.count_metrics(strata, ["cutoff_seconds", "model", "stratum"])
@@ -287,8 +288,6 @@ def cascade_quantiles(raw_rows: DataFrame, epochs: int = 15, batch: int = miniba
         held = fitting.training_rows(parsed, cutoff).filter(F.col("part") == "validation")
         for name, kind in zip(CANDIDATES, ("count", "quantile")):
             model = next(models)
-            p = model.score_sql(F.col("x"))
-            wide = kind == "quantile"
             parts.append(
                 held.select(
                     "cascade_id",
@@ -297,14 +296,20 @@ def cascade_quantiles(raw_rows: DataFrame, epochs: int = 15, batch: int = miniba
                     F.col("target").alias("actual"),
                     F.lit(name).alias("model"),
                     F.lit(model.selected_epoch).alias("selected_epoch"),
-                    (p[0] if wide else F.lit(None).cast("double")).alias("lower"),
-                    (p[1] if wide else p[0]).alias("median"),
-                    (p[2] if wide else F.lit(None).cast("double")).alias("upper"),
+                    model.score_sql(F.col("x")).alias("_p"),
                 )
             )
     predictions = parts[0]
     for part in parts[1:]:
         predictions = predictions.unionByName(part)
+    # Written once: every use of a score would evaluate the whole network again.
+    wide = F.size("_p") == 3
+    predictions = cut_lineage(predictions).select(
+        *[c for c in predictions.columns if c != "_p"],
+        F.when(wide, F.get("_p", F.lit(0))).alias("lower"),
+        F.get("_p", F.when(wide, 1).otherwise(0)).alias("median"),
+        F.get("_p", F.lit(2)).alias("upper"),
+    )
     keys = ["cutoff_seconds", "model", "selected_epoch", "stratum"]
     strata = metrics.strata(predictions, "observed_retweet_count", "actual")
     errors = metrics.count_metrics(strata, keys, prediction="median")

@@ -246,3 +246,12 @@ def test_optimiser_refuses_foreign_rows(spark):
     df = spark.createDataFrame([([0], [1.0], 1, "test")], "indices array<int>, values array<double>, label int, part string")
     with pytest.raises(ValueError):
         fitting.fit_logistic(df, 1)
+
+
+def test_networks_score_a_row_once(spark):
+    q = reports.cascade_quantiles(feature_rows(spark), epochs=1)
+    for name in ("predictions", "metrics"):
+        assert "zip_with" not in q[name]._jdf.queryExecution().optimizedPlan().toString()
+    got = q["predictions"].collect()
+    assert {(r.model, r.lower is None, r.upper is None) for r in got} == {("original_smooth_l1", True, True), ("ordered_quantile_pinball", False, False)}
+    assert all(r.median is not None and (r.lower is None or r.lower <= r.median <= r.upper) for r in got)
