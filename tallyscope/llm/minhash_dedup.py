@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .registry import query, table
-from .shared import cut_lineage
+from .shared import cut_lineage, small_batches
 from .stars import components
 from .words import Words, chunks, encode, factors, grams, mix
 
@@ -279,6 +279,7 @@ def _residual_links(members: DataFrame, comps: DataFrame, classes: DataFrame, fu
 
 def near_duplicates(docs: DataFrame, percent: int = 75, margin: float = MARGIN) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = cut_lineage(docs.mapInPandas(_sign, "doc_id long, n_shingles long, words binary, bands binary, sketch binary"))
     classes = cut_lineage(

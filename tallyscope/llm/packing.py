@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .shared import cut_lineage
+from .shared import cut_lineage, small_batches
 from .words import Words, chunks, encode, ragged
 
 LENGTH = 2048
@@ -49,7 +49,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, bytes] = {}
+        self.forget()
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
@@ -57,22 +57,28 @@ class Encoder:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         words = Words(texts)
         unique, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        keys = unique.tolist()
-        known = self.known
-        new = [k for k, h in enumerate(keys) if h not in known]
+        if len(self.keys) > CACHED_WORDS:
+            self.forget()
+        place = np.searchsorted(self.keys, unique)
+        held = np.zeros(len(unique), bool)
+        held[place < len(self.keys)] = self.keys[place[place < len(self.keys)]] == unique[place < len(self.keys)]
+        new = np.flatnonzero(~held)
         at = first[new]
         spans = zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)
         fresh = self._encoded([words.buffer[a:b].decode("utf-8", "replace") for a, b in spans])
-        known.update(zip([keys[k] for k in new], fresh, strict=True))
-        packed = [known[h] for h in keys]
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        ids, ends = ragged(np.frombuffer(b"".join(packed), "<u4"), sizes, back)
+        self.keys = np.insert(self.keys, place[new], unique[new])
+        self.number = np.insert(self.number, place[new], np.arange(len(new)) + len(self.sizes))
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, fresh), np.int64, len(fresh)) // 4])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(fresh), "<u4")])
+        ids, ends = ragged(self.ids, self.sizes, self.number[np.searchsorted(self.keys, unique)][back])
         cuts = np.concatenate([[0], ends])[words.offsets]
         end = np.asarray([CLOSING_ID], "<u4").tobytes()
         return [ids[a:b].tobytes() + end for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def forget(self) -> None:
+        """No word is known: sorted hashes, the number of each one's word, and sizes and ids in the order of numbers."""
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def _each(self, words: list[str]) -> list[bytes]:
         # Without offsets, which nothing here needs.
@@ -178,7 +184,7 @@ def _pack(path: str, length: int, room: int, with_ids: bool):
         for frame in frames:
             texts = [encode(t) for t in frame["text"]]
             docs = [None if pd.isna(d) else int(d) for d in frame["doc_id"]]
-            for lo, hi in chunks(texts, 4_000_000):
+            for lo, hi in chunks(texts):
                 for doc_id, ids in zip(docs[lo:hi], encoder(texts[lo:hi]), strict=True):
                     packer.add((doc_id, 0, ids, len(ids) // 4))
                 yield packer.emit(False, with_ids)
@@ -216,6 +222,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit; null unless
     ``with_ids``), ids_crc32, doc_tokens, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     packed = cut_lineage(docs.mapInPandas(_pack(tokenizer_file, length, open_windows, with_ids), _SCHEMA))
     rest = (

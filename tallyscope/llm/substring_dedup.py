@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .shared import cut_lineage
+from .shared import cut_lineage, small_batches
 from .words import Words, chunks, encode, grams
 
 WINDOW = 20
@@ -220,6 +220,7 @@ def substring_dedup(
 
     ``group_bytes`` of text give one group of suffixes; the number of groups follows the input.
     """
+    small_batches(docs.sparkSession)
     carried = [f"_carried_{k}" for k in range(len(carry))]
     kinds = [f"{c} {dict(docs.dtypes)[name]}" for c, name in zip(carried, carry, strict=True)]
     docs = docs.select(

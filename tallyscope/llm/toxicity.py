@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .registry import query, table
-from .shared import cut_lineage
+from .shared import cut_lineage, small_batches
 from .words import _BYTE, _POW, Words, chunks, encode, mix
 
 FIT_ROWS = 20_000
@@ -44,6 +44,8 @@ LEAST_WEIGHT = 3.0
 THRESHOLD = 0.3
 PATHS, SLACK = 6, 6.0
 REMEMBERED, LONGEST = 100_000, 40
+# A word has up to four features, so their texts go in smaller chunks.
+FEATURE_BYTES = 500_000
 
 # Signs and the letters they are read as.
 LOOKS = {
@@ -211,8 +213,9 @@ def feature_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     size = words.ends - words.starts
     for k in (4, 5, 6):
         long = np.flatnonzero(size > k)
-        at = words.starts[long, None] + np.arange(k)
-        value = (_BYTE[raw[at]] * _POW[:k]).sum(1, dtype=np.uint64)
+        value = np.zeros(len(long), np.uint64)
+        for j in range(k):
+            value += _BYTE[raw[words.starts[long] + j]] * _POW[j]
         keys.append(mix(value + np.uint64(0xABCD * k)))
         owners.append(owner[long])
     return np.concatenate(owners), np.concatenate(keys)
@@ -232,7 +235,7 @@ def _count_features(costs: np.ndarray):
         for frame in frames:
             texts = _restored(list(frame["text"]), restore)
             toxic = frame["toxic"].to_numpy() == 1
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, FEATURE_BYTES):
                 owner, key = feature_hashes(texts[lo:hi])
                 order = np.lexsort((owner, key))
                 owner, key = owner[order], key[order]
@@ -260,7 +263,7 @@ class Model:
         out = np.zeros((len(texts), 2))
         if not len(self.keys):
             return out
-        for lo, hi in chunks(texts):
+        for lo, hi in chunks(texts, FEATURE_BYTES):
             owner, key = feature_hashes(texts[lo:hi])
             hit = np.flatnonzero(self.maybe[(key & np.uint64(0xFFFF)).astype(np.int64)])
             place = np.minimum(np.searchsorted(self.keys, key[hit]), len(self.keys) - 1)
@@ -304,6 +307,7 @@ def bounded_sample(known: DataFrame, rows: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, support: int = SUPPORT) -> Model:
     """Fit on rows that aren't held out; all texts take part in the language model."""
+    small_batches(docs.sparkSession)
     costs = language_model(docs)
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

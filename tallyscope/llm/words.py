@@ -17,6 +17,8 @@ _POW = np.concatenate([[np.uint64(1)], np.full(_ROW - 1, _BASE)]).astype(np.uint
 _ROW_POW = (_POW[-1:] * _BASE)[0]
 
 CHUNK_BYTES = 2_000_000
+# Bytes that are hashed at once: work arrays hold eight bytes for each of them.
+STRETCH = 1 << 17
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -47,15 +49,23 @@ class Words:
     def _hash(self, raw: np.ndarray) -> np.ndarray:
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        body = raw[self.starts[0] :]
-        spans = np.diff(np.append(self.starts, len(raw)))
-        place = np.arange(len(body)) - np.repeat(self.starts - self.starts[0], spans)
+        sums = np.empty(len(self.starts), np.uint64)
+        first = 0
+        while first < len(sums):
+            last = max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + STRETCH)))
+            end = self.starts[last] if last < len(sums) else len(raw)
+            sums[first:last] = self._sums(raw[self.starts[first] : end], first, last)
+            first = last
+        return mix(sums + (self.ends - self.starts).astype(np.uint64) * _BASE)
+
+    def _sums(self, body: np.ndarray, first: int, last: int) -> np.ndarray:
+        starts = self.starts[first:last] - self.starts[first]
+        place = np.arange(len(body)) - np.repeat(starts, np.diff(np.append(starts, len(body))))
         value = _BYTE[body] * _POW[place & (_ROW - 1)]
-        if (longest := int((self.ends - self.starts).max())) > _ROW:
+        if (longest := int((self.ends[first:last] - self.starts[first:last]).max())) > _ROW:
             rows = np.concatenate([[np.uint64(1)], np.full(longest // _ROW + 1, _ROW_POW)]).astype(np.uint64)
             value *= rows.cumprod(dtype=np.uint64)[np.minimum(place // _ROW, longest // _ROW)]
-        sums = np.add.reduceat(value, self.starts - self.starts[0])
-        return mix(sums + (self.ends - self.starts).astype(np.uint64) * _BASE)
+        return np.add.reduceat(value, starts)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))

@@ -17,12 +17,21 @@ from ..session import cut_lineage
 # A hub has this many edges at least, and a thousandth of all: so there are 1,000 hubs a side at most.
 HUB_EDGES = 500
 HUB_SHARE = 1_000
+# Edges that one task reads from a round's checkpoint at least, where there are tasks for all cores.
+TASK_EDGES = 100_000
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def gathered(edges: DataFrame) -> DataFrame:
+    """Checkpointed edges in as few tasks as their number asks for: each exchange has a file for every task that
+    writes to it, and a round has many, so small tables would otherwise cost by their partitions."""
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    return edges.coalesce(max(cores, -(-edges.count() // TASK_EDGES)))
+
+
 def survey(edges: DataFrame, hub_edges: int = HUB_EDGES) -> tuple[bool, dict, dict]:
     """Of distinct edges u > v: whether they are stars, and hubs with their parts by larger and by smaller neighbours.
 
@@ -73,17 +82,19 @@ def small_star(edges: DataFrame, hubs: dict | None = None) -> DataFrame:
 
 def stars(edges: DataFrame, max_rounds: int, hub_edges: int = HUB_EDGES) -> DataFrame:
     """Edges (u, v), u > v, of the stars of all components; ``edges`` may hold loops, repeats and nulls."""
-    current = cut_lineage(
-        edges.filter(F.col("u").isNotNull() & F.col("v").isNotNull())
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .filter("u <> v")
-        .distinct()
+    current = gathered(
+        cut_lineage(
+            edges.filter(F.col("u").isNotNull() & F.col("v").isNotNull())
+            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+            .filter("u <> v")
+            .distinct()
+        )
     )
     for _ in range(max_rounds):
         settled, larger, smaller = survey(current, hub_edges)
         if settled:
             return current
-        current = cut_lineage(small_star(large_star(current, larger), smaller))
+        current = gathered(cut_lineage(small_star(large_star(current, larger), smaller)))
     raise RuntimeError("connected components did not settle within the allowed rounds")
 
 

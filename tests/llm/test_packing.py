@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tallyscope.llm.packing import default_tokenizer, pack
+from tallyscope.llm.packing import Encoder, default_tokenizer, pack
 
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("length", T.StringType())]
@@ -41,3 +42,19 @@ def test_every_id_once_and_windows_full(spark, length, room):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA), default_tokenizer()).collect() == []
+
+
+def test_known_words_stay_small():
+    encoder = Encoder(default_tokenizer())
+    texts = [" ".join(f"{k}word{k * 7919 % 100_003}" for k in range(lo, lo + 20_000)).encode() for lo in range(0, 100_000, 20_000)]
+    tracemalloc.start()
+    first = [encoder([t])[0] for t in texts]
+    held = tracemalloc.get_traced_memory()[0] - sum(map(len, first))
+    tracemalloc.stop()
+    assert held < 100 * 100_000
+    want = [encoder.tokenizer.encode(t.decode(), add_special_tokens=False).ids + [1] for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in first] == want
+    # Known words, and words known before they were forgotten, have the same ids.
+    assert encoder(texts[::-1]) == first[::-1]
+    encoder.forget()
+    assert encoder(texts) == first
