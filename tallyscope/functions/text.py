@@ -6,7 +6,7 @@ import hashlib
 import json
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,9 @@ SHORT_TEXT = 280
 # N-grams whose hash a task remembers, and numbers it returns at once.
 MEMO = 200_000
 PIECE = 500_000
+# Characters whose n-grams are taken at once, and the largest range of numbers that are ranked by a table.
+STRETCH = 1 << 17
+TABLE = 1 << 22
 CJK_CLASS = "[㐀-鿿]"
 HASHED = T.StructType(
     [
@@ -142,6 +145,85 @@ def hashed_features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 pairs, held = [], 0
 
 
+def ranks(numbers: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, all from 0 to below ``top``, in order, and the place of each number among them."""
+    if top > TABLE:
+        return np.unique(numbers, return_inverse=True)
+    seen = np.zeros(top, bool)
+    seen[numbers] = True
+    distinct = np.flatnonzero(seen)
+    place = np.empty(top, np.int32)
+    place[distinct] = np.arange(len(distinct), dtype=np.int32)
+    return distinct, place[numbers]
+
+
+def _cells(part: str, owner: np.ndarray, left: np.ndarray, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Signed counts of the n-grams that begin at the first characters of ``part``, which have an owner and a number of
+    characters left in their text, as owner * BUCKETS + bucket, in order, and sums.
+
+    N-grams get numbers by those one shorter and their last character, so text is made of distinct ones only.
+    """
+    points = np.frombuffer(part.encode("utf-32-le"), np.uint32)
+    letters, char = ranks(points, 0x110000)
+    letters = [chr(c) for c in letters]
+    at, number, names, found = np.arange(len(owner)), char[: len(owner)].astype(np.int64), letters, []
+    for n in range(2, max(NGRAM_LENGTHS) + 1):
+        whole = left[at] >= n
+        at = at[whole]
+        codes, number = ranks(number[whole] * len(letters) + char[at + n - 1], len(names) * len(letters))
+        heads, tails = np.divmod(codes, len(letters))
+        names = [names[a] + letters[b] for a, b in zip(heads.tolist(), tails.tolist())]
+        if n in NGRAM_LENGTHS:
+            slots = np.fromiter((_slot(g, cache) for g in names), np.int64, len(names))
+            slots = 2 * (np.abs(slots) - 1) + (slots < 0)
+            found.append(owner[at] * (2 * BUCKETS) + slots[number])
+        if len(cache) > MEMO:
+            cache.clear()
+    both = np.sort(np.concatenate(found))
+    cells = both >> 1
+    first = np.flatnonzero(np.diff(cells, prepend=-1))
+    return cells[first], np.add.reduceat(1 - 2 * (both & 1), first) if len(first) else first
+
+
+def _group_sums(texts: list[str], cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    joined, ends = "".join(texts), np.cumsum([len(t) for t in texts])
+    more, parts = max(NGRAM_LENGTHS) - 1, []
+    for a in range(0, len(joined), STRETCH):
+        at = np.arange(a, min(a + STRETCH, len(joined)))
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.clip(ends, a, at[-1] + 1), prepend=a))
+        parts.append(_cells(joined[a : a + STRETCH + more], owner, ends[owner] - at, cache))
+    if len(parts) == 1:
+        cells, sums = parts[0]
+    else:
+        cells, back = np.unique(np.concatenate([p[0] for p in parts] or [np.empty(0, np.int64)]), return_inverse=True)
+        sums = np.bincount(back, weights=np.concatenate([p[1] for p in parts] or [np.empty(0)])).astype(np.int64)
+    cells, sums = cells[sums != 0], sums[sums != 0]
+    return np.bincount(cells // BUCKETS, minlength=len(texts)), (cells % BUCKETS).astype(np.int32), sums
+
+
+def hashed_sums(texts: Iterable[str | None], cache: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The numbers of ``hashed_features`` before they are brought to unit length, for many texts at once.
+
+    Groups of consecutive texts of about ``STRETCH`` characters, or one longer text, which is taken in stretches. Of each
+    group: how many numbers each text has, and the buckets and sums of all of them.
+    """
+    group, held = [], 0
+    for text in texts:
+        text = text or ""
+        if group and held + len(text) > STRETCH:
+            yield _group_sums(group, cache)
+            group, held = [], 0
+        group.append(text)
+        held += len(text)
+    if group:
+        yield _group_sums(group, cache)
+
+
+def lengths(sizes: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Euclidean length of each text's sums."""
+    return np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=sums * sums, minlength=len(sizes)))
+
+
 def cjk_count(text: Column) -> Column:
     return F.length(F.regexp_replace(text, CJK_CLASS.replace("[", "[^") + "+", ""))
 

@@ -6,22 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import BATCH_BYTES, cut_lineage, ensure_checkpoint_dir, small_batches
 
-__all__ = ["cut_lineage", "shared_folder", "small_batches"]
-
-# Bytes of rows that travel to Python at once.
-BATCH_BYTES = 4 << 20
-_BATCHES, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Batches of texts are bounded by bytes, as Spark's 10,000 rows hold tens of MB on either side of the pipe.
-
-    A session with a bound of its own, other than Spark's, keeps it.
-    """
-    if spark.conf.get(_BATCHES) == _SPARKS_OWN:
-        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+__all__ = ["BATCH_BYTES", "cut_lineage", "shared_folder", "small_batches"]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -86,6 +86,12 @@ def answer_status(rows: DataFrame) -> DataFrame:
     )
 
 
+def answer_texts(rows: DataFrame) -> DataFrame:
+    """Text of every distinct answer."""
+    usable = rows.filter(F.col("answer_sha256").isNotNull())
+    return usable.groupBy("answer_sha256").agg(F.first("text").alias("text"))
+
+
 def retained_answers(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """One row per answer without conflicting labels, with its component."""
     kept = answer_status(rows).filter(F.col("status") != "conflicting_labels")

@@ -11,17 +11,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import saturation_prediction
+from ..functions.text import BUCKETS, hashed_sums, lengths, ranks
 from ..operators.cascades import feature_vector
 from ..operators.exposure import SERIES, add_errors
 from ..functions.numeric import horizon_bucket
 from ..operators.metrics import TEMPERATURES
 from ..operators.splits import inner_split, only
-from ..session import cut_lineage
+from ..session import cut_lineage, small_batches
 
 # Fixed values of the fitting recipe.
 SEED = 20261008
@@ -371,10 +374,33 @@ class LogisticModel:
 
         return logit
 
+    def text_logit_udf(self):
+        """Logit of a normalised text by its hashed features, which stay in the task."""
+        weights, bias = self.weights, self.bias
+
+        @F.pandas_udf(T.DoubleType())
+        def logit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            cache: dict[str, int] = {}
+            for texts in batches:
+                logits = [np.empty(0)]
+                for sizes, index, sums in hashed_sums(texts, cache):
+                    owner = np.repeat(np.arange(len(sizes)), sizes)
+                    products = weights[index] * (sums / lengths(sizes, sums)[owner])
+                    logits.append(bias + np.bincount(owner, weights=products, minlength=len(sizes)))
+                yield pd.Series(np.concatenate(logits))
+
+        return logit
+
 
 # Numbers of sparse rows in one packed block.
 BLOCK_NUMBERS = 250_000
-PACKED = "sizes binary, indices binary, codes binary, palette binary, label binary, train binary"
+PACKED = "sizes binary, indices binary, codes binary, palette binary, norms binary, label binary, train binary"
+
+
+def _block(sizes: np.ndarray, index: np.ndarray, codes: np.ndarray, palette: np.ndarray, norms: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
+    train = (rows["part"] == "train").to_numpy()
+    parts = (sizes.astype(np.int64), index.astype(np.int32), codes.astype(np.uint16), palette.astype(float), norms, rows["label"].to_numpy(dtype=float), train)
+    return pd.DataFrame([[p.tobytes() for p in parts]], columns=PACKED.replace(" binary", "").split(", "))
 
 
 def _row_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -395,19 +421,63 @@ def _row_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             palette, codes = np.unique(value.astype(float), return_inverse=True)
             if len(palette) > 65_536:
                 palette, codes = value.astype(float), np.empty(0)
-            train = (rows["part"] == "train").to_numpy()
-            parts = (n, index.astype(np.int32), codes.astype(np.uint16), palette, rows["label"].to_numpy(dtype=float), train)
-            yield pd.DataFrame([[p.tobytes() for p in parts]], columns=PACKED.replace(" binary", "").split(", "))
+            yield _block(n, index, codes, palette, np.empty(0), rows)
+
+
+def _text_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of the hashed features of texts. The features are many times the size of the text, so they never leave the
+    task as rows; a block keeps counts, which are few, and the length of each row that they are divided by."""
+    cache: dict[str, int] = {}
+    for frame in frames:
+        at = 0
+        for sizes, index, sums in hashed_sums(frame["text"], cache):
+            low = sums.min(initial=0)
+            palette, codes = ranks(sums - low, int(sums.max(initial=0) - low) + 1)
+            palette = palette + low
+            if len(palette) > 65_536:
+                palette, codes = sums, np.empty(0)
+            yield _block(sizes, index, codes, palette, lengths(sizes, sums), frame.iloc[at : at + len(sizes)])
+            at += len(sizes)
 
 
 def _unpacked(row) -> tuple[np.ndarray, ...]:
     """Owner, index and value of every number, label and training mark of every row of a block."""
     sizes = np.frombuffer(row.sizes, np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     value = np.frombuffer(row.palette)
     if len(row.codes):
         value = value[np.frombuffer(row.codes, np.uint16)]
-    index = np.frombuffer(row.indices, np.int32)
-    return np.repeat(np.arange(len(sizes)), sizes), index, value, np.frombuffer(row.label), np.frombuffer(row.train, bool)
+    if len(row.norms):
+        value = value / np.frombuffer(row.norms)[owner]
+    return owner, np.frombuffer(row.indices, np.int32), value, np.frombuffer(row.label), np.frombuffer(row.train, bool)
+
+
+def _compressed(raw: np.ndarray) -> bytes:
+    planes = raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes()
+    return pa.compress(planes, "zstd", asbytes=True) if planes else b""
+
+
+def _plain(kept: bytes, n: int, kind: type) -> np.ndarray:
+    size = n * np.dtype(kind).itemsize if kept else 0
+    planes = np.frombuffer(pa.decompress(kept, size, "zstd", asbytes=True) if kept else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _squeezed(blocks: Callable) -> Callable:
+    """Blocks as they are kept: steps between indices, and bytes of one place together, compressed without loss."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in blocks(frames):
+            steps = [np.diff(np.frombuffer(b, np.int32), prepend=np.int32(0)) for b in block["indices"]]
+            yield block.assign(indices=[_compressed(b) for b in steps], codes=[_compressed(np.frombuffer(b, np.uint16)) for b in block["codes"]])
+
+    return run
+
+
+def _loosened(row):
+    """A squeezed block as ``_unpacked`` reads it."""
+    n = int(np.frombuffer(row.sizes, np.int64).sum())
+    return row._replace(indices=np.cumsum(_plain(row.indices, n, np.int32), dtype=np.int32), codes=_plain(row.codes, n, np.uint16))
 
 
 def fit_logistic(
@@ -418,8 +488,21 @@ def fit_logistic(
     After every epoch the validation loss is taken at every temperature; the winner is the
     smallest loss, then the earliest epoch, then the temperature nearest one.
     """
+    return _fit_blocks(rows, ["indices", "values"], _row_blocks, width, epochs, rate, temperatures)
+
+
+def fit_texts(rows: DataFrame, epochs: int = 12, rate: float = 0.05, temperatures: tuple = TEMPERATURES) -> LogisticModel:
+    """``fit_logistic`` on the hashed features of normalised texts (text, label, part)."""
+    return _fit_blocks(rows, ["text"], _text_blocks, BUCKETS, epochs, rate, temperatures)
+
+
+def _fit_blocks(
+    rows: DataFrame, columns: list[str], blocks: Callable, width: int, epochs: int, rate: float, temperatures: tuple
+) -> LogisticModel:
     only(rows, F.col("part").isin("train", "validation"), "optimiser and selection accept train and validation rows only")
-    data = rows.select("indices", "values", "label", "part").mapInPandas(_row_blocks, PACKED).persist()
+    # Kept on disk, where they don't fill the heap: an epoch reads each block once, one after the other.
+    small_batches(rows.sparkSession)
+    data = rows.select(*columns, "label", "part").mapInPandas(_squeezed(blocks), PACKED).persist(StorageLevel.DISK_ONLY)
     size = width + 1
     k = len(temperatures)
     theta, adam = np.zeros(size), Adam(rate)
@@ -435,7 +518,7 @@ def fit_logistic(
             w = shared.value
             out = np.zeros(size + 2 + k + 1)
             for row in batch.itertuples(index=False):
-                owner, index, value, y, train = _unpacked(row)
+                owner, index, value, y, train = _unpacked(_loosened(row))
                 logits = np.bincount(owner, weights=w[index] * value, minlength=len(y)) + w[-1]
                 residual = np.where(train, logistic(logits) - y, 0.0)
                 out[:width] += np.bincount(index, weights=residual[owner] * value, minlength=width)[:width]

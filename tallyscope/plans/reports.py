@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cohort_status, lower_bound, stock_ratio, stock_ratio_reason, upper_bound
-from ..functions.text import BUCKETS, decision_gate, hashed_features, normalise, text_groups
+from ..functions.text import decision_gate, hashed_features, normalise, text_groups
 from ..functions import numeric
 from ..operators import answers, cascades, exposure, intervals, leakage, metrics, posts, progress, sealed, snapshots, validation
 from ..operators.ordered import HOT_ROWS
@@ -328,16 +328,17 @@ def origin_dataset(qa: DataFrame, seed: int, with_text: bool = True) -> Tables:
     """Grouped, de-duplicated and split answers with their coverage.
 
     Occurrences and retained answers are read several times, so each is written once; without their texts, which most
-    of the tables don't need, they are small.
+    of the tables don't need, they are small. Texts are dealt out once, to join the rows they belong to.
     """
-    rows = answers.occurrences(qa)
-    rows = cut_lineage(rows if with_text else rows.drop("text"))
+    written = answers.occurrences(qa)
+    written = cut_lineage(written if with_text else written.drop("text"))
+    rows = written.drop("text")
     groups = cut_lineage(answers.question_groups(rows))
     split_rows = answers.split_answers(cut_lineage(answers.retained_answers(rows, groups)), seed)
     return {
-        "rows": split_rows,
+        "rows": split_rows.join(answers.answer_texts(written), "answer_sha256") if with_text else split_rows,
         "groups": groups,
-        "answer_status": answers.answer_status(rows).drop("text"),
+        "answer_status": answers.answer_status(rows),
         "occurrences": answers.occurrence_counts(rows),
         "summary": answers.split_summary(split_rows),
         "coverage": answers.occurrence_coverage(rows, split_rows),
@@ -359,16 +360,17 @@ def subgroup_metrics(scored: DataFrame, text: str = "text", keys: Sequence[str]
 def origin_benchmark(rows: DataFrame, epochs: int = 12) -> Tables:
     """Hashed-text and length classifiers: fit, calibrate on validation, score the test part once."""
     parts = rows.withColumn("part", F.col("split"))
-    encoded = parts.withColumn("_f", hashed_features("text")).select(
-        "answer_sha256", "label", "text", "part", F.col("_f.indices").alias("indices"), F.col("_f.values").alias("values")
-    )
     by_length = fitting.length_features(parts)
+    fitted, tested = F.col("part") != "test", F.col("part") == "test"
+    hashed = fitting.fit_texts(parts.filter(fitted), epochs)
+    length = fitting.fit_logistic(by_length.filter(fitted), 1, epochs)
     scored = []
     picks = []
-    for name, source, width in (("hashed_text", encoded, BUCKETS), ("length_baseline", by_length, 1)):
-        model = fitting.fit_logistic(source.filter(F.col("part") != "test"), width, epochs)
+    for name, model, test in (
+        ("hashed_text", hashed, parts.filter(tested).withColumn("logit", hashed.text_logit_udf()("text"))),
+        ("length_baseline", length, by_length.filter(tested).withColumn("logit", length.logit_udf()("indices", "values"))),
+    ):
         picks.append((name, model.selected_epoch, float(model.temperature), model.validation_nll))
-        test = source.filter(F.col("part") == "test").withColumn("logit", model.logit_udf()("indices", "values"))
         # Written once, without the features, which every table below would derive again.
         test = cut_lineage(test.select("answer_sha256", "label", "text", "logit"))
         for suffix, t in (("", model.temperature), ("_uncalibrated", 1.0)):

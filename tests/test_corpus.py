@@ -295,3 +295,77 @@ def test_sparse_rows_are_packed_without_loss(monkeypatch):
         assert sum(len(p[3]) for p in parts) == 7 and all(len(p[0]) == len(p[1]) for p in parts)
     # Two bytes for each value of hashed features.
     assert sum(map(len, pd.concat(fitting._row_blocks(iter([frame])))["codes"])) == 2 * sum(sizes)
+
+
+def test_texts_are_hashed_together(monkeypatch):
+    draw = np.random.default_rng(6)
+    letters = np.array(list("abc de\U0001d4b3中ß"))
+    texts = [None, "", "a", "ab", "𝒳", *("".join(draw.choice(letters, n)) for n in draw.integers(0, 60, 40)), "", "x" * 333, "".join(draw.choice(letters, 500)), None]
+    for stretch, table in ((7, 1 << 22), (100, 1 << 22), (100, 0), (10_000, 1 << 22)):
+        monkeypatch.setattr(text, "STRETCH", stretch)
+        monkeypatch.setattr(text, "TABLE", table)
+        monkeypatch.setattr(text, "MEMO", 50)
+        groups = list(text.hashed_sums(texts, {}))
+        assert sum(len(sizes) for sizes, _, _ in groups) == len(texts)
+        found = []
+        for sizes, index, sums in groups:
+            values = sums / np.repeat(text.lengths(sizes, sums), sizes)
+            ends = np.cumsum(sizes)[:-1]
+            found += list(zip(np.split(index, ends), np.split(values, ends)))
+        for t, (index, values) in zip(texts, found, strict=True):
+            want = text._hashed(t or "", {})
+            assert np.array_equal(index, want[0]) and np.array_equal(values, want[1])
+    assert not list(text.hashed_sums([], {}))
+
+
+def test_blocks_of_texts_are_small_and_whole():
+    import pandas as pd
+
+    draw = np.random.default_rng(7)
+    words = ["".join(draw.choice(list("abcdefghijklmnop"), draw.integers(2, 9))) for _ in range(3000)]
+    texts = [" ".join(draw.choice(words, n)) for n in draw.integers(0, 200, 300)] + [None, " ".join(draw.choice(words, 30_000))]
+    frame = pd.DataFrame({"text": texts, "label": draw.integers(0, 2, 302), "part": draw.choice(["train", "validation"], 302)})
+    blocks = pd.concat(fitting._squeezed(fitting._text_blocks)(iter([frame, frame.iloc[:0]])))
+    parts = [fitting._unpacked(fitting._loosened(r)) for r in blocks.itertuples(index=False)]
+    want = [text._hashed(t or "", {}) for t in texts]
+    assert len(blocks) >= 3 and [n for p in parts for n in np.bincount(p[0], minlength=len(p[3]))] == [len(w[0]) for w in want]
+    for at, name in ((1, "indices"), (2, "values")):
+        assert np.array_equal(np.concatenate([p[at] for p in parts]), np.concatenate([w[at - 1] for w in want])), name
+    assert np.array_equal(np.concatenate([p[3] for p in parts]), frame["label"]) and np.array_equal(np.concatenate([p[4] for p in parts]), frame["part"] == "train")
+    # Six bytes a number before.
+    assert blocks.map(len).to_numpy().sum() < 2 * sum(len(w[0]) for w in want)
+    # Sparse rows of any values are kept as they are.
+    sparse = pd.DataFrame({"indices": [np.array([9, 2, 70_000]), np.empty(0, int), np.array([1])], "values": [np.array([0.1, -2.5, 1e300]), np.empty(0), np.array([3.0])], "label": 1, "part": "train"})
+    index, value = [fitting._unpacked(fitting._loosened(r)) for r in pd.concat(fitting._squeezed(fitting._row_blocks)(iter([sparse]))).itertuples(index=False)][0][1:3]
+    assert index.tolist() == [9, 2, 70_000, 1] and value.tolist() == [0.1, -2.5, 1e300, 3.0]
+
+
+def test_features_of_the_benchmark_stay_in_their_tasks(spark, monkeypatch):
+    seen, kept = [], []
+    real, frame = fitting._fit_blocks, type(spark.range(0))
+    monkeypatch.setattr(fitting, "_fit_blocks", lambda rows, columns, *rest: seen.append((rows, columns)) or real(rows, columns, *rest))
+    persist = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda self, *level: kept.append((self.columns, level)) or persist(self, *level))
+    data = [(f"q{i}", [f"alpha human {i} text"], [f"beta machine generated {i} answer"]) for i in range(30)]
+    rows = reports.origin_dataset(spark.createDataFrame(data, QA), 3)["rows"]
+    reports.origin_benchmark(rows, epochs=2)
+    # Texts go to the fit, not their features, and blocks are kept on disk alone.
+    assert [c for _, c in seen] == [["text"], ["indices", "values"]]
+    assert "ArrowEvalPython" not in seen[0][0]._jdf.queryExecution().toString()
+    assert [(l[0].useDisk, l[0].useMemory) for c, l in kept if "palette" in c] == [(True, False)] * 2
+    plain = rows.withColumn("_f", text.hashed_features("text")).select("answer_sha256", "label", "text", F.col("split").alias("part"), "_f.indices", "_f.values")
+    fit = plain.filter("part <> 'test'")
+    one, two = fitting.fit_logistic(fit, text.BUCKETS, 2), fitting.fit_texts(fit, 2)
+    assert np.allclose(one.weights, two.weights, rtol=0, atol=1e-12) and one.selected_epoch == two.selected_epoch
+    both = plain.select(one.logit_udf()("indices", "values").alias("a"), one.text_logit_udf()("text").alias("b")).collect()
+    assert len(both) == rows.count() and all(abs(r.a - r.b) < 1e-12 for r in both)
+
+
+def test_texts_of_the_dataset_are_dealt_once(spark):
+    data = [("q1", ["One  answer", "same", "", None], ["other"]), ("q2", ["same"], ["third", "clash"]), ("q3", ["clash"], [])]
+    out = reports.origin_dataset(spark.createDataFrame(data, QA), 3)
+    assert sorted(r.text for r in out["rows"].collect()) == ["one answer", "other", "same", "third"]
+    # Grouping and splitting read rows without texts.
+    for name in ("answer_status", "occurrences", "summary", "coverage"):
+        assert "text" not in out[name].columns and "first(text" not in out[name]._jdf.queryExecution().toString()
+    assert out["rows"]._jdf.queryExecution().optimizedPlan().toString().count("first(text") == 1
