@@ -174,7 +174,7 @@ def _cells(part: str, owner: np.ndarray, left: np.ndarray, cache: dict[str, int]
         heads, tails = np.divmod(codes, len(letters))
         names = [names[a] + letters[b] for a, b in zip(heads.tolist(), tails.tolist())]
         if n in NGRAM_LENGTHS:
-            slots = np.fromiter((_slot(g, cache) for g in names), np.int64, len(names))
+            slots = np.array([cache.get(g) or _slot(g, cache) for g in names], owner.dtype)
             slots = 2 * (np.abs(slots) - 1) + (slots < 0)
             found.append(owner[at] * (2 * BUCKETS) + slots[number])
         if len(cache) > MEMO:
@@ -188,9 +188,11 @@ def _cells(part: str, owner: np.ndarray, left: np.ndarray, cache: dict[str, int]
 def _group_sums(texts: list[str], cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     joined, ends = "".join(texts), np.cumsum([len(t) for t in texts])
     more, parts = max(NGRAM_LENGTHS) - 1, []
+    # Half as wide numbers are sorted in a third of the time.
+    owners = np.arange(len(texts), dtype=np.int32 if len(texts) * 2 * BUCKETS < 1 << 31 else np.int64)
     for a in range(0, len(joined), STRETCH):
         at = np.arange(a, min(a + STRETCH, len(joined)))
-        owner = np.repeat(np.arange(len(texts)), np.diff(np.clip(ends, a, at[-1] + 1), prepend=a))
+        owner = np.repeat(owners, np.diff(np.clip(ends, a, at[-1] + 1), prepend=a))
         parts.append(_cells(joined[a : a + STRETCH + more], owner, ends[owner] - at, cache))
     if len(parts) == 1:
         cells, sums = parts[0]

@@ -54,7 +54,8 @@ def question_groups(rows: DataFrame) -> DataFrame:
     shared = held.groupBy("answer_sha256").agg(F.min("group").alias("lowest"), F.max("group").alias("_highest"))
     shared = shared.filter("lowest <> _highest").select("answer_sha256", "lowest")
     edges = held.join(shared, "answer_sha256").filter(F.col("group") != F.col("lowest")).select("group", "lowest")
-    found = connected_components(edges, "group", "lowest").withColumnRenamed("node", "group")
+    # Written once: the components read their edges for stars and for nodes.
+    found = connected_components(cut_lineage(edges), "group", "lowest").withColumnRenamed("node", "group")
     return (
         held.select("group")
         .distinct()

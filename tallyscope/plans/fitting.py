@@ -394,6 +394,9 @@ class LogisticModel:
 
 # Numbers of sparse rows in one packed block.
 BLOCK_NUMBERS = 250_000
+# Packed blocks that a task of an epoch reads at least, where there are tasks for all cores: each task sends a sum for
+# every parameter through the shuffle.
+TASK_BLOCKS = 100
 PACKED = "sizes binary, indices binary, codes binary, palette binary, norms binary, label binary, train binary"
 
 
@@ -440,44 +443,70 @@ def _text_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at += len(sizes)
 
 
-def _unpacked(row) -> tuple[np.ndarray, ...]:
-    """Owner, index and value of every number, label and training mark of every row of a block."""
-    sizes = np.frombuffer(row.sizes, np.int64)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    value = np.frombuffer(row.palette)
+def _opened(row) -> tuple:
+    """Sizes of the rows of a block, index and value of every number, what the values of a row are to be divided by, label
+    and training mark."""
+    value, norms = np.frombuffer(row.palette), 1.0
     if len(row.codes):
-        value = value[np.frombuffer(row.codes, np.uint16)]
+        value = value[np.frombuffer(row.codes, np.uint16) if isinstance(row.codes, bytes) else row.codes]
     if len(row.norms):
-        value = value / np.frombuffer(row.norms)[owner]
-    return owner, np.frombuffer(row.indices, np.int32), value, np.frombuffer(row.label), np.frombuffer(row.train, bool)
+        norms = np.frombuffer(row.norms)
+        norms = np.where(norms > 0, norms, 1.0)
+    return np.frombuffer(row.sizes, np.int64), np.frombuffer(row.indices, np.int32), value, norms, np.frombuffer(row.label), np.frombuffer(row.train, bool)
+
+
+def _unpacked(row) -> tuple[np.ndarray, ...]:
+    """Owner, index and value of every number, label and training mark of every row of a block."""
+    sizes, index, value, norms, label, train = _opened(row)
+    return np.repeat(np.arange(len(sizes)), sizes), index, value / np.repeat(norms * np.ones(len(sizes)), sizes), label, train
+
+
+def _row_sums(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    out, some = np.zeros(len(sizes)), sizes > 0
+    if len(numbers):
+        out[some] = np.add.reduceat(numbers, (np.cumsum(sizes) - sizes)[some])
+    return out
 
 
 def _compressed(raw: np.ndarray) -> bytes:
+    """Width of the numbers, then their bytes, those of one place together."""
     planes = raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes()
-    return pa.compress(planes, "zstd", asbytes=True) if planes else b""
+    return bytes([raw.itemsize]) + pa.compress(planes, "zstd", asbytes=True) if planes else b""
 
 
-def _plain(kept: bytes, n: int, kind: type) -> np.ndarray:
-    size = n * np.dtype(kind).itemsize if kept else 0
-    planes = np.frombuffer(pa.decompress(kept, size, "zstd", asbytes=True) if kept else b"", np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+def _plain(kept: bytes, n: int) -> np.ndarray:
+    if not kept:
+        return np.empty(0, np.uint16)
+    width = kept[0]
+    planes = np.frombuffer(pa.decompress(kept[1:], n * width, "zstd", asbytes=True), np.uint8)
+    out = np.empty(n, f"u{width}")
+    for k in range(width):
+        out.view(np.uint8)[k::width] = planes[k * n : (k + 1) * n]
+    return out
 
 
 def _squeezed(blocks: Callable) -> Callable:
-    """Blocks as they are kept: steps between indices, and bytes of one place together, compressed without loss."""
+    """Blocks as they are kept: narrow numbers, steps between indices, compressed without loss."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in blocks(frames):
-            steps = [np.diff(np.frombuffer(b, np.int32), prepend=np.int32(0)) for b in block["indices"]]
-            yield block.assign(indices=[_compressed(b) for b in steps], codes=[_compressed(np.frombuffer(b, np.uint16)) for b in block["codes"]])
+            kept = {"indices": [], "codes": []}
+            for row in block.itertuples(index=False):
+                index, codes = np.frombuffer(row.indices, np.uint32), np.frombuffer(row.codes, np.uint16)
+                index = index.astype(np.uint16) if index.max(initial=0) < 1 << 16 else index
+                # Steps may fall below zero; they and their sums wrap alike.
+                kept["indices"].append(_compressed(np.diff(index, prepend=index.dtype.type(0))))
+                kept["codes"].append(_compressed(codes.astype(np.uint8) if codes.max(initial=0) < 1 << 8 else codes))
+            yield block.assign(**kept)
 
     return run
 
 
 def _loosened(row):
-    """A squeezed block as ``_unpacked`` reads it."""
+    """A squeezed block as ``_opened`` reads it."""
     n = int(np.frombuffer(row.sizes, np.int64).sum())
-    return row._replace(indices=np.cumsum(_plain(row.indices, n, np.int32), dtype=np.int32), codes=_plain(row.codes, n, np.uint16))
+    steps = _plain(row.indices, n)
+    return row._replace(indices=np.cumsum(steps, dtype=steps.dtype).astype(np.int32), codes=_plain(row.codes, n))
 
 
 def fit_logistic(
@@ -502,13 +531,13 @@ def _fit_blocks(
     only(rows, F.col("part").isin("train", "validation"), "optimiser and selection accept train and validation rows only")
     # Kept on disk, where they don't fill the heap: an epoch reads each block once, one after the other.
     small_batches(rows.sparkSession)
-    data = rows.select(*columns, "label", "part").mapInPandas(_squeezed(blocks), PACKED).persist(StorageLevel.DISK_ONLY)
+    kept = rows.select(*columns, "label", "part").mapInPandas(_squeezed(blocks), PACKED).persist(StorageLevel.DISK_ONLY)
     size = width + 1
     k = len(temperatures)
     theta, adam = np.zeros(size), Adam(rate)
     context = rows.sparkSession.sparkContext
 
-    def passes(current: np.ndarray) -> np.ndarray:
+    def passes(data: DataFrame, current: np.ndarray) -> np.ndarray:
         shared = context.broadcast(current)
 
         def loss(z: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -518,10 +547,10 @@ def _fit_blocks(
             w = shared.value
             out = np.zeros(size + 2 + k + 1)
             for row in batch.itertuples(index=False):
-                owner, index, value, y, train = _unpacked(_loosened(row))
-                logits = np.bincount(owner, weights=w[index] * value, minlength=len(y)) + w[-1]
+                sizes, index, value, norms, y, train = _opened(_loosened(row))
+                logits = _row_sums(w[index] * value, sizes) / norms + w[-1]
                 residual = np.where(train, logistic(logits) - y, 0.0)
-                out[:width] += np.bincount(index, weights=residual[owner] * value, minlength=width)[:width]
+                out[:width] += np.bincount(index, weights=np.repeat(residual / norms, sizes) * value, minlength=width)[:width]
                 out[width] += residual.sum()
                 out[size] += loss(logits[train], y[train]).sum()
                 out[size + 1] += train.sum()
@@ -538,8 +567,9 @@ def _fit_blocks(
 
     best_key, best, history = None, None, []
     try:
+        data = kept.coalesce(max(context.defaultParallelism, -(-kept.count() // TASK_BLOCKS)))
         for epoch in range(epochs + 1):
-            sums = passes(theta)
+            sums = passes(data, theta)
             if not sums[size + 1]:
                 raise ValueError("a fit needs at least one training row")
             if epoch > 0 and sums[size + 2 + k]:
@@ -551,7 +581,7 @@ def _fit_blocks(
             if epoch < epochs:
                 theta = adam.step(theta, sums[:size] / sums[size + 1])
     finally:
-        data.unpersist()
+        kept.unpersist()
     if best is None:
         raise ValueError("selection needs at least one validation row")
     best.history = history

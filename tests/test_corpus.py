@@ -369,3 +369,22 @@ def test_texts_of_the_dataset_are_dealt_once(spark):
     for name in ("answer_status", "occurrences", "summary", "coverage"):
         assert "text" not in out[name].columns and "first(text" not in out[name]._jdf.queryExecution().toString()
     assert out["rows"]._jdf.queryExecution().optimizedPlan().toString().count("first(text") == 1
+
+
+def test_epochs_of_small_fits_have_few_tasks(spark, monkeypatch):
+    seen, real = [], fitting.reduce_vector
+    monkeypatch.setattr(fitting, "reduce_vector", lambda rows, *rest: seen.append(rows.rdd.getNumPartitions()) or real(rows, *rest))
+    data = spark.range(400).selectExpr("concat('text ', id % 7, ' of ', id) AS text", "cast(id % 2 AS int) AS label", "if(id % 5 = 0, 'validation', 'train') AS part")
+    cores = spark.sparkContext.defaultParallelism
+    few = fitting.fit_texts(data.repartition(40), 2)
+    assert seen == [cores] * 3
+    monkeypatch.setattr(fitting, "TASK_BLOCKS", 1)
+    many = fitting.fit_texts(data.repartition(40), 2)
+    assert seen[3:] == [40] * 3 and np.allclose(few.weights, many.weights, rtol=0, atol=1e-12)
+
+
+def test_edges_of_answers_are_written_once(spark, monkeypatch):
+    plans, real = [], answers.connected_components
+    monkeypatch.setattr(answers, "connected_components", lambda edges, *names: plans.append(edges._jdf.queryExecution().optimizedPlan().toString()) or real(edges, *names))
+    answers.question_groups(spark.createDataFrame([("q1", "a"), ("q2", "a"), ("q3", "b")], "group string, answer_sha256 string")).collect()
+    assert len(plans) == 1 and "Join" not in plans[0]
